@@ -88,6 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_size"))
         .filter("_size > 1")
     )
+    groups = materialize(groups, "dedup-groups")  # so that the join below has exchanges of its own, which can be split at a hot group
     grouped = F.col("_size").isNotNull()
     return slim.join(groups, ["_len", "_prefix", "_sha"], "left").select(
         F.col("_id").alias(id_col),

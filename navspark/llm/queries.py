@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import table
+from navspark.llm.common import scratch, table
 from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import dedup_lines
 from navspark.llm.near_dedup import near_duplicates
+from navspark.llm.packing import pack
+from navspark.llm.token_store import read_store, write_store
 from navspark.llm.url_filter import filter_urls, parse_rule
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+END_ID = 2
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +33,27 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), END_ID)
+    return read_store(spark, path)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID).drop("ids")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op7_line_dedup)
+    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op5_token_store, op7_line_dedup, op9_packing)
 }
