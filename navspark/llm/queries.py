@@ -12,11 +12,14 @@ from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import dedup_lines
 from navspark.llm.near_dedup import near_duplicates
 from navspark.llm.packing import pack
+from navspark.llm.reshard import reshard
 from navspark.llm.token_store import read_store, write_store
 from navspark.llm.url_filter import filter_urls, parse_rule
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 END_ID = 2
+#: The layout that the resharding query starts from, by hash of the id, and the one it goes to.
+OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +36,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
+    placed, _ = reshard(table(spark, sf_dir, "documents"), old, NEW_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -55,5 +64,5 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op5_token_store, op7_line_dedup, op9_packing)
+    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op7_line_dedup, op9_packing)
 }
