@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.llm.common import scratch, table
+from navspark.llm.decontaminate import contaminated
 from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import dedup_lines
 from navspark.llm.near_dedup import near_duplicates
 from navspark.llm.packing import pack
 from navspark.llm.reshard import reshard
 from navspark.llm.token_store import read_store, write_store
+from navspark.llm.toxicity import fit_severity, score_severity
 from navspark.llm.url_filter import filter_urls, parse_rule
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -54,6 +56,15 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_severity(docs, fit_severity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID).drop("ids")
 
@@ -64,5 +75,5 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op7_line_dedup, op9_packing)
+    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_packing)
 }
