@@ -13,6 +13,7 @@ from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import dedup_lines
 from navspark.llm.near_dedup import near_duplicates
 from navspark.llm.packing import pack
+from navspark.llm.pii import BASE_KINDS, KINDS, find_pii, span_string
 from navspark.llm.reshard import reshard
 from navspark.llm.token_store import read_store, write_store
 from navspark.llm.toxicity import fit_severity, score_severity
@@ -69,11 +70,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID).drop("ids")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(BASE_KINDS)]
+    counts = [(F.size(base) - n).cast("long").alias(f"n_{KINDS[k]}") for k, n in enumerate(counts)]
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_packing)
+    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_packing, op10_pii)
 }
