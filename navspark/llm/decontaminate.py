@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from navspark.llm.common import fresh, materialize, small_batches
+from navspark.llm.common import small_batches
 
 WINDOW = 8
 #: Template words that a run must cover, or the whole item if that is shorter; the part of them that must be literal words.
@@ -210,7 +211,7 @@ def match_text(text: str, bench: Benchmark, words: Words) -> list[tuple[object,
     return list(best.values())
 
 
-def _match_batches(bench: Benchmark, id_kind: pa.DataType, item_kind: pa.DataType):
+def _match_batches(bench: Benchmark, item_kind: pa.DataType):
     """For ``mapInArrow`` over (id, text): one row per document and item that it holds."""
 
     def run(batches):
@@ -230,46 +231,61 @@ def _match_batches(bench: Benchmark, id_kind: pa.DataType, item_kind: pa.DataTyp
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_words: int):
+    """The benchmark in blocks of ``block_words`` words, more only for a single item. There is one at least."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    block, size, given = [], 0, False
+    for row in items.orderBy("item", "text").toLocalIterator():
+        block.append((row.item, row.text))
+        size += row.text.count(" ") + 1
+        if size >= block_words:
+            yield Benchmark.of(block)
+            block, size, given = [], 0, True
+    if block or not given:
+        yield Benchmark.of(block)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: the id column, item_id, item_words, matched_words, first_word, changed_slots.
 
     changed_slots counts numbers, names and units that differ from the item's: 0 is a verbatim passage.
-    The benchmark is held in memory in blocks of ``block_words`` words (longer only for a single item); each
-    block costs a scan of the documents, which are never shuffled.
+    The benchmark is held in memory in blocks of ``block_words`` words; each block costs a scan of the
+    documents, which are never shuffled.
 
     Defined cases: null and short texts (fewer than `WINDOW` words) match nothing, on either side; null ids
     are carried along; repeated rows are reported each; empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    small_batches(docs.sparkSession)
+    kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {kind}, item_id {item_kind}, item_words long, matched_words long, first_word long, changed_slots long"
-    from pyspark.sql.pandas.types import to_arrow_type
+    schema = f"id {kind.simpleString()}, item_id {item_kind.simpleString()}, item_words long, matched_words long, first_word long, changed_slots long"
+    scans = [slim.mapInArrow(_match_batches(b, to_arrow_type(item_kind)), schema) for b in _blocks(benchmark, item_col, item_text, block_words)]
+    result = scans[0]
+    for scan in scans[1:]:
+        result = result.unionByName(scan)
+    return result.withColumnRenamed("id", id_col)
 
-    arrow = [to_arrow_type(docs.schema[id_col].dataType), to_arrow_type(benchmark.schema[item_col].dataType)]
-    result, block, size = None, [], 0
 
-    def scan(rows):
-        found = slim.mapInArrow(_match_batches(Benchmark.of(rows), *arrow), schema)
-        return found if result is None else result.unionByName(found)
+def _clean_batches(bench: Benchmark, text_col: str):
+    """For ``mapInArrow``: the rows whose text holds no item."""
 
-    for row in items.orderBy("item", "text").toLocalIterator():  # a block of it at a time
-        block.append((row.item, row.text))
-        size += row.text.count(" ") + 1
-        if size >= block_words:
-            result, block, size = scan(block), [], 0
-    if block or result is None:
-        result = scan(block)
-    return result.withColumnRenamed("id", id_col)
+    def run(batches):
+        bench.prepare()
+        words = Words()
+        for batch in batches:
+            clean = [not (text and match_text(text, bench, words)) for text in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged. Rows with a null id are judged by themselves only if ids are unique."""
-    (bad,) = fresh(docs, "bad_")
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(bad)).distinct()
-    found = materialize(found, "contaminated")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, columns unchanged. Judged row by row in the scan; ids are not needed."""
+    small_batches(docs.sparkSession)
+    for bench in _blocks(benchmark, item_col, item_text, block_words):
+        docs = docs.mapInArrow(_clean_batches(bench, text_col), docs.schema)
+    return docs

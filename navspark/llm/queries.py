@@ -45,7 +45,7 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -53,7 +53,7 @@ def _tokenizer(name: str) -> str:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-store")
-    write_store(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), END_ID)
+    write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), END_ID)
     return read_store(spark, path)
 
 
@@ -67,7 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID).drop("ids")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
