@@ -14,7 +14,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of Arrow data that a Python worker is handed at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 LARGEST_ID = (1 << 63) - 1
 
 

@@ -1,18 +1,19 @@
-"""Token ids as binary shards with a minimal perfect hash index from document ids to places.
-
-A store is a table of sections, written by Spark, so it can be in any store that Spark writes, and a task
-that is run again writes the same. Shard k holds the documents of the k-th range of ids, in ascending order:
-
-====== ==== ==================================================================================
-name   part data
-====== ==== ==================================================================================
-head   0    int64 x 4: documents, keys, tokens, bytes per id
-keys   0    int64 per document: its id, ascending (a null id is the largest)
-places 0    int64 per document and one more: where its ids begin, in ids from the shard's first
-disp   0    int32 per bucket: the displacements of the perfect hash
-slots  0    per slot: uint32 fingerprint of the key, uint32 its first document, uint32 how many
-ids    0... raw ids, little-endian, all documents one after the other, cut every PART_BYTES
-====== ==== ==================================================================================
+"""Token ids as binary shards with minimal perfect hash indexes from document ids to places.
+
+A store is a table of blocks, written by Spark, so it can be in any store that Spark writes, and a task
+that is run again writes the same. Shard k holds the documents of the k-th range of ids, in ascending order, in
+blocks of about BLOCK_DOCS documents or BLOCK_BYTES of ids. Each block is read by itself:
+
+====== =================================================================================
+name   data
+====== =================================================================================
+head   int64 x 4: documents, keys, tokens, bytes per id
+keys   int64 per document: its id, ascending (a null id is the largest)
+places int64 per document and one more: where its ids begin, in ids from the block's first
+disp   int32 per bucket: the displacements of the perfect hash
+slots  per slot: uint32 fingerprint of the key, uint32 its first document, uint32 how many
+ids    raw ids, little-endian, all documents one after the other
+====== =================================================================================
 """
 
 from __future__ import annotations
@@ -28,56 +29,51 @@ from navspark.llm import perfect_hash
 from navspark.llm.common import LARGEST_ID, small_batches
 from navspark.llm.tokens import encoder
 
-#: Documents of a shard, and bytes of ids in one row of the table.
+#: Documents of a shard; documents and bytes of ids from which a block is full.
 SHARD_DOCS = 8192
-PART_BYTES = 1 << 22
+BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 21
 SECTIONS = ("head", "keys", "places", "disp", "slots", "ids")
-STORE_SCHEMA = "shard int, section int, part int, data binary"
+STORE_SCHEMA = "shard int, block int, first long, last long, " + ", ".join(f"{n} binary" for n in SECTIONS)
 _SLOT = np.dtype([("mark", "<u4"), ("first", "<u4"), ("count", "<u4")])
 
 
-def _rows(shard: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    section, part, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([shard] * len(rows), pa.int32()), pa.array(section, pa.int32()), pa.array(part, pa.int32()), pa.array(data, pa.binary())],
-        ["shard", "section", "part", "data"],
-    )
+def make_block(shard: int, block: int, keys: list[int], counts: list[int], ids: bytes, width: int) -> pa.RecordBatch:
+    """One row of the table: the index of the keys, which are in ascending order, and the ids."""
+    key = np.array(keys, "<i8")
+    places = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
+    distinct, first, count = np.unique(key, return_index=True, return_counts=True)
+    displace, slot = perfect_hash.build(distinct)
+    slots = np.zeros(len(distinct), _SLOT)
+    slots["mark"][slot], slots["first"][slot], slots["count"][slot] = perfect_hash.fingerprint(distinct), first, count
+    head = np.array([len(key), len(distinct), places[-1], width], "<i8")
+    sections = [*(x.tobytes() for x in (head, key, places, displace.astype("<i4"), slots)), ids]
+    columns = [pa.array([x], pa.int32()) for x in (shard, block)] + [pa.array([int(x)], pa.int64()) for x in (key[0], key[-1])]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in sections)], ["shard", "block", "first", "last", *SECTIONS])
 
 
 def write_shard(tokenizer_path: str, end_id: int):
-    """For ``mapInArrow`` over one shard's (key, text), ascending by key: the sections of the shard."""
+    """For ``mapInArrow`` over one shard's (key, text), ascending by key: the blocks of the shard."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard, block = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer_path, True)
+        width = enc.dtype.itemsize
         end = np.array([end_id], enc.dtype).tobytes()
-        keys, counts, held, part = [], [], bytearray(), 0
+        keys, counts, held = [], [], bytearray()
         for batch in batches:
-            encoded = enc.encode(batch.column("text").to_pylist())
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-            for ids in encoded:
+            for key, ids in zip(batch.column("key").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+                full = len(keys) >= BLOCK_DOCS or len(held) >= BLOCK_BYTES
+                if full and key != keys[-1]:  # rows that repeat an id share a block
+                    yield make_block(shard, block, keys, counts, bytes(held), width)
+                    keys, counts, held, block = [], [], bytearray(), block + 1
+                keys.append(key)
+                counts.append(len(ids) // width + 1)
                 held += ids
                 held += end
-                counts.append(len(ids) // enc.dtype.itemsize + 1)
-            while len(held) >= PART_BYTES:
-                yield _rows(shard, [(5, part, bytes(held[:PART_BYTES]))])
-                del held[:PART_BYTES]
-                part += 1
-        if not counts:
-            return
-        if held:
-            yield _rows(shard, [(5, part, bytes(held))])
-        keys = np.concatenate(keys).astype("<i8")
-        places = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
-        distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
-        displace, slot = perfect_hash.build(distinct)
-        slots = np.zeros(len(distinct), _SLOT)
-        slots["mark"][slot], slots["first"][slot], slots["count"][slot] = perfect_hash.fingerprint(distinct), first, count
-        head = np.array([len(keys), len(distinct), places[-1], enc.dtype.itemsize], "<i8")
-        index = [head, keys, places, displace.astype("<i4"), slots]
-        yield _rows(shard, [(n, 0, x.tobytes()) for n, x in enumerate(index)])
+        if keys:
+            yield make_block(shard, block, keys, counts, bytes(held), width)
 
     return run
 
@@ -97,19 +93,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     dealt.mapInArrow(write_shard(tokenizer_path, end_id), STORE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
-def _sections(batches):
-    """(shard, section, part, data) rows of ``mapInArrow`` batches."""
-    for batch in batches:
-        yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-
-
-class ShardIndex:
-    """The index sections of one shard."""
+class BlockIndex:
+    """The index of one block."""
 
-    def __init__(self, sections: dict[int, bytes]):
-        self.docs, self.n_keys, self.tokens, self.width = np.frombuffer(sections[0], "<i8").tolist()
-        self.keys, self.places = np.frombuffer(sections[1], "<i8"), np.frombuffer(sections[2], "<i8")
-        self.displace, self.slots = np.frombuffer(sections[3], "<i4"), np.frombuffer(sections[4], _SLOT)
+    def __init__(self, row: dict[str, bytes]):
+        self.docs, self.n_keys, self.tokens, self.width = np.frombuffer(row["head"], "<i8").tolist()
+        self.keys, self.places = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["places"], "<i8")
+        self.displace, self.slots = np.frombuffer(row["disp"], "<i4"), np.frombuffer(row["slots"], _SLOT)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first document, number of documents) of each key; a key whose stored fingerprint differs has none."""
@@ -117,61 +107,90 @@ class ShardIndex:
         return slot["first"].astype(np.int64), np.where(slot["mark"] == perfect_hash.fingerprint(keys), slot["count"].astype(np.int64), 0)
 
 
-def _read_shards(batches):
-    """For ``mapInArrow`` over sections sorted by (shard, section, part): one row per document, found through the index."""
-    held: dict[int, bytes] = {}
-    at = index = None
-    for shard, section, part, data in _sections(batches):
-        if shard != at:
-            at, held, index = shard, {}, None
-        if section < 5:
-            held[section] = data
-            continue
-        if index is None:
-            index = ShardIndex(held)
-            distinct = np.unique(index.keys)
-            first, count = index.find(distinct)
-            keys = np.repeat(distinct, count)
-            doc = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(keys))
-            begins, ends = index.places[doc], index.places[doc + 1]
-            done, crc, given = 0, 0, 0
-        ids = np.frombuffer(data, f"<u{index.width}").astype("<u4")
-        begin = done
-        done += len(ids)
-        out = []
-        while given < len(keys) and begins[given] < done:
-            a, b = max(int(begins[given]), begin), min(int(ends[given]), done)
-            crc = zlib.crc32(ids[a - begin : b - begin].tobytes(), crc)
-            if ends[given] > done:
-                break  # goes on in the next part
-            out.append(crc)
-            given, crc = given + 1, 0
-        if out:
-            rows = slice(given - len(out), given)
-            arrays = [np.full(len(out), shard, np.int32), keys[rows], begins[rows], ends[rows] - begins[rows], np.array(out, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["shard", "key", "begin", "n_tokens", "crc"])
+def _rows_of(batches):
+    """The rows of ``mapInArrow`` batches as dictionaries, one at a time."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield {name: batch.column(k)[n].as_py() for k, name in enumerate(batch.schema.names)}
+
+
+def _read_blocks(batches):
+    """For ``mapInArrow`` over blocks: one row per document, found through the index."""
+    for row in _rows_of(batches):
+        index = BlockIndex(row)
+        distinct = np.unique(index.keys)
+        first, count = index.find(distinct)
+        keys = np.repeat(distinct, count)
+        doc = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(keys))
+        begins, ends = index.places[doc], index.places[doc + 1]
+        ids = np.frombuffer(row["ids"], f"<u{index.width}")
+        crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        places = [np.full(len(keys), row[c], np.int32) for c in ("shard", "block")]
+        columns = [pa.array(x) for x in (*places, keys, begins, ends - begins)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(crc, pa.int64())], ["shard", "block", "key", "begin", "n_tokens", "crc"])
 
 
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id column, start, n_tokens, ids_crc32) of every document, from the files alone.
 
     start counts the ids of all documents before it; ids_crc32 is over the ids as little-endian unsigned
-    32-bit integers. Each id is looked up in the perfect hash and its fingerprint compared.
+    32-bit integers. Each id is looked up in its block's perfect hash and its fingerprint compared. Blocks are read where they lie.
     """
     small_batches(spark)
     store = spark.read.schema(STORE_SCHEMA).parquet(path)
-    docs = store.repartition("shard").sortWithinPartitions("shard", "section", "part").mapInArrow(
-        _read_shards, "shard int, key long, begin long, n_tokens long, crc long"
-    )
-    # one row per shard, of thousands of documents each
-    head = store.filter("section = 0").select("shard", _long("data", 2).alias("tokens"))
+    docs = store.drop("first", "last").mapInArrow(_read_blocks, "shard int, block int, key long, begin long, n_tokens long, crc long")
+    head = store.select("shard", "block", _long("head", 2).alias("tokens"))
+    shards = head.groupBy("shard").agg(F.sum("tokens").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = head.select("shard", before.alias("before"))
-    return docs.join(starts, "shard").select(
-        F.nullif("key", F.lit(LARGEST_ID)).alias(id_col), (F.col("before") + F.col("begin")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32")
+    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the first window has one row per shard, of thousands of documents each
+    starts = head.select("shard", "block", inside.alias("inside")).join(shards.select("shard", before.alias("before")), "shard")
+    return docs.join(starts, ["shard", "block"]).select(
+        F.nullif("key", F.lit(LARGEST_ID)).alias(id_col),
+        (F.col("before") + F.col("inside") + F.col("begin")).alias("start"),
+        "n_tokens",
+        F.col("crc").alias("ids_crc32"),
     )
 
 
+def _find_keys(batches):
+    """For ``mapInArrow`` over blocks with the keys asked of them (column wanted): (key, ids) of those that are there."""
+    for row in _rows_of(batches):
+        index = BlockIndex(row)
+        wanted = np.unique(np.array(row["wanted"], np.int64))
+        first, count = index.find(wanted)
+        ids = np.frombuffer(row["ids"], f"<u{index.width}")
+        found = [(k, d) for k, f, n in zip(wanted.tolist(), first.tolist(), count.tolist(), strict=True) for d in range(f, f + n)]
+        values = [ids[index.places[d] : index.places[d + 1]].astype(np.int64).tolist() for _, d in found]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["key", "ids"])
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id column, ids) of the documents asked for. Only blocks whose range holds a key are opened; ids that are not in the store give no row.
+
+    Keys are dealt to blocks by the blocks' first ids, one number per block of a thousand documents or so.
+    """
+    small_batches(spark)
+    store = spark.read.schema(STORE_SCHEMA).parquet(path)
+    bounds = sorted((r.first, r.shard, r.block) for r in store.select("first", "shard", "block").collect())
+    starts = [b[0] for b in bounds]
+
+    def route(batches):
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            at = np.searchsorted(np.array(starts, np.int64), key, "right") - 1
+            kept = np.flatnonzero(at >= 0)
+            place = [bounds[k] for k in at[kept].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[1] for p in place], pa.int32()), pa.array([p[2] for p in place], pa.int32()), pa.array(key[kept])], ["shard", "block", "key"]
+            )
+
+    asked = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)).alias("key")).distinct()
+    routed = asked.mapInArrow(route, "shard int, block int, key long").groupBy("shard", "block").agg(F.collect_list("key").alias("wanted"))
+    found = store.drop("first", "last").join(routed, ["shard", "block"]).mapInArrow(_find_keys, "key long, ids array<long>")
+    return found.select(F.nullif("key", F.lit(LARGEST_ID)).alias(id_col), "ids")
+
+
 def _long(data: str, number: int):
     """The n-th int64 of a binary column: its bytes in hexadecimal, turned round. Values are not negative."""
     hexed = [F.hex(F.substring(data, number * 8 + k, 1)) for k in range(8, 0, -1)]

@@ -15,12 +15,16 @@ from itertools import chain
 import numpy as np
 
 #: Words whose ids a worker keeps: two generations of so many. Words beyond them are encoded again, with the same result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Words of these letters alone (U+0130 lower-cases to a letter and a combining mark), and marks that may follow them.
-_WORD = re.compile(r"\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
 _MARKS = ".,;:!?"
-#: Characters of unknown words that are encoded in one call.
-CALL_CHARS = 200_000
+_MARKED = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?])")
+#: White space that parts are not cut at.
+_OTHER = re.compile(r"[^\S ]")
+#: Characters of text whose words are held in memory at once.
+STEP_CHARS = 2_000_000
+#: Unknown words that are encoded in one call.
+CALL_WORDS = 20_000
 _ODD = re.compile(r"\A\s|\s\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -60,34 +64,35 @@ class Encoder:
         parts[0] = f"\r{parts[0]}"
         return parts
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self, parts: set[str]) -> None:
         """Encodes unknown parts, many joined to one text, and tells their ids apart by the bytes that each id stands for."""
-        alone: list[str] = []
-        stems: dict[str, list[str]] = {}
+        young, old = self.young, self.old
+        if self.spaced or _OTHER.search(" ".join(parts)):  # few if any of them are taken literally, by themselves
+            for part in [p for p in parts if (p[0] == "\r" and self.spaced) or _OTHER.search(p, p[0] == "\n")]:
+                young[part] = self._raw(part[1:] if part[0] == "\r" and self.spaced else self._whole(part))
+                parts.discard(part)
+        whole: list[tuple[str, str, str]] = []
+        stems = set()
         for part in parts:
-            if part[0] == "\r" and self.spaced or len(part.split()) != 1:
-                alone.append(part)
-            elif part[-1] in _MARKS and _WORD.fullmatch(part, 0, len(part) - 1):
-                stems.setdefault(part[:-1], []).append(part)
+            found = _MARKED.fullmatch(part)
+            if found:  # a letter and a mark are never in one token
+                stem, mark = found.groups()
+                whole.append((part, stem, mark))
+                stems.add(stem)
             else:
-                stems.setdefault(part, [])
-        for part in alone:  # taken literally, by itself
-            self.young[part] = self._raw(part[1:] if part[0] == "\r" and self.spaced else self._whole(part))
-        known = {s: self.young.get(s) or self.old.get(s) for s in stems}
-        joined = [s for s, ids in known.items() if ids is None]
+                stems.add(part)
+        stems -= young.keys()
+        for stem in stems & old.keys():
+            young[stem] = old[stem]
+            stems.discard(stem)
+        joined = list(stems)
         at = 0
         while at < len(joined):
-            size, end = 0, at
-            while end < len(joined) and (size < CALL_CHARS or end == at):
-                size += len(joined[end]) + 1
-                end += 1
+            end = at + CALL_WORDS
             self._encode_joined(joined[at:end])
             at = end
-        for stem, whole in stems.items():
-            ids = known[stem] or self.young[stem]
-            self.young[stem] = ids
-            for part in whole:  # a letter and a mark are never in one token
-                self.young[part] = ids + self.marks[part[-1]]
+        for part, stem, mark in whole:
+            young[part] = young[stem] + self.marks[mark]
 
     def _encode_joined(self, parts: list[str]) -> None:
         if self.spaced:
@@ -111,18 +116,23 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian, `dtype` each. Null counts as empty."""
+        out, at, size = [], 0, 0
+        for n, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= STEP_CHARS or n == len(texts):
+                out += self._encode_some(texts[at:n])
+                at, size = n, 0
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._parts(t) if t else [] for t in texts]
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        unknown = []
-        for part in set(chain.from_iterable(parts)):
-            if part not in young:
-                ids = old.get(part)
-                if ids is None:
-                    unknown.append(part)
-                else:
-                    young[part] = ids
+        unknown = set(chain.from_iterable(parts)) - young.keys()
+        for part in unknown & old.keys():
+            young[part] = old[part]
+            unknown.discard(part)
         if unknown:
             self._encode_parts(unknown)
         return [b"".join(map(young.__getitem__, p)) for p in parts]

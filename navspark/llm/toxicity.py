@@ -57,20 +57,39 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _text_features(batches):
-    """For ``mapInArrow``: (id, toxic, severity, features, group) of each text; near copies mostly share a group."""
-    cache = _Cache(word_features)
+def _near_groups(batches):
+    """For ``mapInArrow``: adds the smallest hash of the text's shingles, which near copies mostly share."""
     for batch in batches:
-        features, group = [], []
+        group = []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
-            features.append(list(set().union(*map(cache.__getitem__, set(words)))))
             shingles = {" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))}
             group.append(min(xxhash.xxh64_intdigest(s.encode()) for s in shingles) >> 1)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("toxic"), batch.column("severity"), pa.array(features, pa.list_(pa.int64())), pa.array(group, pa.int64()), batch.column("text")],
-            ["id", "toxic", "severity", "features", "group", "text"],
-        )
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group, pa.int64())], [*batch.schema.names, "near"])
+
+
+def _features_of(batches):
+    """For ``mapInArrow`` over texts: their distinct features, one row each."""
+    cache = _Cache(word_features)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            found = set().union(*map(cache.__getitem__, set(words_of(text))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], ["feature"])
+
+
+def _documents_with(numbers: dict[int, int]):
+    """For ``mapInArrow`` over texts: how many hold each of some features, summed up per task."""
+    count = Counts(numbers)
+
+    def run(batches):
+        held = np.zeros(len(numbers), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held[list(count(text))] += 1
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], ["number", "docs"])
+
+    return run
 
 
 def _feature_counts(numbers: dict[int, int]):
@@ -161,6 +180,14 @@ def fit_cumulative_link(rows: list[tuple[list[int], list[int]]], grades: np.ndar
     return p[:features], p[features] + np.concatenate([[0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
+def _gain(yes: int, no: int, toxic: int, clean: int) -> float:
+    """Log-likelihood gained by a frequency of its own in toxic texts; 0 if that is not much higher than in clean ones."""
+    if (yes + 0.5) / toxic < MIN_LIFT * (no + 0.5) / clean:
+        return 0.0
+    both = (yes + no) / (toxic + clean)
+    return yes * np.log(yes / toxic / both) + (no * np.log(no / clean / both) if no else 0.0)
+
+
 def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_grades: int = GRADES) -> SeverityModel:
     """Fits a model on ``sample`` labelled rows at most.
 
@@ -183,23 +210,22 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # `sample` rows of three numbers at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.select("id", "toxic", "severity", "text").repartition(64, "id").mapInArrow(
-        _text_features, f"id {kind}, toxic int, severity int, features array<long>, group long, text string"
-    )
+    rows = texts.select("id", "toxic", "severity", "text").mapInArrow(_near_groups, f"id {kind}, toxic int, severity int, text string, near long")
     rows = materialize(rows, "toxicity-sample")
-    first = rows.groupBy("group", "toxic").agg(F.min("id").alias("id")).select("id")
-    rows = materialize(rows.join(first, "id", "left_semi"), "toxicity-distinct")
+    first = rows.groupBy("near", "toxic").agg(F.min("id").alias("id")).select("id")
+    rows = materialize(rows.join(first, "id", "left_semi").select("id", "toxic", "severity", "text"), "toxicity-distinct")
     totals = rows.groupBy("toxic").count().collect()  # two rows
     n = {r.toxic: r["count"] for r in totals}
     if len(n) < 2:
         return SeverityModel({}, np.zeros(0), np.arange(1, n_grades) * 10.0)
-    held = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
-    lift = (F.col("yes") + 0.5) / n[1] / ((F.col("no") + 0.5) / n[0])
-    # log-likelihood ratio of "as often in both" against "by class", without constants
-    both = (F.col("yes") + F.col("no")) / (n[0] + n[1])
-    gain = F.col("yes") * F.log(F.col("yes") / n[1] / both) + F.when(F.col("no") > 0, F.col("no") * F.log(F.col("no") / n[0] / both)).otherwise(0)
-    best = held.filter((F.col("yes") >= MIN_DOCS) & (lift >= MIN_LIFT)).orderBy(gain.desc(), "feature").limit(FEATURES).collect()
-    numbers = {r.feature: k for k, r in enumerate(best)}
+    # all features of the toxic texts that are frequent enough, then how many other texts hold them: bounded, as the sample is
+    seen = rows.filter("toxic = 1").select("text").mapInArrow(_features_of, "feature long").groupBy("feature").count()
+    yes = {r.feature: r["count"] for r in seen.filter(F.col("count") >= MIN_DOCS).orderBy("feature").collect()}
+    numbers = {f: k for k, f in enumerate(yes)}
+    held = rows.filter("toxic = 0").select("text").mapInArrow(_documents_with(numbers), "number long, docs long")
+    no = {r.number: r.docs for r in held.groupBy("number").agg(F.sum("docs").alias("docs")).collect()}
+    best = sorted((-g, f) for f, k in numbers.items() if (g := _gain(yes[f], no.get(k, 0), n[1], n[0])) > 0)[:FEATURES]
+    numbers = {f: k for k, (_, f) in enumerate(best)}
     counted = rows.mapInArrow(_feature_counts(numbers), f"id {kind}, toxic int, severity int, features array<int>, counts array<int>")
     data = sorted(counted.collect(), key=lambda r: str(r.id))  # `sample` rows of `FEATURES` numbers at most, mostly none
     amount = np.array([sum(r.counts) for r in data])

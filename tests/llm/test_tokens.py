@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from navspark.llm import perfect_hash, queries
 from navspark.llm.common import scratch
 from navspark.llm.packing import fill, pack, plan
-from navspark.llm.token_store import STORE_SCHEMA, ShardIndex, read_store, write_store
+from navspark.llm.token_store import STORE_SCHEMA, BlockIndex, lookup, read_store, write_store
 from navspark.llm.tokens import Encoder
 
 P = pytest.importorskip("public_tokenizers")
@@ -47,7 +47,8 @@ def test_perfect_hash_is_minimal_and_perfect(n):
 def test_unknown_keys_are_told_apart_by_fingerprint(spark, tmp_path):
     docs = spark.createDataFrame([(k * 7, f"text {k}") for k in range(300)], "doc_id long, text string")
     write_store(docs, f"file://{tmp_path}/s", BYTE, 2)
-    index = ShardIndex({r.section: bytes(r.data) for r in spark.read.schema(STORE_SCHEMA).parquet(f"file://{tmp_path}/s").filter("section < 5").collect()})
+    (row,) = spark.read.schema(STORE_SCHEMA).parquet(f"file://{tmp_path}/s").collect()
+    index = BlockIndex(row.asDict())
     first, count = index.find(np.arange(0, 2100, dtype=np.int64))
     assert count[::7].tolist() == [1] * 300 and first[::7].tolist() == list(range(300))
     assert count.sum() < 305  # about one in 2**32 strangers would pass
@@ -77,6 +78,15 @@ def test_store_odd_rows_and_many_shards(spark):
     assert got == want
 
 
+def test_lookup_finds_ids_and_nothing_else(spark):
+    docs = spark.createDataFrame([(k * 3, f"text number {k} " * (k % 5)) for k in range(4000)] + [(30, "again")], "doc_id long, text string")
+    path = scratch(spark, "t")
+    write_store(docs, path, BYTE, 2, shard_docs=1500)
+    got = sorted((r.doc_id, r.ids) for r in lookup(spark, path, spark.createDataFrame([(k,) for k in (30, 31, 2999, 11997, -5, 99999, 600)], "doc_id long")).collect())
+    texts = [(30, "again"), (30, ""), (600, ""), (11997, "text number 3999 " * 4)]
+    assert got == sorted((k, ids) for (k, _), ids in zip(texts, direct(BYTE, [t for _, t in texts]), strict=True))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     path = scratch(spark, "t")
