@@ -64,7 +64,7 @@ def replace_files(files: DataFrame, symbols: DataFrame, parsed: DataFrame, parse
     new_files = files.join(parsed, "path", "left_anti").select(columns).unionByName(written.select(columns))
     replaced = written.filter("status <> 'same'").select("path", F.col("id").alias("file_id"), "repository_id")
     kept = symbols.join(replaced.select("file_id"), "file_id", "left_anti")
-    fresh = parsed_symbols.join(replaced, "path").withColumn("name_lower", F.lower("name"))
+    fresh = parsed_symbols.drop("repository_id").join(replaced, "path").withColumn("name_lower", F.lower("name"))
     # ids by hash of what makes a symbol one of its own, so that none has to be numbered
     fresh = fresh.withColumn("id", F.xxhash64("file_id", "line", "name", "kind", "parent"))
     return new_files, kept.unionByName(fresh.select(kept.columns))

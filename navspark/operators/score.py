@@ -18,6 +18,11 @@ FEATURES = ("exact", "case", "prefix", "fuzzy", "wildcard", "path", "private", "
 NAME_FEATURES = ("exact", "prefix", "fuzzy", "wildcard")
 
 
+def capped(value: Column, cap: float) -> Column:
+    """At most ``cap``; null stays null, which least() alone would not do."""
+    return F.when(value.isNotNull(), F.least(value, F.lit(cap)))
+
+
 def exact(name: Column, leaf: Column) -> Column:
     return F.when(~has_wildcard(leaf) & (ascii_lower(name) == ascii_lower(leaf)), S.EXACT)
 
@@ -94,12 +99,12 @@ def feature_columns(now: Column | None = None) -> dict[str, Column]:
     by_name = {
         "exact": exact(name, leaf),
         "prefix": prefix(name, leaf),
-        "fuzzy": F.when(~wild & ~F.startswith(ascii_lower(name), ascii_lower(leaf)), F.least("name_score", F.lit(S.FUZZY_CAP))),
-        "wildcard": F.when(wild, F.least("name_score", F.lit(S.FUZZY_CAP))),
+        "fuzzy": F.when(~wild & ~F.startswith(ascii_lower(name), ascii_lower(leaf)), capped(F.col("name_score"), S.FUZZY_CAP)),
+        "wildcard": F.when(wild, capped(F.col("name_score"), S.FUZZY_CAP)),
     }
     named = F.coalesce(*by_name.values()).isNotNull()
-    path = F.when(named, F.least(F.col("path_score") * S.PATH_WITH_NAME, F.lit(S.PATH_WITH_NAME_CAP))).when(
-        F.col("kind").isin(*S.PATH_ALONE_KINDS), F.least(F.col("path_score") * S.PATH_ALONE, F.lit(S.PATH_ALONE_CAP))
+    path = F.when(named, capped(F.col("path_score") * S.PATH_WITH_NAME, S.PATH_WITH_NAME_CAP)).when(
+        F.col("kind").isin(*S.PATH_ALONE_KINDS), capped(F.col("path_score") * S.PATH_ALONE, S.PATH_ALONE_CAP)
     )
     when = F.col("now") if now is None else now
     every = by_name | {
