@@ -140,8 +140,8 @@ def _links_of(distance: int, group_columns: int):
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], n)
             stored = np.add.reduceat((~probe).astype(np.int64), starts)
-            # one stored code and itself as the only probe is the common case
-            todo = (stored > 0) & (ends - starts > 2)
+            # in whole buckets, one stored code and itself as the only probe is the common case; blocks may part the two
+            todo = (stored > 0) & (ends - starts > (2 if group_columns == 1 else 1))
             u, v = [], []
             for x, y in zip(starts[todo].tolist(), ends[todo].tolist(), strict=True):
                 p = probe[x:y]
