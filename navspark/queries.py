@@ -117,7 +117,10 @@ def recall_short_circuit(spark, d):
     return recall.recall_many(_syms(spark, d), _queries(spark, d))
 
 
-@query("SELECT id, name FROM syms WHERE starts_with(name_lower, 'redw')")
+@query(
+    "SELECT id, name FROM syms WHERE CASE WHEN (SELECT bool_or(starts_with(name_lower, 'redw')) FROM syms) THEN starts_with(name_lower, 'redw')"
+    " ELSE starts_with(name_lower, 'r') OR contains(name_lower, 'red') OR contains(name_lower, 'edw') OR (kind IN ('class', 'module') AND contains(lower(file), 'redw')) END"
+)
 def recall_one_literal(spark, d):
     return recall.recall_one(_syms(spark, d), "redw").select("id", "name")
 
