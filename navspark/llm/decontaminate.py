@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from navspark.llm.common import small_batches
+from navspark.llm.common import release, small_batches
 
 WINDOW = 8
 #: Template words that a run must cover, or the whole item if that is shorter; the part of them that must be literal words.
@@ -27,7 +27,7 @@ MIN_WORDS, MIN_LITERAL = 13, 0.5
 #: Words of benchmark items that are held in memory at once; a larger benchmark is matched in blocks, one scan each.
 BLOCK_WORDS = 4_000_000
 #: Distinct raw words whose template a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 #: Words that name units of measurement or money, and words for numbers.
 UNITS = frozenset(
@@ -227,6 +227,8 @@ def _match_batches(bench: Benchmark, item_kind: pa.DataType):
             yield pa.RecordBatch.from_arrays(
                 [ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "item_id", "item_words", "matched_words", "first_word", "changed_slots"]
             )
+        words.reset()
+        release()
 
     return run
 
@@ -277,6 +279,8 @@ def _clean_batches(bench: Benchmark, text_col: str):
         for batch in batches:
             clean = [not (text and match_text(text, bench, words)) for text in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        words.reset()
+        release()
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import materialize, small_batches
+from navspark.llm.common import materialize, release, small_batches
 from navspark.llm.tokens import encoder
 
 WINDOW = 4096
@@ -127,6 +127,7 @@ def cut_pieces(tokenizer_path: str, end_id: int, window: int):
             taken = batch.select(rest).take(pa.array(row, pa.int64()))
             names = ["length", "start", "ids", "ids_crc32", "doc_tokens", "block", "rank"]
             yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*rest, *names])
+        release()
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navspark.llm import perfect_hash
-from navspark.llm.common import LARGEST_ID, small_batches
+from navspark.llm.common import LARGEST_ID, release, small_batches
 from navspark.llm.tokens import encoder
 
 #: Documents of a shard; documents and bytes of ids from which a block is full.
@@ -74,6 +74,7 @@ def write_shard(tokenizer_path: str, end_id: int):
                 held += end
         if keys:
             yield make_block(shard, block, keys, counts, bytes(held), width)
+        release()
 
     return run
 

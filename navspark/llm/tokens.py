@@ -22,7 +22,7 @@ _MARKED = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-
 #: White space that parts are not cut at.
 _OTHER = re.compile(r"[^\S ]")
 #: Characters of text whose words are held in memory at once.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 #: Unknown words that are encoded in one call.
 CALL_WORDS = 20_000
 _ODD = re.compile(r"\A\s|\s\s|\s\Z")

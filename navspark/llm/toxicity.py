@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navspark.llm.common import materialize, small_batches
+from navspark.llm.common import materialize, release, small_batches
 
 #: Labelled rows that a model is fitted on at most; the choice is by hash of the id.
 SAMPLE = 20_000
@@ -26,7 +26,7 @@ FEATURES, MIN_DOCS, MIN_LIFT = 2048, 5, 4.0
 GRADES = 4
 AFFIXES = (4, 5)
 #: Words whose features a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -257,6 +257,8 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
                 [batch.column("id"), pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= 0.5)],
                 ["id", "expected_severity", "grade", "toxic"],
             )
+        count.cache = None
+        release()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, f"id {kind}, expected_severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)
@@ -271,5 +273,7 @@ def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text") ->
         for batch in batches:
             x = np.array([model.score(count(t)) for t in batch.column(text_col).to_pylist()])
             yield batch.filter(pa.array(model.above(x)[:, 0] < 0.5))
+        count.cache = None
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,8 +20,8 @@ from navspark.llm.common import ascii_lower, materialize
 
 #: Between the labels of a reversed host, and between host and path. Neither can be in a host label.
 LABEL_END, HOST_END = ".", "/"
-#: Urls that one range is meant to hold.
-URLS_PER_RANGE = 200_000
+#: Keys that one range is meant to hold, and ranges at most: a sweep streams through its range, so larger ones only mean longer tasks.
+URLS_PER_RANGE, MAX_RANGES = 200_000, 4096
 DEFAULT_VERDICT = "allow"
 
 
@@ -69,10 +69,10 @@ def _keys(hosts: DataFrame) -> DataFrame:
 
 
 def _bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """Keys at which the ranges begin; at most ``ranges`` of them, from a sample of bounded size."""
+    """Keys at which the ranges begin; at most ``ranges`` of them, from a sample of 32 keys for each range."""
     if ranges < 2:
         return []
-    wanted = 64 * ranges
+    wanted = 32 * ranges
     sample = sorted(r.key for r in keys.select("key").orderBy(F.xxhash64("key")).limit(wanted).collect())
     if not sample:
         return []
@@ -143,7 +143,7 @@ def match_hosts(hosts: DataFrame, rules: list[Rule], urls_per_range: int = URLS_
     """(host, path, rule, action) for each distinct (host, path) that a rule fits, with the longest of the rules that do."""
     spark = hosts.sparkSession
     keys = materialize(_keys(hosts), "url-keys")
-    ranges = max(1, -(-keys.count() // urls_per_range))
+    ranges = min(MAX_RANGES, max(1, -(-keys.count() // urls_per_range)))
     bounds = _bounds(keys, ranges)
     columns = ["range", "key", "is_key", "host", "path", "rule", "action"]
     opened = spark.createDataFrame(_ranged_rules(rules, bounds), "range int, key string, rule string, action string").select(
