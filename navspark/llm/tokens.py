@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Words whose ids a worker keeps: two generations of so many. Words beyond them are encoded again, with the same result.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 #: Words of these letters alone (U+0130 lower-cases to a letter and a combining mark), and marks that may follow them.
 _MARKS = ".,;:!?"
 _MARKED = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?])")
