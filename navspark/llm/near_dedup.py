@@ -101,33 +101,34 @@ def link_bucket(stored: np.ndarray, probes: np.ndarray, distance: int, start: in
     return [(int(u), int(v)) for u, v in zip(codes[moved].view(np.int64), codes[label[moved]].view(np.int64), strict=True)]
 
 
+def _whole_groups(batches, group_columns: int):
+    """Chunks of rows sorted by group that end at the end of a group."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        change = np.zeros(len(columns[0]), bool)
+        change[0] = True
+        for c in columns[:group_columns]:
+            change[1:] |= c[1:] != c[:-1]
+        last = int(np.flatnonzero(change)[-1])
+        same = bool(held) and all(held[-1][k][-1] == columns[k][0] for k in range(group_columns))
+        if last == 0 and same:
+            held.append(columns)
+            continue
+        yield [np.concatenate([h[k] for h in held] + [c[:last]]) for k, c in enumerate(columns)]
+        held = [[c[last:] for c in columns]]
+    if held:
+        yield [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]
+
+
 def _links_of(distance: int, group_columns: int):
     """For ``mapInArrow`` over rows sorted by group: links of each group. Groups hold a bounded number of rows."""
     m = distance + 1
 
-    def groups(batches):
-        """Chunks of rows that end at the end of a group."""
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            change = np.zeros(len(columns[0]), bool)
-            change[0] = True
-            for c in columns[:group_columns]:
-                change[1:] |= c[1:] != c[:-1]
-            last = int(np.flatnonzero(change)[-1])
-            same = bool(held) and all(held[-1][k][-1] == columns[k][0] for k in range(group_columns))
-            if last == 0 and same:
-                held.append(columns)
-                continue
-            yield [np.concatenate([h[k] for h in held] + [c[:last]]) for k, c in enumerate(columns)]
-            held = [[c[last:] for c in columns]]
-        if held:
-            yield [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))]
-
     def run(batches):
-        for columns in groups(batches):
+        for columns in _whole_groups(batches, group_columns):
             n = len(columns[0])
             if n < 2:
                 continue
