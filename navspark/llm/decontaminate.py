@@ -72,6 +72,7 @@ class Words(dict):
     def reset(self) -> None:
         self.clear()
         self.code = np.zeros(1024, np.uint64)
+        self.plain = np.zeros(1024, np.uint64)
         self.kind = np.zeros(1024, np.int8)
         self.titled = np.zeros(1024, bool)
         self.ends = np.zeros(1024, bool)
@@ -80,13 +81,14 @@ class Words(dict):
     def __missing__(self, raw: str) -> int:
         n = len(self.value)
         if n == len(self.code):
-            for name in ("code", "kind", "titled", "ends"):
+            for name in ("code", "plain", "kind", "titled", "ends"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros(n, old.dtype)]))
         value, kind, ends = canonical(raw)
         bare = raw.strip(_MARKS)
         self.value.append(value)
-        self.code[n] = kind or xxhash.xxh64_intdigest(value.encode())
+        self.plain[n] = xxhash.xxh64_intdigest(value.encode())
+        self.code[n] = kind or self.plain[n]
         self.kind[n], self.ends[n] = kind, ends
         self.titled[n] = not kind and len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
         self[raw] = n
@@ -95,25 +97,34 @@ class Words(dict):
 
 @dataclass
 class Template:
-    """A text as template: a code per word, its placeholder type or 0, and the word numbers for the values."""
+    """A text as template. Per word: the code and placeholder type with names told by place, the same with every
+    capitalised word as a name, a hash of the value, and the word number for the value itself."""
 
     code: np.ndarray
     kind: np.ndarray
+    named: np.ndarray
+    named_kind: np.ndarray
+    plain: np.ndarray
     number: np.ndarray
 
+    def forms(self) -> list[np.ndarray]:
+        """The codes that windows are taken of."""
+        return [self.code]
+
 
 def template(text: str, words: Words) -> Template:
-    """A capitalised word is a name unless it begins the text or a sentence."""
+    """A capitalised word is a name unless it begins the text or a sentence, where it may be either."""
     if len(words.value) > CACHE_WORDS:
         words.reset()
     raw = text.split()
     number = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
-    code, kind = words.code[number], words.kind[number]
+    code, kind, titled = words.code[number], words.kind[number], words.titled[number]
+    named, named_kind = np.where(titled, np.uint64(NAME), code), np.where(titled, NAME, kind)
     if len(number):
         begins = np.concatenate([[True], words.ends[number][:-1]])
-        name = words.titled[number] & ~begins
+        name = titled & ~begins
         code, kind = np.where(name, np.uint64(NAME), code), np.where(name, NAME, kind)
-    return Template(code, kind, number)
+    return Template(code, kind, named, named_kind, words.plain[number], number)
 
 
 def window_hashes(code: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -148,66 +159,105 @@ class Benchmark:
         return out
 
     def prepare(self) -> None:
-        hashes = [window_hashes(i.template.code) for i in self.items]
-        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        """One table of windows for each form."""
+        self.tables = [self._table(WINDOW, form) for form in range(1)]
+
+    def _table(self, size: int, form: int):
+        chosen = [n for n, i in enumerate(self.items) if (len(i.values) == size if size < WINDOW else len(i.values) >= size)]
+        hashes = [window_hashes(self.items[n].template.forms()[form], size) for n in chosen]
+        item = np.repeat(np.array(chosen, np.int64), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
         every = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(every, kind="stable")
-        self.hashes, self.item, self.place = every[order], item[order], place[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[every >> np.uint64(42)] = True
-
-    def hits(self, code: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, diagonal, place in the text) of each pair of equal windows."""
-        h = window_hashes(code)
-        maybe = np.flatnonzero(self.bits[h >> np.uint64(42)])
-        if not len(maybe):
-            return []
-        lo, hi = np.searchsorted(self.hashes, h[maybe], "left"), np.searchsorted(self.hashes, h[maybe], "right")
-        count = hi - lo
-        at = np.repeat(maybe, count)
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(at))
-        return sorted(zip(self.item[entry].tolist(), (at - self.place[entry]).tolist(), at.tolist(), strict=True))
-
-
-def _one_to_one(pairs: list[tuple[int, str, str]]) -> int | None:
-    """How many slots changed their value, None if the (type, item's value, text's value) pairs contradict each other."""
-    there: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
-    for kind, a, b in pairs:
-        if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-            return None
-    return sum(a != b for (_, a), b in there.items())
+        bits = np.zeros(1 << 22, bool)
+        bits[every >> np.uint64(42)] = True
+        return every[order], item[order], place[order], bits
+
+    def hits(self, t: Template) -> list[tuple[int, int]]:
+        """(item, diagonal) of each pair of windows that are equal in one of the forms."""
+        found = set()
+        for code, size, (hashes, item, place, bits) in [
+            *((c, WINDOW, b) for c, b in zip(t.forms(), self.tables, strict=True)),
+        ]:
+            h = window_hashes(code, size)
+            maybe = np.flatnonzero(bits[h >> np.uint64(42)])
+            if not len(maybe):
+                continue
+            lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+            count = hi - lo
+            at = np.repeat(maybe, count)
+            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(at))
+            found.update(zip(item[entry].tolist(), (at - place[entry]).tolist(), strict=True))
+        return sorted(found)
+
+
+class Renaming:
+    """A one-to-one renaming of slots that pairs are added to and taken from; it tells whether any two contradict each other."""
+
+    def __init__(self):
+        self.pairs: dict[tuple, int] = {}
+        self.there: dict[tuple, int] = {}
+        self.back: dict[tuple, int] = {}
+        self.changed = self.clashes = 0
+
+    def add(self, kind: int, a: str, b: str, by: int = 1) -> None:
+        pair, old = (kind, a, b), self.pairs.get((kind, a, b), 0)
+        self.pairs[pair] = old + by
+        if bool(old) == bool(old + by):
+            return
+        self.changed += by * (a != b)
+        for side, key in ((self.there, (kind, a)), (self.back, (kind, b))):
+            n = side.get(key, 0)
+            side[key] = n + by
+            self.clashes += max(n + by - 1, 0) - max(n - 1, 0)
+
+
+def _longest(slots: list[tuple[int, str, str] | None], literal: list[bool], whole: int) -> tuple[int, int, int] | None:
+    """(words covered, first, slots changed) of the longest part of paired words that counts: its slots follow one renaming."""
+    need, best = min(MIN_WORDS, whole), None
+    for verbatim in (False, True):
+        renaming, low, words = Renaming(), 0, 0
+        for k, slot in enumerate(slots):
+            words += literal[k]
+            if slot:
+                renaming.add(*slot)
+            while renaming.clashes or (verbatim and renaming.changed):
+                words -= literal[low]
+                if slots[low]:
+                    renaming.add(*slots[low], by=-1)
+                low += 1
+            covered = k + 1 - low
+            if covered < need or (best and covered <= best[0]):
+                continue
+            if words >= MIN_LITERAL * covered:
+                best = covered, low, renaming.changed
+    return best
 
 
 def match_text(text: str, bench: Benchmark, words: Words) -> list[tuple[object, int, int, int, int]]:
-    """(item id, item's words, words covered, first word in the text, slots changed) of the longest good run of each item."""
+    """(item id, item's words, words covered, first word in the text, slots changed) of the longest good match of each item.
+
+    Words pair along a diagonal if their template codes are equal; runs have WINDOW pairs or more."""
     t = template(text, words)
     best: dict[int, tuple] = {}
-    hits = bench.hits(t.code)
-    k = 0
-    while k < len(hits):
-        item_at, diagonal, begin = hits[k]
-        end = begin + WINDOW
-        k += 1
-        while k < len(hits) and hits[k][:2] == (item_at, diagonal) and hits[k][2] <= end:
-            end = hits[k][2] + WINDOW
-            k += 1
+    for item_at, diagonal in bench.hits(t):
         item = bench.items[item_at]
-        there = slice(begin - diagonal, end - diagonal)
-        kinds = t.kind[begin:end]
-        if not np.array_equal(t.code[begin:end], item.template.code[there]) or not np.array_equal(kinds, item.template.kind[there]):
-            continue  # hashes that met by chance
-        covered, whole = end - begin, len(item.values)
-        if covered < min(MIN_WORDS, whole) or np.count_nonzero(kinds == 0) < MIN_LITERAL * covered:
-            continue
-        values = [words.value[n] for n in t.number[begin:end].tolist()]
-        slots = [(kind, a, b) for kind, a, b in zip(kinds.tolist(), item.values[there], values, strict=True) if kind]
-        changed = _one_to_one(slots)
-        if changed is None:
-            continue
-        if item_at not in best or covered > best[item_at][2]:
-            best[item_at] = (item.number, whole, covered, begin, changed)
+        whole = len(item.values)
+        begin, end = max(diagonal, 0), min(diagonal + whole, len(t.number))
+        here, there = slice(begin, end), slice(begin - diagonal, end - diagonal)
+        kind, item_kind = t.kind[here], item.template.kind[there]
+        equal = t.plain[here] == item.template.plain[there]
+        pairs = (t.code[here] == item.template.code[there]) & (kind == item_kind)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], pairs.astype(np.int8), [0]])))
+        runs = [np.arange(x, y) for x, y in edges.reshape(-1, 2).tolist() if y - x >= min(WINDOW, whole)]
+        for at in runs:
+            values = [words.value[n] for n in t.number[begin + at].tolist()]
+            kinds = np.where(item_kind > 0, item_kind, kind)[at].tolist()
+            slots = [(k, item.values[begin - diagonal + n], v) if k else None for k, n, v in zip(kinds, at.tolist(), values, strict=True)]
+            literal = (equal & ((item.template.kind[there] == 0) | (t.kind[here] == 0)))[at].tolist()
+            good = _longest(slots, literal, whole)
+            if good and (item_at not in best or good[0] > best[item_at][2]):
+                best[item_at] = (item.number, whole, good[0], begin + int(at[good[1]]), good[2])
     return list(best.values())
 
 
