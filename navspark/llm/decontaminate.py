@@ -109,7 +109,7 @@ class Template:
 
     def forms(self) -> list[np.ndarray]:
         """The codes that windows are taken of."""
-        return [self.code]
+        return [self.code, self.named, self.plain]
 
 
 def template(text: str, words: Words) -> Template:
@@ -160,7 +160,7 @@ class Benchmark:
 
     def prepare(self) -> None:
         """One table of windows for each form."""
-        self.tables = [self._table(WINDOW, form) for form in range(1)]
+        self.tables = [self._table(WINDOW, form) for form in range(3)]
 
     def _table(self, size: int, form: int):
         chosen = [n for n, i in enumerate(self.items) if (len(i.values) == size if size < WINDOW else len(i.values) >= size)]
@@ -237,7 +237,8 @@ def _longest(slots: list[tuple[int, str, str] | None], literal: list[bool], whol
 def match_text(text: str, bench: Benchmark, words: Words) -> list[tuple[object, int, int, int, int]]:
     """(item id, item's words, words covered, first word in the text, slots changed) of the longest good match of each item.
 
-    Words pair along a diagonal if their template codes are equal; runs have WINDOW pairs or more."""
+    Words pair along a diagonal if their values are equal or both are placeholders of one type. Runs of WINDOW
+    pairs or more of one diagonal are taken together."""
     t = template(text, words)
     best: dict[int, tuple] = {}
     for item_at, diagonal in bench.hits(t):
@@ -245,12 +246,12 @@ def match_text(text: str, bench: Benchmark, words: Words) -> list[tuple[object,
         whole = len(item.values)
         begin, end = max(diagonal, 0), min(diagonal + whole, len(t.number))
         here, there = slice(begin, end), slice(begin - diagonal, end - diagonal)
-        kind, item_kind = t.kind[here], item.template.kind[there]
+        kind, item_kind = t.named_kind[here], item.template.named_kind[there]
         equal = t.plain[here] == item.template.plain[there]
-        pairs = (t.code[here] == item.template.code[there]) & (kind == item_kind)
+        pairs = equal | ((kind == item_kind) & (kind > 0))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], pairs.astype(np.int8), [0]])))
         runs = [np.arange(x, y) for x, y in edges.reshape(-1, 2).tolist() if y - x >= min(WINDOW, whole)]
-        for at in runs:
+        for at in [np.concatenate(runs)] if runs else []:
             values = [words.value[n] for n in t.number[begin + at].tolist()]
             kinds = np.where(item_kind > 0, item_kind, kind)[at].tolist()
             slots = [(k, item.values[begin - diagonal + n], v) if k else None for k, n, v in zip(kinds, at.tolist(), values, strict=True)]

@@ -25,3 +25,19 @@ def test_one_edited_value_loses_no_long_copy():
 def test_two_values_made_equal():
     item = "add 3 to the first heap of stones and then carry 5 over the long bridge before the old miller closes his gate"
     assert match(item, item.replace("3", "4").replace("5", "4")) == [(21, 2, 1)]
+
+
+def test_short_item_after_a_heading():
+    item = "What is the capital of the old kingdom near Spain?"
+    assert match(item, FILLER + "Quiz\n" + item) == [(10, 14, 0)]
+
+
+def test_renamed_name_that_begins_sentences():
+    item = "Tom has 5 apples. Tom buys 3 more. Tom eats 2. How many apples does Tom have left now?"
+    assert match(item, FILLER + item.replace("Tom", "Ann")) == [(18 + 1, 13, 1)]
+
+
+def test_runs_of_one_diagonal_are_added_up():
+    words = [f"w{k}x" for k in range(19)]
+    assert match(" ".join(words), " ".join([*words[:9], "other", *words[10:]])) == [(18, 0, 0)]
+    assert match(" ".join(words), " ".join([*words[:9], "one", "other", *words[10:]])) == []
