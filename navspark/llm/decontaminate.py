@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Words become a template: numbers, units and names are replaced by typed placeholders, all other words are
-lower-cased and stripped of marks. Windows of WINDOW template words of the benchmark are joined by hash
-to those of the documents. Hits of one item along one diagonal form a run; a run counts if its words
-really agree, if the values in its placeholders follow one consistent one-to-one renaming, and if it
-is long enough. A question with other numbers or names in it is therefore caught like a verbatim one.
+lower-cased and stripped of marks. Windows of WINDOW words of the benchmark are joined by hash to those of the
+documents in three forms: names told by their place, every capitalised word a name, and the values themselves.
+Along the diagonal of a hit, runs of equal words or slots are taken together, and their longest part that follows one
+one-to-one renaming counts if it is long enough. A question with other numbers or names in it is therefore caught
+like a verbatim one. Items shorter than a window have to be there verbatim and whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from navspark.llm.common import release, small_batches
 
 WINDOW = 8
-#: Template words that a run must cover, or the whole item if that is shorter; the part of them that must be literal words.
+#: Words that a match must cover, or the whole item if that is shorter; the part of them that must be literal words where slots have changed.
 MIN_WORDS, MIN_LITERAL = 13, 0.5
 #: Words of benchmark items that are held in memory at once; a larger benchmark is matched in blocks, one scan each.
 BLOCK_WORDS = 4_000_000
@@ -159,8 +160,10 @@ class Benchmark:
         return out
 
     def prepare(self) -> None:
-        """One table of windows for each form."""
+        """One table of windows for each form; items shorter than a window are one window of their values."""
+        short = {len(i.values) for i in self.items if 0 < len(i.values) < WINDOW}
         self.tables = [self._table(WINDOW, form) for form in range(3)]
+        self.short = [(size, self._table(size, 2)) for size in sorted(short)]
 
     def _table(self, size: int, form: int):
         chosen = [n for n, i in enumerate(self.items) if (len(i.values) == size if size < WINDOW else len(i.values) >= size)]
@@ -178,6 +181,7 @@ class Benchmark:
         found = set()
         for code, size, (hashes, item, place, bits) in [
             *((c, WINDOW, b) for c, b in zip(t.forms(), self.tables, strict=True)),
+            *((t.plain, n, b) for n, b in self.short),
         ]:
             h = window_hashes(code, size)
             maybe = np.flatnonzero(bits[h >> np.uint64(42)])
@@ -213,7 +217,9 @@ class Renaming:
 
 
 def _longest(slots: list[tuple[int, str, str] | None], literal: list[bool], whole: int) -> tuple[int, int, int] | None:
-    """(words covered, first, slots changed) of the longest part of paired words that counts: its slots follow one renaming."""
+    """(words covered, first, slots changed) of the longest part of paired words that counts: its slots follow one renaming.
+
+    Items shorter than a window have to be there in full without a change."""
     need, best = min(MIN_WORDS, whole), None
     for verbatim in (False, True):
         renaming, low, words = Renaming(), 0, 0
@@ -229,7 +235,7 @@ def _longest(slots: list[tuple[int, str, str] | None], literal: list[bool], whol
             covered = k + 1 - low
             if covered < need or (best and covered <= best[0]):
                 continue
-            if words >= MIN_LITERAL * covered:
+            if not renaming.changed or (whole >= WINDOW and words >= MIN_LITERAL * covered):
                 best = covered, low, renaming.changed
     return best
 
@@ -307,7 +313,8 @@ def contaminated(
     The benchmark is held in memory in blocks of ``block_words`` words; each block costs a scan of the
     documents, which are never shuffled.
 
-    Defined cases: null and short texts (fewer than `WINDOW` words) match nothing, on either side; null ids
+    Defined cases: null and blank texts match nothing, on either side; items of fewer than `WINDOW` words match verbatim and
+    whole only, so a benchmark item of one word is found wherever that word stands; null ids
     are carried along; repeated rows are reported each; empty tables give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)

@@ -41,3 +41,15 @@ def test_runs_of_one_diagonal_are_added_up():
     words = [f"w{k}x" for k in range(19)]
     assert match(" ".join(words), " ".join([*words[:9], "other", *words[10:]])) == [(18, 0, 0)]
     assert match(" ".join(words), " ".join([*words[:9], "one", "other", *words[10:]])) == []
+
+
+def test_copies_of_numbers():
+    item = "What number comes next in 1, 2, 4, 8, 16, 32, 64, 128?"
+    assert match(item, FILLER + item) == [(13, 13, 0)]
+    assert match(item, item.replace("16", "17").replace("32", "40")) == []  # too few words that are not slots
+
+
+def test_items_shorter_than_a_window():
+    assert match("Who wrote Hamlet?", FILLER + "who wrote Hamlet? " + FILLER) == [(3, 13, 0)]
+    assert match("Who wrote Hamlet?", "who wrote Faust? " + FILLER) == []
+    assert match("Who wrote Hamlet?", "") == []
