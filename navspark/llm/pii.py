@@ -39,8 +39,8 @@ CARD_JOIN = r"(?<=[0-9])[\x20-](?=[0-9])"
 CARD = rf"(?<![0-9{JOIN}])(?=(?:[0-9]{JOIN}?){{12}})[0-9{JOIN}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9+.(-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-HIDDEN_EMAIL = r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}\x20?[(\[]dot[)\]]\x20?[a-z]{2,24}"
-SECRET = r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key)(?![a-z0-9_])\x20{0,3}[=:]\x20{0,3}\"?[A-Za-z0-9+/_-]{8,256}\"?|(?-i:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))"
+HIDDEN_EMAIL = r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]++\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}\x20?[(\[]dot[)\]]\x20?[a-z]{2,24}"
+SECRET = r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key)(?![a-z0-9_])\x20{0,3}[=:]\x20{0,3}\"?[A-Za-z0-9+/_-]{8,}+\"?|(?-i:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))"
 TITLED = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?"
 
 #: Words that the gazetteer and context labelers know.
