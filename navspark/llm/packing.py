@@ -98,6 +98,17 @@ def plan(histogram: dict[int, int], window: int) -> Layout:
     return Layout(*columns, windows)
 
 
+def _ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many pieces of its length came before each; ``seen`` counts those of earlier calls and is brought up to date."""
+    order = np.argsort(length, kind="stable")
+    ordered = length[order]
+    first = np.searchsorted(ordered, ordered, "left")
+    out = np.empty(len(length), np.int64)
+    out[order] = seen[ordered] + np.arange(len(ordered)) - first
+    seen += np.bincount(length, minlength=len(seen))
+    return out
+
+
 def cut_pieces(tokenizer_path: str, end_id: int, window: int):
     """For ``mapInArrow`` over (text, others): the pieces of each text with their rank among those of the same length in the task."""
 
@@ -107,26 +118,32 @@ def cut_pieces(tokenizer_path: str, end_id: int, window: int):
         block = TaskContext.get().partitionId()
         enc = encoder(tokenizer_path, False)
         width = enc.dtype.itemsize
-        end = np.array([end_id], enc.dtype).tobytes()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
-            row, out = [], []
-            for n, ids in enumerate(enc.encode(batch.column("text").to_pylist())):
-                ids += end
-                total = len(ids) // width
-                for start in range(0, total, window):
-                    piece = ids[start * width : (start + window) * width]
-                    length = len(piece) // width
-                    crc = zlib.crc32(np.frombuffer(piece, enc.dtype).astype("<u4").tobytes())
-                    out.append((length, start, piece, crc, total, block, int(seen[length])))
-                    seen[length] += 1
-                    row.append(n)
+            flat, counts = enc.encode_column(batch.column("text"))
+            counts = counts + 1
+            ends = np.cumsum(counts)
+            whole = np.full(int(ends[-1]) if len(ends) else 0, end_id, enc.dtype)
+            kept = np.ones(len(whole), bool)
+            kept[ends - 1] = False
+            whole[kept] = flat
+            pieces = -(-counts // window)
+            row = np.repeat(np.arange(len(counts)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            total = counts[row]
+            length = np.minimum(window, total - start)
+            at = (ends - counts)[row] + start
+            wide, narrow = memoryview(whole.astype("<u4")).cast("B"), memoryview(whole).cast("B")
+            spans = list(zip(at.tolist(), (at + length).tolist(), strict=True))
+            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in spans]
+            ids = [narrow[width * a : width * b] for a, b in spans]
             rest = [c for c in batch.schema.names if c != "text"]
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            taken = batch.select(rest).take(pa.array(row, pa.int64()))
-            names = ["length", "start", "ids", "ids_crc32", "doc_tokens", "block", "rank"]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*rest, *names])
+            columns = [
+                *(batch.column(c).take(pa.array(row)) for c in rest),
+                pa.array(length, pa.int32()), pa.array(start), pa.array(ids, pa.binary()), pa.array(crc, pa.int64()), pa.array(total),
+                pa.array(np.full(len(row), block, np.int32)), pa.array(_ranks(length, seen)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*rest, "length", "start", "ids", "ids_crc32", "doc_tokens", "block", "rank"])
         release()
 
     return run

@@ -7,8 +7,8 @@ blocks of about BLOCK_DOCS documents or BLOCK_BYTES of ids. Each block is read b
 ====== =================================================================================
 name   data
 ====== =================================================================================
-head   int64 x 4: documents, keys, tokens, bytes per id
-keys   int64 per document: its id, ascending (a null id is the largest)
+head   int64 x 5: documents, keys, tokens, bytes per id, documents without an id (the last ones)
+keys   int64 per document: its id, ascending (a null id is the largest number)
 places int64 per document and one more: where its ids begin, in ids from the block's first
 disp   int32 per bucket: the displacements of the perfect hash
 slots  per slot: uint32 fingerprint of the key, uint32 its first document, uint32 how many
@@ -24,20 +24,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navspark.llm import perfect_hash
-from navspark.llm.common import LARGEST_ID, release, small_batches
+from navspark.llm.common import LARGEST_ID, materialize, release, small_batches
 from navspark.llm.tokens import encoder
 
-#: Documents of a shard; documents and bytes of ids from which a block is full.
-SHARD_DOCS = 8192
+#: Documents of a shard at least, where that keeps all cores busy, and at most; documents and bytes of ids from which a block is full.
+SHARD_DOCS, LARGE_SHARD_DOCS = 8192, 65536
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 21
+#: Keys that one row of a lookup asks a block for; more are dealt to several rows.
+ASKED_KEYS = 65536
 SECTIONS = ("head", "keys", "places", "disp", "slots", "ids")
 STORE_SCHEMA = "shard int, block int, first long, last long, " + ", ".join(f"{n} binary" for n in SECTIONS)
 _SLOT = np.dtype([("mark", "<u4"), ("first", "<u4"), ("count", "<u4")])
 
 
-def make_block(shard: int, block: int, keys: list[int], counts: list[int], ids: bytes, width: int) -> pa.RecordBatch:
+def make_block(shard: int, block: int, keys: list[int], counts: list[int], ids: bytes, width: int, missing: int) -> pa.RecordBatch:
     """One row of the table: the index of the keys, which are in ascending order, and the ids."""
     key = np.array(keys, "<i8")
     places = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
@@ -45,14 +48,14 @@ def make_block(shard: int, block: int, keys: list[int], counts: list[int], ids:
     displace, slot = perfect_hash.build(distinct)
     slots = np.zeros(len(distinct), _SLOT)
     slots["mark"][slot], slots["first"][slot], slots["count"][slot] = perfect_hash.fingerprint(distinct), first, count
-    head = np.array([len(key), len(distinct), places[-1], width], "<i8")
+    head = np.array([len(key), len(distinct), places[-1], width, missing], "<i8")
     sections = [*(x.tobytes() for x in (head, key, places, displace.astype("<i4"), slots)), ids]
     columns = [pa.array([x], pa.int32()) for x in (shard, block)] + [pa.array([int(x)], pa.int64()) for x in (key[0], key[-1])]
     return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in sections)], ["shard", "block", "first", "last", *SECTIONS])
 
 
 def write_shard(tokenizer_path: str, end_id: int):
-    """For ``mapInArrow`` over one shard's (key, text), ascending by key: the blocks of the shard."""
+    """For ``mapInArrow`` over one shard's (key, missing, text), ascending: the blocks of the shard."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -61,36 +64,50 @@ def write_shard(tokenizer_path: str, end_id: int):
         enc = encoder(tokenizer_path, True)
         width = enc.dtype.itemsize
         end = np.array([end_id], enc.dtype).tobytes()
-        keys, counts, held = [], [], bytearray()
+        keys, counts, held, missing = [], [], bytearray(), 0
         for batch in batches:
-            for key, ids in zip(batch.column("key").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+            flat, sizes = enc.encode_column(batch.column("text"))
+            raw, ends = memoryview(flat).cast("B"), (np.cumsum(sizes) * width).tolist()
+            for key, none, size, last in zip(batch.column("key").to_pylist(), batch.column("missing").to_pylist(), sizes.tolist(), ends, strict=True):
                 full = len(keys) >= BLOCK_DOCS or len(held) >= BLOCK_BYTES
                 if full and key != keys[-1]:  # rows that repeat an id share a block
-                    yield make_block(shard, block, keys, counts, bytes(held), width)
-                    keys, counts, held, block = [], [], bytearray(), block + 1
+                    yield make_block(shard, block, keys, counts, bytes(held), width, missing)
+                    keys, counts, held, missing, block = [], [], bytearray(), 0, block + 1
                 keys.append(key)
-                counts.append(len(ids) // width + 1)
-                held += ids
+                missing += none
+                counts.append(size + 1)
+                held += raw[last - size * width : last]
                 held += end
         if keys:
-            yield make_block(shard, block, keys, counts, bytes(held), width)
+            yield make_block(shard, block, keys, counts, bytes(held), width, missing)
         release()
 
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> None:
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    """Keys are 64-bit integers; for others number the documents first."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"the token store's keys are integers; {id_col} is {kind.simpleString()}")
+
+
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_docs: int | None = None) -> None:
     """Encodes whole texts, appends ``end_id`` to each and writes the store at ``path``, in ascending order of id.
 
-    Ranges of ids are dealt to shards, so shards hold about ``shard_docs`` documents. Null texts count as empty; a
-    null id is the largest; rows that repeat an id are all stored, in order of their text; an empty table
-    gives an empty store; other columns are ignored.
+    Ids are integers; a TypeError tells of others. Ranges of ids are dealt to shards of ``shard_docs`` documents or, unless that is given, of
+    `SHARD_DOCS` to `LARGE_SHARD_DOCS`. Null texts count as empty; a null id comes after all others; rows that repeat an id
+    are all stored, in order of their text; an empty table gives an empty store; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)).alias("key")
-    slim = docs.select(key, F.col(text_col).cast("string").alias("text"))
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = slim.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
+    integer_ids(docs, id_col)
+    slim = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)).alias("key"), F.col(id_col).isNull().alias("missing"), F.col(text_col).cast("string").alias("text")
+    )
+    count = docs.count()
+    busy = min(-(-count // SHARD_DOCS), 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    shards = -(-count // shard_docs) if shard_docs else max(busy, -(-count // LARGE_SHARD_DOCS))
+    dealt = slim.repartitionByRange(max(1, shards), "key").sortWithinPartitions("key", "missing", "text")
     dealt.mapInArrow(write_shard(tokenizer_path, end_id), STORE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
@@ -98,7 +115,7 @@ class BlockIndex:
     """The index of one block."""
 
     def __init__(self, row: dict[str, bytes]):
-        self.docs, self.n_keys, self.tokens, self.width = np.frombuffer(row["head"], "<i8").tolist()
+        self.docs, self.n_keys, self.tokens, self.width, self.missing = np.frombuffer(row["head"], "<i8").tolist()
         self.keys, self.places = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["places"], "<i8")
         self.displace, self.slots = np.frombuffer(row["disp"], "<i4"), np.frombuffer(row["slots"], _SLOT)
 
@@ -124,11 +141,12 @@ def _read_blocks(batches):
         keys = np.repeat(distinct, count)
         doc = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(keys))
         begins, ends = index.places[doc], index.places[doc + 1]
-        ids = np.frombuffer(row["ids"], f"<u{index.width}")
-        crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        wide = memoryview(np.frombuffer(row["ids"], f"<u{index.width}").astype("<u4")).cast("B")
+        crc = [zlib.crc32(wide[4 * x : 4 * y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
         places = [np.full(len(keys), row[c], np.int32) for c in ("shard", "block")]
-        columns = [pa.array(x) for x in (*places, keys, begins, ends - begins)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(crc, pa.int64())], ["shard", "block", "key", "begin", "n_tokens", "crc"])
+        ids = pa.array(keys, mask=doc >= index.docs - index.missing)
+        columns = [*(pa.array(x) for x in places), ids, pa.array(begins), pa.array(ends - begins), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "key", "begin", "n_tokens", "crc"])
 
 
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -147,7 +165,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
     # the first window has one row per shard, of thousands of documents each
     starts = head.select("shard", "block", inside.alias("inside")).join(shards.select("shard", before.alias("before")), "shard")
     return docs.join(starts, ["shard", "block"]).select(
-        F.nullif("key", F.lit(LARGEST_ID)).alias(id_col),
+        F.col("key").alias(id_col),
         (F.col("before") + F.col("inside") + F.col("begin")).alias("start"),
         "n_tokens",
         F.col("crc").alias("ids_crc32"),
@@ -155,41 +173,79 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
 
 
 def _find_keys(batches):
-    """For ``mapInArrow`` over blocks with the keys asked of them (column wanted): (key, ids) of those that are there."""
+    """For ``mapInArrow`` over blocks with the keys asked of them (column wanted, null for documents without an id): (key, ids) of those that are there."""
     for row in _rows_of(batches):
         index = BlockIndex(row)
-        wanted = np.unique(np.array(row["wanted"], np.int64))
-        first, count = index.find(wanted)
+        wanted = [k for k in row["wanted"] if k is not None]
+        keys = np.unique(np.array(wanted, np.int64))
+        first, count = index.find(keys)
+        named = index.docs - index.missing
+        found = [(k, d) for k, f, n in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True) for d in range(f, min(f + n, named))]
+        found += [(None, d) for d in range(named, index.docs) if len(wanted) < len(row["wanted"])]
         ids = np.frombuffer(row["ids"], f"<u{index.width}")
-        found = [(k, d) for k, f, n in zip(wanted.tolist(), first.tolist(), count.tolist(), strict=True) for d in range(f, f + n)]
         values = [ids[index.places[d] : index.places[d + 1]].astype(np.int64).tolist() for _, d in found]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["key", "ids"])
 
 
+def _carry_blocks(batches):
+    """For ``mapInArrow`` over one range of blocks (their first keys) and asked keys, sorted: each key with the last block at or
+    before it, null if that is in an earlier range; and, with asked null, the last block of the range."""
+    from pyspark import TaskContext
+
+    part, held = TaskContext.get().partitionId(), (None, None, None)
+    for batch in batches:
+        rows = []
+        for at, asked, missing, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if asked:
+                rows.append((part, True, at, missing, *held))
+            else:
+                held = tuple(place)
+        yield _routed(rows)
+    yield _routed([(part, None, None, None, *held)])
+
+
+_ROUTED = "part int, asked boolean, key long, missing boolean, last long, shard int, block int"
+
+
+def _routed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _ROUTED.split(", ")])
+
+
+def _route(store: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, missing, shard, block): the block that each key has to be in if it is there at all.
+
+    Blocks and keys are sorted together by ranges; a range is told the last block before it by a table of one row per range.
+    """
+    blocks = store.select(F.col("first").alias("at"), F.lit(False).alias("asked"), F.lit(False).alias("missing"), "last", "shard", "block")
+    keys = asked.select(F.col("key").alias("at"), F.lit(True).alias("asked"), "missing", *(F.lit(None).cast(t).alias(c) for c, t in (("last", "long"), ("shard", "int"), ("block", "int"))))
+    sorted_ = blocks.unionByName(keys).repartitionByRange("at").sortWithinPartitions("at", "asked")
+    routed = materialize(sorted_.mapInArrow(_carry_blocks, _ROUTED), "lookup-route")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per shuffle partition
+    last = F.last(F.when(F.col("block").isNotNull(), F.struct("last", "shard", "block")), ignorenulls=True).over(earlier)
+    before = routed.filter("asked IS NULL").select("part", last.alias("before"))
+    place = F.when(F.col("block").isNotNull(), F.struct("last", "shard", "block")).otherwise(F.col("before"))
+    found = routed.filter("asked").join(F.broadcast(before), "part").select("key", "missing", place.alias("p"))
+    return found.filter("key <= p.last").select("key", "missing", "p.shard", "p.block")
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id column, ids) of the documents asked for. Only blocks whose range holds a key are opened; ids that are not in the store give no row.
 
-    Keys are dealt to blocks by the blocks' first ids, one number per block of a thousand documents or so.
+    A null id asks for the documents without one.
     """
     small_batches(spark)
+    integer_ids(keys, id_col)
     store = spark.read.schema(STORE_SCHEMA).parquet(path)
-    bounds = sorted((r.first, r.shard, r.block) for r in store.select("first", "shard", "block").collect())
-    starts = [b[0] for b in bounds]
-
-    def route(batches):
-        for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(np.array(starts, np.int64), key, "right") - 1
-            kept = np.flatnonzero(at >= 0)
-            place = [bounds[k] for k in at[kept].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[1] for p in place], pa.int32()), pa.array([p[2] for p in place], pa.int32()), pa.array(key[kept])], ["shard", "block", "key"]
-            )
-
-    asked = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)).alias("key")).distinct()
-    routed = asked.mapInArrow(route, "shard int, block int, key long").groupBy("shard", "block").agg(F.collect_list("key").alias("wanted"))
-    found = store.drop("first", "last").join(routed, ["shard", "block"]).mapInArrow(_find_keys, "key long, ids array<long>")
-    return found.select(F.nullif("key", F.lit(LARGEST_ID)).alias(id_col), "ids")
+    asked = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST_ID)).alias("key"), F.col(id_col).isNull().alias("missing")).distinct()
+    routed = _route(store, asked)
+    shares = routed.groupBy("shard", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED_KEYS)).cast("int").alias("shares"))
+    dealt = routed.join(shares, ["shard", "block"]).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")))
+    wanted = dealt.groupBy("shard", "block", "share").agg(F.collect_list(F.struct(F.when(~F.col("missing"), F.col("key")).alias("k"))).alias("wanted"))
+    wanted = wanted.withColumn("wanted", F.transform("wanted", lambda w: w["k"]))
+    found = store.drop("first", "last").join(wanted, ["shard", "block"]).mapInArrow(_find_keys, "key long, ids array<long>")
+    return found.withColumnRenamed("key", id_col)
 
 
 def _long(data: str, number: int):

@@ -4,8 +4,9 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from navspark.llm import perfect_hash, queries
+from navspark.llm import perfect_hash, queries, tokens
 from navspark.llm.common import scratch
 from navspark.llm.packing import fill, pack, plan
 from navspark.llm.token_store import STORE_SCHEMA, BlockIndex, lookup, read_store, write_store
@@ -14,11 +15,11 @@ from navspark.llm.tokens import Encoder
 P = pytest.importorskip("public_tokenizers")
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
-ODD = ["", " ", "a", "  a", "a  ", "\na", "a \n b", "x\r\ny z", "don't  's", " 's b", "é ́a", "a\x1cb c", "a\xa0b c", "<|endoftext|> x", "İ. İi ΑΣ ΣΑΣ", "日本 語\n語", "🙂 🙂\n\n🙂", "a   b\n\n d\te", None, "word, " * 3000]
+ODD = ["", " ", "a", "  a", "a  ", "\na", "a \n b", "x\r\ny z", "don't  's", " 's b", "é ́a", "a\x1cb c", "a\xa0b c", "<|endoftext|> x", "İ. İi ΑΣ ΣΑΣ", "日本 語\n語", "🙂 🙂\n\n🙂", "a   b\n\n d\te", None, "word, " * 3000, "a<|startoftext|>b <|endoftext|>", "<|endoftext|>", "\u00a0 x", "tail \n\n", "H\u0331. x"]
 
 
 def direct(path, texts):
-    t = Encoder(path, True).tokenizer
+    t = Tokenizer.from_file(path)
     return [x.ids + [2] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -33,7 +34,19 @@ def test_cached_encoding_is_exact(path, spaced):
     enc = Encoder(path, spaced)
     for _ in range(2):
         got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
-        assert got == [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert got == [ids[:-1] for ids in direct(path, texts)]
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_long_texts_and_little_memory(path, spaced, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 50)
+    monkeypatch.setattr(tokens, "STEP_BYTES", 1000)
+    random.seed(6)
+    words = ["".join(random.choice("abcdeé") for _ in range(random.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(random.choice(words) for _ in range(random.randint(0, 60))) + random.choice(["", ".", "\n\n"]) for _ in range(60)]
+    texts += ["x" * 200_000, " ".join(random.choice(words) for _ in range(600_000)), None]
+    enc = Encoder(path, spaced)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [ids[:-1] for ids in direct(path, texts)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 500, 5000])
@@ -83,6 +96,14 @@ def test_lookup_finds_ids_and_nothing_else(spark):
     path = scratch(spark, "t")
     write_store(docs, path, BYTE, 2, shard_docs=1500)
     got = sorted((r.doc_id, r.ids) for r in lookup(spark, path, spark.createDataFrame([(k,) for k in (30, 31, 2999, 11997, -5, 99999, 600)], "doc_id long")).collect())
+    odd = docs.unionByName(spark.createDataFrame([((1 << 63) - 1, "largest"), (None, "none"), (None, "none")], docs.schema))
+    odd_path = scratch(spark, "t")
+    write_store(odd, odd_path, BYTE, 2)
+    ask = lambda *k: sorted(str(r.doc_id) for r in lookup(spark, odd_path, spark.createDataFrame([(x,) for x in k], "doc_id long")).collect())
+    assert ask((1 << 63) - 1) == [str((1 << 63) - 1)] and ask(None) == ["None", "None"] and ask(None, (1 << 63) - 1, 3) == ["3", str((1 << 63) - 1), "None", "None"]
+    assert read_store(spark, odd_path).filter("doc_id IS NULL").count() == 2
+    with pytest.raises(TypeError):
+        write_store(docs.withColumn("doc_id", F.col("doc_id").cast("string")), odd_path, BYTE, 2)
     texts = [(30, "again"), (30, ""), (600, ""), (11997, "text number 3999 " * 4)]
     assert got == sorted((k, ids) for (k, _), ids in zip(texts, direct(BYTE, [t for _, t in texts]), strict=True))
 
@@ -125,6 +146,8 @@ def test_packing_over_the_table(spark):
 
 
 def test_packing_odd_rows_small_window(spark):
+    odd = spark.createDataFrame([(None, "no id here"), (None, None), (3, "twice"), (3, "twice")], "doc_id long, text string").withColumn("length", F.lit(1))
+    assert sorted(str((r.doc_id, r.length)) for r in pack(odd, WORD, 2).collect()) == ["(3, 2)", "(3, 2)", "(None, 1)", "(None, 4)"]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(ODD)], "doc_id long, text string, length int").repartition(3)
     got = pack(docs, WORD, 2, window=16)
     ids = {r.doc_id: b"" for r in got.select("doc_id").collect()}
