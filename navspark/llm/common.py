@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of Arrow data that a Python worker is handed at once.
 BATCH_BYTES = 2 << 20
 LARGEST_ID = (1 << 63) - 1
+#: Bits of a `bit_filter`, 2**25: 4 MB.
+FILTER_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. Only a local session may leave that unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         shared = f"file://{tempfile.gettempdir()}/navspark-scratch"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -69,6 +73,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bit_filter(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """A bit table of keys, written to scratch space: 1,024 bitmaps of 4 KB at most, however many keys there are."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
+    marked = keys.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_number"))
+    return materialize(marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits")), "bit-filter")
+
+
+def maybe_in(df: DataFrame, columns: list[str], bits: DataFrame, name: str) -> DataFrame:
+    """Adds a boolean: false where the key is certainly not among those of the `bit_filter`, whose size allows a broadcast."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    held = F.coalesce(F.bit_get(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return df.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("_number"), "left").withColumn(name, held).drop("_number", "_bits")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

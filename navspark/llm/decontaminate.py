@@ -1,34 +1,39 @@
 """Benchmark decontamination by template windows.
 
 Words become a template: numbers, units and names are replaced by typed placeholders, all other words are
-lower-cased and stripped of marks. Windows of WINDOW words of the benchmark are joined by hash to those of the
-documents in three forms: names told by their place, every capitalised word a name, and the values themselves.
-Along the diagonal of a hit, runs of equal words or slots are taken together, and their longest part that follows one
-one-to-one renaming counts if it is long enough. A question with other numbers or names in it is therefore caught
-like a verbatim one. Items shorter than a window have to be there verbatim and whole.
+lower-cased and stripped of marks. Windows of WINDOW words are taken in three forms: names told by their place, every capitalised
+word a name, and the values themselves. The windows of the benchmark are a table; documents are scanned once for windows that
+may be in it (a bit table tells), those are joined to it by hash, and each pair of text and item is checked along the
+diagonals so found: runs of equal words or slots are taken together, and their longest part that follows one one-to-one
+renaming counts if it is long enough. A question with other numbers or names in it is therefore caught like a verbatim one. Items
+shorter than a window have to be there verbatim and whole.
+
+Copies of one text are checked once. Nothing of the benchmark but the bit table, whose size is bounded, is sent to tasks.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from navspark.llm.common import release, small_batches
+from navspark.llm.common import bit_filter, fresh, hash128, materialize, maybe_in, release, small_batches
 
 WINDOW = 8
 #: Words that a match must cover, or the whole item if that is shorter; the part of them that must be literal words where slots have changed.
 MIN_WORDS, MIN_LITERAL = 13, 0.5
-#: Words of benchmark items that are held in memory at once; a larger benchmark is matched in blocks, one scan each.
-BLOCK_WORDS = 4_000_000
+#: Bits of the table that documents' windows are tested with: 64 for each window of the benchmark, as powers of two within these.
+LEAST_BITS, MOST_BITS = 20, 27
+#: Rows that the items to check of one text are dealt to.
+SHARES = 16
 #: Distinct raw words whose template a worker keeps.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 
 #: Words that name units of measurement or money, and words for numbers.
 UNITS = frozenset(
@@ -96,10 +101,14 @@ class Words(dict):
         return n
 
 
+#: What a word that is only marks comes to.
+_NOTHING = xxhash.xxh64_intdigest(b"")
+
+
 @dataclass
 class Template:
-    """A text as template. Per word: the code and placeholder type with names told by place, the same with every
-    capitalised word as a name, a hash of the value, and the word number for the value itself."""
+    """Texts as template, one after the other. Per word: the code and placeholder type with names told by place, the same with every
+    capitalised word as a name, a hash of the value, and the word number for the value itself; begin: where each text begins, and the end."""
 
     code: np.ndarray
     kind: np.ndarray
@@ -107,92 +116,136 @@ class Template:
     named_kind: np.ndarray
     plain: np.ndarray
     number: np.ndarray
+    begin: np.ndarray
 
-    def forms(self) -> list[np.ndarray]:
-        """The codes that windows are taken of."""
-        return [self.code, self.named, self.plain]
+    def forms(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The codes that windows are taken of, each with which words are neither placeholders nor mere marks."""
+        word = self.plain != np.uint64(_NOTHING)
+        return [(self.code, word & (self.kind == 0)), (self.named, word & (self.named_kind == 0))]
 
 
-def template(text: str, words: Words) -> Template:
-    """A capitalised word is a name unless it begins the text or a sentence, where it may be either."""
+def templates(texts: pa.Array, words: Words) -> Template:
+    """A capitalised word is a name unless it begins a text or a sentence, where it may be either. Null counts as empty."""
     if len(words.value) > CACHE_WORDS:
         words.reset()
-    raw = text.split()
-    number = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    raw = split.flatten()
+    real = np.asarray(pc.binary_length(raw)) > 0
+    begin = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))])]
+    coded = raw.filter(pa.array(real)).dictionary_encode()
+    distinct = np.fromiter(map(words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    number = distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
     code, kind, titled = words.code[number], words.kind[number], words.titled[number]
     named, named_kind = np.where(titled, np.uint64(NAME), code), np.where(titled, NAME, kind)
-    if len(number):
-        begins = np.concatenate([[True], words.ends[number][:-1]])
-        name = titled & ~begins
-        code, kind = np.where(name, np.uint64(NAME), code), np.where(name, NAME, kind)
-    return Template(code, kind, named, named_kind, words.plain[number], number)
+    begins = np.zeros(len(number) + 1, bool)
+    begins[1:] = words.ends[number]
+    begins[begin] = True
+    name = titled & ~begins[:-1]
+    return Template(np.where(name, np.uint64(NAME), code), np.where(name, NAME, kind), named, named_kind, words.plain[number], number, begin)
 
 
 def window_hashes(code: np.ndarray, size: int = WINDOW) -> np.ndarray:
     if len(code) < size:
         return np.zeros(0, np.uint64)
     n = len(code) - size + 1
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, size, np.uint64)
     for k in range(size):
         out = out * _STEP + code[k : k + n]
     return out ^ (out >> np.uint64(29))
 
 
-@dataclass
-class Item:
-    number: object
-    template: Template
-    values: list[str]
+def _of_form(code: np.ndarray, word: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the windows within one text that hold ``least`` words."""
+    many = np.concatenate([[0], np.cumsum(word)])
+    at = np.flatnonzero(inside & (many[WINDOW:] - many[:-WINDOW] >= least))
+    return window_hashes(code)[at], at
 
 
-@dataclass
-class Benchmark:
-    """Items with their windows: sorted hashes and, beside them, item and place. A bit table answers most misses."""
-
-    items: list[Item] = field(default_factory=list)
-
-    @staticmethod
-    def of(rows: list[tuple[object, str]]) -> Benchmark:
-        words, out = Words(), Benchmark()
-        for number, text in rows:
-            t = template(text or "", words)
-            out.items.append(Item(number, t, [words.value[n] for n in t.number.tolist()]))
-        return out
-
-    def prepare(self) -> None:
-        """One table of windows for each form; items shorter than a window are one window of their values."""
-        short = {len(i.values) for i in self.items if 0 < len(i.values) < WINDOW}
-        self.tables = [self._table(WINDOW, form) for form in range(3)]
-        self.short = [(size, self._table(size, 2)) for size in sorted(short)]
-
-    def _table(self, size: int, form: int):
-        chosen = [n for n, i in enumerate(self.items) if (len(i.values) == size if size < WINDOW else len(i.values) >= size)]
-        hashes = [window_hashes(self.items[n].template.forms()[form], size) for n in chosen]
-        item = np.repeat(np.array(chosen, np.int64), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
-        every = np.concatenate(hashes or [np.zeros(0, np.uint64)])
-        order = np.argsort(every, kind="stable")
-        bits = np.zeros(1 << 22, bool)
-        bits[every >> np.uint64(42)] = True
-        return every[order], item[order], place[order], bits
-
-    def hits(self, t: Template) -> list[tuple[int, int]]:
-        """(item, diagonal) of each pair of windows that are equal in one of the forms."""
-        found = set()
-        for code, size, (hashes, item, place, bits) in [
-            *((c, WINDOW, b) for c, b in zip(t.forms(), self.tables, strict=True)),
-            *((t.plain, n, b) for n, b in self.short),
-        ]:
-            h = window_hashes(code, size)
-            maybe = np.flatnonzero(bits[h >> np.uint64(42)])
-            if not len(maybe):
-                continue
-            lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
-            count = hi - lo
-            at = np.repeat(maybe, count)
-            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(at))
-            found.update(zip(item[entry].tolist(), (at - place[entry]).tolist(), strict=True))
-        return sorted(found)
+def windows(t: Template, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of all windows: of WINDOW words in each form, and of the sizes ``short`` of values.
+
+    Placeholder windows with fewer than two literal words are left out: a match with changed slots is literal in half of its words at
+    least, so it has another window; one without changed slots has windows of values, of which only those of mere marks go.
+    """
+    found = []
+    end = np.repeat(t.begin[1:], np.diff(t.begin))
+    place = np.arange(len(t.number))
+    if len(t.number) >= WINDOW:
+        inside = (place + WINDOW <= end)[: len(t.number) - WINDOW + 1]
+        found += [_of_form(code, word, inside, 2) for code, word in t.forms()]
+        found.append(_of_form(t.plain, t.plain != np.uint64(_NOTHING), inside, 1))
+    for size in short:
+        if len(t.number) >= size:
+            at = np.flatnonzero((place + size <= end)[: len(t.number) - size + 1])
+            found.append((window_hashes(t.plain, size)[at], at))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _item_windows(batches):
+    """For ``mapInArrow`` over (number, text) of items: (hash, number, place, size); an item shorter than a window is one window."""
+    words = Words()
+    for batch in batches:
+        t = templates(batch.column("text"), words)
+        sizes = np.diff(t.begin)
+        hashes, places = windows(t, [])
+        item = np.searchsorted(t.begin, places, "right") - 1
+        place, size = places - t.begin[item], np.full(len(item), WINDOW)
+        for n in np.flatnonzero((sizes > 0) & (sizes < WINDOW)).tolist():
+            hashes = np.append(hashes, window_hashes(t.plain[t.begin[n] : t.begin[n + 1]], int(sizes[n])))
+            item, place, size = np.append(item, n), np.append(place, 0), np.append(size, sizes[n])
+        number = batch.column("number").take(pa.array(item))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), number, pa.array(place), pa.array(size)], ["hash", "number", "place", "size"])
+
+
+def _probes(hashes, log: int):
+    """Two bits of a table of 2**log for each hash."""
+    return hashes >> np.uint64(64 - log), hashes >> np.uint64(8) & np.uint64((1 << log) - 1)
+
+
+def _bit_table(table: DataFrame, log: int) -> np.ndarray:
+    """The bit table of a column hash, in bytes: built by Spark, 16 MB at most."""
+    probes = F.array(F.shiftrightunsigned("hash", 64 - log), F.shiftrightunsigned("hash", 8).bitwiseAND(F.lit((1 << log) - 1)))
+    bits = table.select(F.explode(probes).alias("bit")).select((F.col("bit") + 1).alias("bit"))
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(1 << log - 3, np.uint8)
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(r.bits, np.uint8)[: len(out)]
+        out[(r.n - 1) * 4096 :][: len(part)] = part
+    return out
+
+
+def _scan(bits, log: int, short: list[int]):
+    """For ``mapInArrow`` over (id, text): (id, text, hashes, places) of texts with windows that may be in the benchmark."""
+
+    def run(batches):
+        table, words = bits.value, Words()
+        for batch in batches:
+            t = templates(batch.column("text"), words)
+            hashes, places = windows(t, short)
+            first, second = _probes(hashes, log)
+            hit = np.flatnonzero(table[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1)
+            second = second[hit]
+            hit = hit[(table[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8) & 1) > 0]
+            hashes, places = hashes[hit], places[hit]
+            doc = np.searchsorted(t.begin[1:], places, "right")
+            order = np.argsort(doc, kind="stable")
+            docs, begin = np.unique(doc[order], return_index=True)
+            offsets = pa.array(np.append(begin, len(order)), pa.int32())
+            rows = pa.array(docs)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(rows) for c in ("id", "text")),
+                    pa.ListArray.from_arrays(offsets, pa.array(hashes[order].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array((places - t.begin[doc])[order])),
+                ],
+                ["id", "text", "hashes", "places"],
+            )
+        words.reset()
+        release()
+
+    return run
 
 
 class Renaming:
@@ -240,114 +293,110 @@ def _longest(slots: list[tuple[int, str, str] | None], literal: list[bool], whol
     return best
 
 
-def match_text(text: str, bench: Benchmark, words: Words) -> list[tuple[object, int, int, int, int]]:
-    """(item id, item's words, words covered, first word in the text, slots changed) of the longest good match of each item.
+def match_item(text: Template, item: Template, words: Words, diagonals: list[int]) -> tuple[int, int, int, int] | None:
+    """(item's words, words covered, first word in the text, slots changed) of the longest good match, None without one.
 
     Words pair along a diagonal if their values are equal or both are placeholders of one type. Runs of WINDOW
-    pairs or more of one diagonal are taken together."""
-    t = template(text, words)
-    best: dict[int, tuple] = {}
-    for item_at, diagonal in bench.hits(t):
-        item = bench.items[item_at]
-        whole = len(item.values)
-        begin, end = max(diagonal, 0), min(diagonal + whole, len(t.number))
+    pairs or more of one diagonal are taken together. Both templates are of one text and of the same words."""
+    whole, size, best = len(item.number), len(text.number), None
+    for diagonal in sorted(diagonals):
+        begin, end = max(diagonal, 0), min(diagonal + whole, size)
         here, there = slice(begin, end), slice(begin - diagonal, end - diagonal)
-        kind, item_kind = t.named_kind[here], item.template.named_kind[there]
-        equal = t.plain[here] == item.template.plain[there]
+        kind, item_kind = text.named_kind[here], item.named_kind[there]
+        equal = text.plain[here] == item.plain[there]
         pairs = equal | ((kind == item_kind) & (kind > 0))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], pairs.astype(np.int8), [0]])))
         runs = [np.arange(x, y) for x, y in edges.reshape(-1, 2).tolist() if y - x >= min(WINDOW, whole)]
-        for at in [np.concatenate(runs)] if runs else []:
-            values = [words.value[n] for n in t.number[begin + at].tolist()]
-            kinds = np.where(item_kind > 0, item_kind, kind)[at].tolist()
-            slots = [(k, item.values[begin - diagonal + n], v) if k else None for k, n, v in zip(kinds, at.tolist(), values, strict=True)]
-            literal = (equal & ((item.template.kind[there] == 0) | (t.kind[here] == 0)))[at].tolist()
-            good = _longest(slots, literal, whole)
-            if good and (item_at not in best or good[0] > best[item_at][2]):
-                best[item_at] = (item.number, whole, good[0], begin + int(at[good[1]]), good[2])
-    return list(best.values())
-
-
-def _match_batches(bench: Benchmark, item_kind: pa.DataType):
-    """For ``mapInArrow`` over (id, text): one row per document and item that it holds."""
-
-    def run(batches):
-        bench.prepare()
-        words = Words()
-        for batch in batches:
-            out = [
-                (at, *found) for at, text in enumerate(batch.column("text").to_pylist()) if text for found in match_text(text, bench, words)
-            ]
-            at, *columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [item_kind, pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            ids = batch.column("id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "item_id", "item_words", "matched_words", "first_word", "changed_slots"]
-            )
-        words.reset()
-        release()
-
-    return run
+        if not runs:
+            continue
+        at = np.concatenate(runs)
+        values = [words.value[n] for n in text.number[begin + at].tolist()]
+        asked = [words.value[n] for n in item.number[begin - diagonal + at].tolist()]
+        kinds = np.where(item_kind > 0, item_kind, kind)[at].tolist()
+        slots = [(k, a, v) if k else None for k, a, v in zip(kinds, asked, values, strict=True)]
+        literal = (equal & ((item.kind[there] == 0) | (text.kind[here] == 0)))[at].tolist()
+        good = _longest(slots, literal, whole)
+        if good and (best is None or good[0] > best[1]):
+            best = whole, good[0], begin + int(at[good[1]]), good[2]
+    return best
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_words: int):
-    """The benchmark in blocks of ``block_words`` words, more only for a single item. There is one at least."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    block, size, given = [], 0, False
-    for row in items.orderBy("item", "text").toLocalIterator():
-        block.append((row.item, row.text))
-        size += row.text.count(" ") + 1
-        if size >= block_words:
-            yield Benchmark.of(block)
-            block, size, given = [], 0, True
-    if block or not given:
-        yield Benchmark.of(block)
+_FOUND = "k1 long, k2 long, number long, item_words long, matched_words long, first_word long, changed_slots long"
+
+
+def _check(batches):
+    """For ``mapInArrow`` over (k1, k2, text, asked), asked being (number, text, diagonals) of items: the matches."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            words = Words()
+            text = templates(pa.array([row["text"]], pa.string()), words)
+            for a in row["asked"]:
+                found = match_item(text, templates(pa.array([a["text"]], pa.string()), words), words, a["diagonals"])
+                if found:
+                    out.append((row["k1"], row["k2"], a["number"], *found))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in _FOUND.split(", ")])
+    release()
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, k1, k2 of rows with a window that may be in the benchmark; matches of each such text; number and item of the benchmark)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
+    items = materialize(items.filter("text IS NOT NULL"), "benchmark-items")
+    table = materialize(items.select("number", "text").mapInArrow(_item_windows, "hash long, number long, place long, size long"), "benchmark-windows")
+    log = min(MOST_BITS, max(LEAST_BITS, (64 * table.count()).bit_length()))
+    short = sorted(r.size for r in table.filter(F.col("size") < WINDOW).select("size").distinct().collect())  # fewer than WINDOW rows
+    bits = spark.sparkContext.broadcast(_bit_table(table, log))
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    hits = slim.mapInArrow(_scan(bits, log, short), f"id {kind}, text string, hashes array<long>, places array<long>")
+    k1, k2 = hash128(F.col("text"))
+    hits = materialize(hits.select("id", k1.alias("k1"), k2.alias("k2"), "text", "hashes", "places"), "window-hits")
+    texts = materialize(hits.drop("id").dropDuplicates(["k1", "k2"]), "window-texts")
+    at = texts.select("k1", "k2", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("k1", "k2", F.col("w.hashes").alias("hash"), F.col("w.places").alias("at"))
+    pairs = at.join(table, "hash").groupBy("k1", "k2", "number").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    asked = pairs.join(items.select("number", F.col("text").alias("item_text")), "number")
+    asked = asked.groupBy("k1", "k2", F.pmod(F.xxhash64("number"), F.lit(SHARES)).alias("share")).agg(
+        F.collect_list(F.struct("number", F.col("item_text").alias("text"), "diagonals")).alias("asked")
+    )
+    found = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(_check, _FOUND)
+    return hits.select("id", "k1", "k2"), materialize(found, "contaminated"), items.select("number", "item")
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: the id column, item_id, item_words, matched_words, first_word, changed_slots.
 
-    changed_slots counts numbers, names and units that differ from the item's: 0 is a verbatim passage.
-    The benchmark is held in memory in blocks of ``block_words`` words; each block costs a scan of the
-    documents, which are never shuffled.
+    changed_slots counts numbers, names and units that differ from the item's: 0 is a verbatim passage. Documents are
+    scanned once; only texts that hold a window of the benchmark are shuffled.
 
     Defined cases: null and blank texts match nothing, on either side; items of fewer than `WINDOW` words match verbatim and
     whole only, so a benchmark item of one word is found wherever that word stands; null ids
     are carried along; repeated rows are reported each; empty tables give no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {kind.simpleString()}, item_id {item_kind.simpleString()}, item_words long, matched_words long, first_word long, changed_slots long"
-    scans = [slim.mapInArrow(_match_batches(b, to_arrow_type(item_kind)), schema) for b in _blocks(benchmark, item_col, item_text, block_words)]
-    result = scans[0]
-    for scan in scans[1:]:
-        result = result.unionByName(scan)
-    return result.withColumnRenamed("id", id_col)
+    rows, found, items = _find(docs, benchmark, id_col, text_col, item_col, item_text)
+    return rows.join(found, ["k1", "k2"]).join(items, "number").select(
+        F.col("id").alias(id_col), F.col("item").alias("item_id"), "item_words", "matched_words", "first_word", "changed_slots"
+    )
 
 
-def _clean_batches(bench: Benchmark, text_col: str):
-    """For ``mapInArrow``: the rows whose text holds no item."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, columns unchanged.
 
-    def run(batches):
-        bench.prepare()
-        words = Words()
-        for batch in batches:
-            clean = [not (text and match_text(text, bench, words)) for text in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-        words.reset()
-        release()
+    Rows are told by the hash of their text, so ids are not needed and rows that repeat go or stay together. Only rows whose hash may be that
+    of a contaminated text (a bit table of bounded size tells) take part in a join; all others stay where they are.
 
-    return run
-
-
-def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
-) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged. Judged row by row in the scan; ids are not needed."""
-    small_batches(docs.sparkSession)
-    for bench in _blocks(benchmark, item_col, item_text, block_words):
-        docs = docs.mapInArrow(_clean_batches(bench, text_col), docs.schema)
-    return docs
+    Defined cases: null and blank texts stay; null or repeated ids and columns of any name pass through; an empty table gives no rows.
+    """
+    slim = docs.select(F.lit(None).cast("int").alias("id"), F.col(text_col).alias("text"))
+    _, found, _ = _find(slim, benchmark, "id", "text", item_col, item_text)
+    gone = materialize(found.select("k1", "k2").distinct(), "contaminated-texts")
+    k1, k2, maybe = fresh(docs, "k1_", "k2_", "maybe_")
+    a, b = hash128(F.col(text_col).cast("string"))
+    keyed = maybe_in(docs.withColumn(k1, a).withColumn(k2, b), [k1, k2], bit_filter(gone, ["k1", "k2"]), maybe)
+    checked = keyed.filter(maybe).join(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_anti")
+    return keyed.filter(~F.col(maybe)).unionByName(checked).select(docs.columns)

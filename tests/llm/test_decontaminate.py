@@ -2,15 +2,19 @@
 
 import random
 
-from navspark.llm.decontaminate import Benchmark, Words, match_text
+import pyarrow as pa
+
+from navspark.llm.decontaminate import Words, match_item, templates
 
 FILLER = "quick brown stories about distant harbours and lazy rivers under some pale moon "
 
 
 def match(item, text):
-    bench = Benchmark.of([(1, item)])
-    bench.prepare()
-    return [m[2:] for m in match_text(text, bench, Words())]  # words covered, first word, slots changed
+    """[(words covered, first word, slots changed)] by trying every diagonal."""
+    words = Words()
+    t, i = (templates(pa.array([x]), words) for x in (text, item))
+    found = match_item(t, i, words, range(-len(i.number), len(t.number)))
+    return [found[1:]] if found else []
 
 
 def test_one_edited_value_loses_no_long_copy():
