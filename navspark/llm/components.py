@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navspark.llm.common import materialize
+from navspark.llm.common import fresh, materialize
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links each node's larger neighbours (large), or its smaller ones and itself (small), to its smallest neighbour."""
     near = _both_ways(links) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    low = materialize(low, "cc-low")  # so that the join below has exchanges of its own, which can be split at a hub
     joined = near.join(low, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
@@ -38,3 +39,25 @@ def components(links: DataFrame) -> DataFrame:
         if mark == (then.n, then.s):
             return now.select("u", F.col("v").alias("low")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("low")).distinct())
         mark = (then.n, then.s)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that come first in their group, columns unchanged: exactly one row of each group.
+
+    rows: (id, text_hash, component) of every row, text_hash as of `text_hash`. First is the smallest id, null being larger than all
+    others, then the smallest hash; of rows equal in both any one stays.
+    """
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    counted = rows.groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("component").agg(F.min_by(F.struct("id", "text_hash", "n"), order).alias("f")).select("f.*").distinct()
+    first = materialize(first, "first-rows")
+    key, held, mark, n = fresh(docs, "text_hash_", "id_", "mark_", "n_")
+    first = first.select(F.col("id").alias(held), F.col("text_hash").alias(mark), F.col("n").alias(n))
+    keyed = docs.withColumn(key, text_hash(F.col(text_col)))
+    kept = keyed.join(first, F.col(id_col).eqNullSafe(F.col(held)) & (F.col(key) == F.col(mark)))
+    once = kept.filter(F.col(n) == 1).select(docs.columns)
+    return once.unionByName(kept.filter(F.col(n) > 1).dropDuplicates([held, mark]).select(docs.columns))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

@@ -8,51 +8,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navspark.llm.common import SPACE_CLASS, materialize
+from navspark.llm.common import SPACE_CHARS, bit_filter, materialize, maybe_in
 
 #: Code points of the prefix that the second level hashes.
 PREFIX_CHARS = 256
-#: Bits of the survivor filter, 2**25: 1,024 bitmaps of 4 KB, so 4 MB at most are broadcast, however large the input is.
-FILTER_BITS = 1 << 25
 
 
 def normalised(text: Column) -> Column:
-    """Each run of ASCII white space becomes one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")
-
-
-def _signature(text: Column) -> list[Column]:
-    norm = normalised(text)
-    return [F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("_prefix")]
-
-
-def survivor_filter(docs: DataFrame, text_col: str) -> DataFrame:
-    """Bitmaps of the (length, prefix hash) groups of two rows or more, by bitmap number.
-
-    A group that is alone by its length is alone by both, so one aggregation serves both levels.
-    A bit that two groups share only lets rows through to the next level, which is exact.
-    """
-    groups = docs.select(*_signature(F.col(text_col))).groupBy("_len", "_prefix").count().filter("count > 1")
-    bucket = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(FILTER_BITS))
-    return (
-        groups.select(bucket.alias("_bucket"))
-        .groupBy(F.bitmap_bucket_number("_bucket").alias("_number"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bucket")).alias("_bits"))
-    )
-
-
-def _bit(bits: Column, position: Column) -> Column:
-    """Whether a bit of a bitmap is set."""
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return F.coalesce(F.bit_get(byte, (position % 8).cast("int")) == 1, F.lit(False))
+    """Each run of ASCII white space becomes one space; null counts as empty. Plain replacements first, as most texts have no runs."""
+    out = F.coalesce(text, F.lit(""))
+    for c in SPACE_CHARS[1:]:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, "\\x20{2,}", " ")).otherwise(out)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per input row: the id column, keep_id, group_size, kept, digest.
 
-    Rows are equal when their texts are identical after `normalised`. The row with the smallest id stays.
-    Pass 1 counts (length, prefix hash) groups. Pass 2 reads the full content of rows in groups of two
-    or more, hashes it with SHA-256 and groups them by all three; text itself is never shuffled.
+    Rows are equal when their texts are identical after `normalised`. The row with the smallest id stays. Level 1 counts rows by
+    length; level 2 hashes the prefix of rows whose length another row has, and counts by both; level 3 hashes the full content, with
+    SHA-256, of rows whose length and prefix another row has, and groups those. What survives a level goes to the next as
+    a table of bits of bounded size: a bit that two groups share only lets rows through, and the last level is exact. Text is never shuffled.
 
     digest: SHA-256 of the normalised text, null for rows that never needed it; with ``digest_all`` the
     caller asks for it on every row. Which rows enter the last grouping is the same either way.
@@ -60,16 +36,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Defined cases: null text counts as empty; a null id is larger than every other; of rows that repeat
     the smallest id of their group exactly one stays; an empty table gives no rows; other columns are ignored.
     """
-    bitmaps = materialize(survivor_filter(docs, text_col), "dedup-filter")
-    bucket = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(FILTER_BITS))
-    norm = normalised(F.col(text_col))
-    flagged = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col), *_signature(F.col(text_col)))
-        .withColumn("_bucket", bucket)
-        .join(F.broadcast(bitmaps), F.bitmap_bucket_number("_bucket") == F.col("_number"), "left")
-        .withColumn("_full", _bit(F.col("_bits"), F.bitmap_bit_position("_bucket")))
-    )
-    full_hash = F.unhex(F.sha2(norm, 256))
+    slim = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col).cast("string")).alias("_norm"))
+    sized = slim.withColumn("_len", F.length("_norm"))
+    lengths = bit_filter(sized.groupBy("_len").count().filter("count > 1"), ["_len"])
+    prefix = F.when(F.col("_long"), F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)))
+    prefixed = maybe_in(sized, ["_len"], lengths, "_long").withColumn("_prefix", prefix)
+    counted = prefixed.filter("_long").groupBy("_len", "_prefix").count().filter("count > 1")
+    survivors = bit_filter(counted, ["_len", "_prefix"])
+    flagged = maybe_in(prefixed, ["_len", "_prefix"], survivors, "_full").withColumn("_full", F.col("_full") & F.col("_long"))
+    full_hash = F.unhex(F.sha2(F.col("_norm"), 256))
     slim = materialize(
         flagged.select(
             "_id",

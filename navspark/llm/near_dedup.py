@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navspark.llm.common import fresh, materialize, small_batches
-from navspark.llm.components import components
+from navspark.llm.common import materialize, small_batches
+from navspark.llm.components import components, keep_first, text_hash
 from navspark.llm.fingerprints import fingerprint_batches
 
 SHINGLE_WORDS = 4
@@ -44,7 +44,7 @@ def chain_masks(distance: int, start: int) -> list[tuple[np.uint64, int]]:
 
 
 def index_batches(distance: int):
-    """For ``mapInArrow``: (start, key, probe, fp) rows of each code: stored once, looked up once for each allowed change."""
+    """For ``mapInArrow``: (key, probe, fp) rows of each code: stored once, looked up once for each set bit of the second segment."""
     parts = segments(distance)
     m = len(parts)
 
@@ -55,14 +55,14 @@ def index_batches(distance: int):
                 (s1, w1), (s2, w2) = parts[start], parts[(start + 1) % m]
                 first = (fps >> np.uint64(s1)) & np.uint64((1 << w1) - 1)
                 second = (fps >> np.uint64(s2)) & np.uint64((1 << w2) - 1)
-                changes = [0, 0, *(1 << b for b in range(w2))] if m > 1 else [0, 0]
-                for n, change in enumerate(changes):
-                    key = (first << np.uint64(w2)) | (second ^ np.uint64(change))
+                for change in [0, *(1 << b for b in range(w2 if m > 1 else 0))]:
+                    set_ = np.flatnonzero(second & np.uint64(change)) if change else np.arange(len(fps))
+                    key = (first[set_] << np.uint64(w2)) | (second[set_] ^ np.uint64(change))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array((key * np.uint64(m) + np.uint64(start)).view(np.int64)),
-                            pa.array(np.full(len(fps), n > 0)),
-                            pa.array(fps.view(np.int64)),
+                            pa.array(np.full(len(set_), change > 0)),
+                            pa.array(fps[set_].view(np.int64)),
                         ],
                         ["key", "probe", "fp"],
                     )
@@ -141,12 +141,12 @@ def _links_of(distance: int, group_columns: int):
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], n)
             stored = np.add.reduceat((~probe).astype(np.int64), starts)
-            # in whole buckets, one stored code and itself as the only probe is the common case; blocks may part the two
-            todo = (stored > 0) & (ends - starts > (2 if group_columns == 1 else 1))
+            todo = (stored > 0) & (ends - starts > 1)
             u, v = [], []
             for x, y in zip(starts[todo].tolist(), ends[todo].tolist(), strict=True):
                 p = probe[x:y]
-                for a, b in link_bucket(fps[x:y][~p], fps[x:y][p], distance, int(group[0][x]) % m):
+                asked = fps[x:y] if group_columns == 1 else fps[x:y][p]  # in a whole bucket the stored codes ask too
+                for a, b in link_bucket(fps[x:y][~p], asked, distance, int(group[0][x]) % m):
                     u.append(a)
                     v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -171,7 +171,8 @@ def link_codes(codes: DataFrame, distance: int, bucket: int = BUCKET) -> DataFra
     rest = entries.join(large, "key", "left_anti")
     links = rest.select(order).repartition("key").sortWithinPartitions(*order).mapInArrow(_links_of(distance, 1), "u long, v long")
     blocks = F.ceil(F.col("count") * 2 / F.lit(bucket)).cast("int")
-    dealt = entries.join(large, "key").withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    asking = entries.unionByName(entries.filter("NOT probe").withColumn("probe", F.lit(True)))
+    dealt = asking.join(large, "key").withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     # the row is needed wherever its block is one of the two: stored rows by their block, probes by theirs
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "key", F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")).alias("y"), "probe", "fp"
@@ -183,11 +184,20 @@ def link_codes(codes: DataFrame, distance: int, bucket: int = BUCKET) -> DataFra
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id column, fp): one row per input row."""
+    """(id, text_hash, fp): one row per input row."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(fingerprint_batches(words), f"id {kind}, fp long").select(F.col("id").alias(id_col), "fp")
+    slim = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(fingerprint_batches(words), f"id {kind}, text_hash long, fp long")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """((id, text_hash, fp) of each row; (fp, least, low) of each fingerprint: its smallest id and its component's smallest fingerprint)."""
+    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    codes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "codes")
+    links = materialize(link_codes(codes, distance, bucket), "links")
+    comps = components(links).select(F.col("u").alias("fp"), "low")
+    return rows, codes.join(comps, "fp", "left").select("fp", "least", F.coalesce("low", "fp").alias("low"))
 
 
 def near_duplicates(
@@ -203,26 +213,20 @@ def near_duplicates(
     never a component's smallest id unless it has no other; repeated rows stay repeated; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    codes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "codes")
-    links = materialize(link_codes(codes, distance, bucket), "links")
-    comps = components(links).select(F.col("u").alias("fp"), "low")
-    labelled = codes.join(comps, "fp", "left").select("fp", "least", F.coalesce("low", "fp").alias("low"))
+    rows, labelled = _grouped(docs, id_col, text_col, words, distance, bucket)
     least = labelled.groupBy("low").agg(F.min("least").alias("component_id"))
     by_code = materialize(labelled.join(least, "low").select("fp", "component_id"), "code-components")
-    return rows.join(by_code, "fp").select(id_col, "fp", "component_id")
+    return rows.join(by_code, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8, bucket: int = BUCKET
 ) -> DataFrame:
-    """The rows of ``docs`` without those that a near duplicate with a smaller id stands for, columns unchanged.
+    """One row of each group of near duplicates, that of the smallest id, columns unchanged.
 
-    Rows with a null id stay. Of rows that repeat an id, those equal in id are kept once if their component's smallest id is theirs.
+    A null id is larger than every other. Of rows that repeat the smallest id the one with the smallest text hash stays, of rows
+    equal in that too exactly one. An empty table gives no rows; columns of any other names pass through.
     """
-    comp = near_duplicates(docs, id_col, text_col, words, distance, bucket)
-    leaders = comp.filter(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_leader")).distinct()
-    (leader,) = fresh(docs, "leader_")
-    leaders = leaders.withColumnRenamed("_leader", leader)
-    kept = docs.join(leaders, F.col(id_col) == F.col(leader), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows, labelled = _grouped(docs, id_col, text_col, words, distance, bucket)
+    by_code = materialize(labelled.select("fp", F.col("low").alias("component")), "code-components")
+    return keep_first(docs, rows.join(by_code, "fp"), id_col, text_col)

@@ -3,8 +3,8 @@
 A rule (host, path) fits the host, its subdomains, and paths that start with the rule's. The canonical
 key of a host and path is the reversed host labels, a separator and the path. For each suffix of a
 url's host there is one key, and a rule fits if its key is a prefix of one of them: the rule is the
-interval of all keys that start with it. Keys and rule intervals are cut into ranges by key, and each range is
-swept once in key order with a stack of the rules that are open at that point.
+interval of all keys that start with it. Distinct keys and rule intervals are cut into ranges by key, and each range is
+swept once in key order with a stack of the rules that are open at that point. What the sweep finds is joined back to the urls by key.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def _into_ranges(bounds: list[str]):
 
 
 def _sweep_range(batches):
-    """For ``mapInArrow``: the rule of each key that has one, for rows sorted by (range, key, is_key)."""
+    """For ``mapInArrow``: (key, rule, action) of each key that has a rule, for rows (range, key, is_key, rule, action) sorted by the first three."""
 
     def rows():
         last = None
@@ -128,11 +128,11 @@ def _sweep_range(batches):
                 if at != last:  # another range in the same task: nothing stays open
                     yield "", True, None
                     last = at
-                yield key, is_key, payload
+                yield key, is_key, (key, *payload)
 
     found = []
-    for (host, path, _, _), (_, _, rule, action) in sweep(rows()):
-        found.append((host, path, rule, action))
+    for (key, _, _), (_, rule, action) in sweep(rows()):
+        found.append((key, rule, action))
         if len(found) == 8192:
             yield _batch(found)
             found = []
@@ -143,29 +143,29 @@ def match_hosts(hosts: DataFrame, rules: list[Rule], urls_per_range: int = URLS_
     """(host, path, rule, action) for each distinct (host, path) that a rule fits, with the longest of the rules that do."""
     spark = hosts.sparkSession
     keys = materialize(_keys(hosts), "url-keys")
-    ranges = min(MAX_RANGES, max(1, -(-keys.count() // urls_per_range)))
-    bounds = _bounds(keys, ranges)
-    columns = ["range", "key", "is_key", "host", "path", "rule", "action"]
+    distinct = materialize(keys.select("key").distinct(), "url-distinct-keys")
+    ranges = min(MAX_RANGES, max(1, -(-distinct.count() // urls_per_range)))
+    bounds = _bounds(distinct, ranges)
     opened = spark.createDataFrame(_ranged_rules(rules, bounds), "range int, key string, rule string, action string").select(
-        "range", "key", F.lit(False).alias("is_key"), F.lit("").alias("host"), F.lit("").alias("path"), "rule", "action"
+        "range", "key", F.lit(False).alias("is_key"), "rule", "action"
     )
-    wanted = keys.mapInArrow(_into_ranges(bounds), "range int, host string, path string, key string").select(
-        "range", "key", F.lit(True).alias("is_key"), "host", "path", F.lit("").alias("rule"), F.lit("").alias("action")
+    wanted = distinct.mapInArrow(_into_ranges(bounds), "range int, key string").select(
+        "range", "key", F.lit(True).alias("is_key"), F.lit("").alias("rule"), F.lit("").alias("action")
     )
     swept = (
-        wanted.select(columns)
-        .unionByName(opened)
+        wanted.unionByName(opened)
         .repartition(len(bounds) + 1, "range")
         .sortWithinPartitions("range", "key", "is_key")
-        .mapInArrow(_sweep_range, "host string, path string, rule string, action string")
+        .mapInArrow(_sweep_range, "key string, rule string, action string")
     )
+    swept = materialize(swept, "url-swept")
     best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("best")
-    return swept.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
+    return keys.join(swept, "key").groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
 
 
-def _batch(found: list[tuple[str, str, str, str]]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "path", "rule", "action"])
+def _batch(found: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["key", "rule", "action"])
 
 
 def filter_urls(

@@ -11,6 +11,7 @@ from navspark.llm.components import components
 from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import LineRuns, dedup_lines
 from navspark.llm.near_dedup import drop_near_duplicates, near_duplicates
+from navspark.llm.shingle_dedup import drop_similar
 from navspark.llm.url_filter import filter_urls, parse_rule
 
 TEXTS = [None, "", " ", "\t\n ", "a b", "a  b", "a\nb", "a\xa0b", "A b", "x" * 300 + "1", "x" * 300 + "2", "x" * 300 + "1", "word " * 20000, "é", "a b", "🙂\x0b🙂"]
@@ -37,6 +38,8 @@ def test_exact_dedup_odd_rows(spark):
     lazy = exact_dedup(table(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.group_size, r.kept) for r in lazy) == sorted((str(r.doc_id), r.group_size, r.kept) for r in got)
     assert exact_dedup(table(spark, rows).limit(0)).count() == 0
+    named = table(spark, rows).withColumnsRenamed({"text": "_id", "doc_id": "_norm"})
+    assert exact_dedup(named, id_col="_norm", text_col="_id").filter("kept").count() == len(groups)
 
 
 def plain_lines(rows, min_chars=10):
@@ -104,7 +107,14 @@ def test_near_duplicates_nulls_and_repeats(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z y x w v u"), (2, "q q q q q")]
     got = near_duplicates(table(spark, rows)).collect()
     assert sorted(str((r.doc_id, r.component_id)) for r in got) == sorted(map(str, [(1, 1), (1, 1), (None, 1), (None, None), (2, 2)]))
-    assert drop_near_duplicates(table(spark, rows)).columns == ["doc_id", "text", "keep_id", "n_lines"]
+    for drop in (drop_near_duplicates, drop_similar):
+        odd = [*rows, (3, "q q q q q"), (3, None), (4, ""), (3, "other text of this id"), (5, "x" * 100_000), (5, "x" * 100_000)]
+        kept = drop(table(spark, odd).withColumnRenamed("n_lines", "leader_"))
+        assert kept.columns == ["doc_id", "text", "keep_id", "leader_"]
+        assert sorted(str((r.doc_id, (r.text or "")[:9])) for r in kept.collect()) == sorted(
+            map(str, [(1, "a b c d e"), (None, "z y x w v"), (2, "q q q q q"), (3, ""), (3, "other tex"), (5, "x" * 9)])
+        )
+        assert drop(table(spark, odd).limit(0)).count() == 0
     assert near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
