@@ -1,12 +1,12 @@
 """Personal data as spans: fixed patterns, and a span classifier trained by weak supervision.
 
 Candidates are what the fixed patterns find and what wider ones propose. Labelers vote on each: a
-strict pattern, a gazetteer, the words before it, its borders. Expectation-maximisation over the table of vote
-patterns estimates how reliable each labeler is, and a logistic span classifier is trained on the
-resulting probabilities. Spans of the fixed patterns always stay; the classifier adds others.
+strict check, a gazetteer, its context, its shape, its borders. Expectation-maximisation over the table of vote
+patterns estimates how reliable each labeler is for each kind, and a logistic span classifier over features of the span and its
+surroundings is trained on the resulting probabilities. Spans of the fixed patterns always stay; the classifier adds others.
 
-Only built-in Spark functions work on rows. The driver sees the table of vote patterns alone, whose
-size is fixed: kinds times three votes for each labeler.
+Only built-in Spark functions work on rows. The driver sees counts by votes and features alone: a table whose
+size is bounded by how many combinations of those there are.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,13 @@ from navspark.llm.common import materialize
 #: In this order within a start. The first four have fixed patterns.
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
 BASE_KINDS = 4
-LABELERS = ("strict", "gazetteer", "context", "border")
+LABELERS = ("strict", "gazetteer", "context", "shape", "border")
+#: What the span classifier sees, each as a small whole number: see `_features`.
+FEATURES = ("valid", "length", "digits", "letters", "head", "prev", "next")
 #: Code points before a span that the context labeler reads; probability from which the classifier adds a span.
 CONTEXT_CHARS, ADD_FROM = 40, 0.8
+#: Weight of the votes of all kinds, in candidates, where a kind has few of its own.
+SHARED = 5.0
 ROUNDS = 60
 #: Stands for a separator that is valid where it stands, so that patterns need no repeated groups, on which Java's matcher recurses.
 JOIN = "\x01"
@@ -54,30 +59,34 @@ CUES = {
     4: "password token secret key login credential",
     5: "name dear signed by",
 }
-COUNTER_CUES = "order invoice isbn version serial ticket article page section build"
+COUNTER_CUES = "order invoice isbn version serial ticket article page section build commit checksum sha md5 hash revision"
+#: A run that looks random: letters and digits, as keys and digests have.
+RANDOM = r"(?<![A-Za-z0-9_/+.=:\"-])(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{24,}+(?![A-Za-z0-9_/+-])"
+SPAN = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>"
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """All leftmost non-overlapping matches as (start, kind, end, value), in order, those that ``keep`` holds for.
+    """All leftmost non-overlapping matches as `SPAN`, in order, those that ``keep`` holds for.
 
-    The gaps and the matches of one pattern alternate, so their lengths give the places.
+    The gaps and the matches of one pattern alternate, so their lengths give the places, and gaps their surroundings.
     """
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    kinds = "struct<at:int,out:array<struct<start:int,kind:int,end:int,value:string>>>"
-    empty = F.from_json(F.lit('{"at":0,"out":[]}'), kinds)
+    empty = F.from_json(F.lit('{"at":0,"out":[]}'), f"struct<at:int,out:array<{SPAN}>>")
 
     def step(state, pair):
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"))
+        before, after = F.right(pair["gap"], F.lit(CONTEXT_CHARS)), F.left(pair["after"], F.lit(CONTEXT_CHARS))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"), before.alias("before"), after.alias("after"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), F.size(values)), lambda p, g: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), g.alias("after")))
     return F.filter(F.aggregate(pairs, empty, step)["out"], lambda s: keep(s["value"]))
 
 
 def _none() -> Column:
-    return F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,value:string>>")
+    return F.from_json(F.lit("[]"), f"array<{SPAN}>")
 
 
 def _digits(value: Column) -> Column:
@@ -120,6 +129,7 @@ def _candidates(text: Column) -> list[tuple[Column, Column]]:
         (text.rlike(r"(?i)[(\[]at[)\]]"), _spans(plain, HIDDEN_EMAIL, 0, _any)),
         (text.rlike(r"(?i)passw|pwd|secret|token|api[_-]?key|AKIA"), _spans(plain, SECRET, 4, _any)),
         (text.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]"), _spans(plain, TITLED, 5, _any)),
+        (text.rlike(r"[A-Za-z0-9]{24}"), _spans(plain, RANDOM, 4, _any)),
     ]
 
 
@@ -138,100 +148,151 @@ def _words(words: list[str]) -> str:
     return rf"(?i)(?<![a-z])(?:{'|'.join(words)})(?![a-z])"
 
 
-def _judged(pattern: int, spans: Column, text: Column) -> Column:
-    """The spans with the labelers' votes and whether they are base spans."""
-    kind = (0, 1, 2, 3, 3, 0, 4, 5)[pattern]
+def _class(token: Column) -> Column:
+    """Kind of a neighbouring token: 0 none, 1 a word, 2 a number, 3 marks or a mixture."""
+    return F.when(token == "", 0).when(token.rlike(r"^[\p{L}'’-]+[.,;:!?]?$"), 1).when(token.rlike(r"^[(+]?[0-9]"), 2).otherwise(3)
+
+
+def _features(s: Column, valid: Column, cue: Column) -> list[Column]:
+    """`FEATURES` of a span: its check, length class, tenths of digits, letter cases, first character, and what is beside it (4 and 5: a cue for or against)."""
+    value = s["value"]
+    n = F.length(value)
+    length = F.when(n < 8, 0).when(n < 16, 1).when(n < 24, 2).when(n < 48, 3).otherwise(4)
+    digits = F.floor(F.length(_digits(value)) * 10 / n).cast("int")
+    low, up = value.rlike("[a-z]"), value.rlike("[A-Z]")
+    letters = low.cast("int") + up.cast("int") * 2
+    head = F.when(value.rlike("^[0-9]"), 0).when(value.rlike("^[A-Za-z]"), 1).otherwise(2)
+    prev = F.when(cue > 0, 4).when(cue < 0, 5).otherwise(_class(F.regexp_extract(s["before"], r"(\S*)\s*$", 1)))
+    return [c.alias(f) for c, f in zip((valid, length, digits, letters, head, prev, _class(F.regexp_extract(s["after"], r"^\s*(\S*)", 1))), FEATURES, strict=True)]
+
+
+def _judged(pattern: int, spans: Column) -> Column:
+    """The spans with the labelers' votes, the classifier's features and whether they are base spans."""
+    kind = (0, 1, 2, 3, 3, 0, 4, 5, 4)[pattern]
 
     def judge(s):
-        value, start, end = s["value"], s["start"], s["end"]
-        base = _is_base(pattern, value)
-        strict = _vote(base, F.lit(True)) if pattern < BASE_KINDS else F.lit(0)
+        value = s["value"]
+        base, digits = _is_base(pattern, value), _digits(value)
+        if pattern < BASE_KINDS:
+            strict = _vote(base, F.lit(True))
+        elif kind == 4:
+            strict = _vote(value.rlike(r"(?:[=:].*[0-9]|^AKIA)") & value.rlike(r"[A-Za-z0-9+/_-]{16}"), F.lit(True))
+        else:
+            strict = F.lit(0)
         if kind == 0:
             gazetteer = _vote(value.rlike(rf"(?i)[.{JOIN}\x20)\]](?:{'|'.join(TOP_DOMAINS)})$"))
+            shape = _vote(value.rlike(r"^[^@]*[A-Za-z]"), F.lit(True))
         elif kind == 1:
-            gazetteer = _vote(F.lit(False), value.rlike(r"^0*(?:0|127|255)\."))
+            gazetteer = _vote(~value.rlike(r"^0*(?:0|10|127|255|192\.168|2[4-9][0-9])\."), F.lit(True))
+            shape = _vote(~value.rlike(r"(?:^|\.)0[0-9]"), F.lit(True))
         elif kind == 2:
-            gazetteer = _vote(_digits(value).rlike(r"^(?:3[47]|4|5[1-5]|6011)"), F.lit(True))
+            gazetteer = _vote(digits.rlike(r"^(?:3[47]|4|5[1-5]|6011)"), F.lit(True))
+            shape = _vote(digits.rlike(r"^[0-9]{15,16}$"), digits.rlike(r"^([0-9])\1*$"))
         elif kind == 3:
-            gazetteer = _vote(value.rlike(r"^\+?[0-9\x20]{0,3}\(?[2-9][0-9]{2}\)?[\x20.-]"))
+            gazetteer = _vote(value.rlike(r"^\+?[0-9\x20]{0,3}\(?[2-9][0-9]{2}\)?[\x20.-]"), F.lit(True))
+            shape = _vote(value.rlike(r"[\x20.)-][0-9]{2,4}[\x20.-][0-9]{2,4}$"), digits.rlike(r"^([0-9])\1*$"))
         elif kind == 4:
-            gazetteer = _vote(value.rlike(r"(?i)^(?:passw|pwd|token|AKIA|secret|api)"))
+            public = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") | ~value.rlike("[0-9]")  # bare digests, and words
+            gazetteer = _vote(value.rlike(r"(?i)^(?:passw|pwd|token|AKIA|secret|api)") & ~public, public)
+            shape = _vote(value.rlike(r"(?:[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9])[^=:]*?(?:[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9])"), F.lit(True))
         else:
-            gazetteer = _vote(value.rlike(_words(FIRST_NAMES)), F.lit(False))
-        before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-        context = _vote(before.rlike(_words(CUES[kind].split())), before.rlike(_words(COUNTER_CUES.split())))
-        around = F.concat(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit("")), F.substring(text, end + 1, F.lit(1)))
+            gazetteer = _vote(value.rlike(_words(FIRST_NAMES)))
+            shape = _vote(value.rlike(r"[A-Z][a-z]+$"))
+        cue = _vote(s["before"].rlike(_words(CUES[kind].split())), s["before"].rlike(_words(COUNTER_CUES.split())))
+        beside = _class(F.regexp_extract(s["before"], r"(\S*)\s*$", 1))
+        context = F.when(cue != 0, cue).otherwise(_vote(beside <= 1, beside == 2))
+        around = F.concat(F.right(s["before"], F.lit(1)), F.left(s["after"], F.lit(1)))
         border = _vote(~around.rlike(r"[A-Za-z0-9_]"), F.lit(True))
-        return F.struct(start, s["kind"], end, base.alias("base"), *(v.alias(n) for v, n in zip((strict, gazetteer, context, border), LABELERS, strict=True)))
+        votes = [v.alias(n) for v, n in zip((strict, gazetteer, context, shape, border), LABELERS, strict=True)]
+        return F.struct(s["start"], s["kind"], s["end"], base.alias("base"), *votes, *_features(s, strict, cue))
 
     return F.transform(spans, judge)
 
 
+#: (kind, votes, features, count): all that the models are trained on.
+Pattern = tuple[int, tuple[int, ...], tuple[int, ...], int]
+
+
 @dataclass(frozen=True)
 class SpanModel:
-    """Weights of the span classifier: one for each kind, and one for each labeler and vote."""
+    """Weights of the span classifier: one for each kind, one for each feature's value in a kind; what it has not seen counts 0.
+
+    reliability: by kind and labeler, the chance that a vote other than 0 is right."""
 
     kinds: tuple[float, ...]
-    votes: dict[tuple[str, int], float]
-    reliability: dict[str, float]
+    weights: dict[tuple[int, str, int], float]
+    reliability: dict[tuple[int, str], float]
 
-    def probability(self, kind: int, votes: tuple[int, ...]) -> float:
-        z = self.kinds[kind] + sum(self.votes[n, v] for n, v in zip(LABELERS, votes, strict=True))
+    def probability(self, kind: int, features: tuple[int, ...]) -> float:
+        z = self.kinds[kind] + sum(self.weights.get((kind, n, v), 0.0) for n, v in zip(FEATURES, features, strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
     def logit(self, span: Column) -> Column:
-        z = F.lit(0.0)
-        for k, w in enumerate(self.kinds):
-            z = z + F.when(span["kind"] == k, w).otherwise(0.0)
-        for (name, vote), w in sorted(self.votes.items()):
-            z = z + F.when(span[name] == vote, w).otherwise(0.0)
+        """As one look-up for each feature in a table of the weights."""
+        z = F.element_at(F.array(*(F.lit(w) for w in self.kinds)), span["kind"] + 1)
+        if self.weights:
+            table = F.create_map(*(x for (k, n, v), w in sorted(self.weights.items()) for x in (F.lit(f"{k}{n}{v}"), F.lit(w))))
+            for name in FEATURES:
+                key = F.concat(span["kind"].cast("string"), F.lit(name), span[name].cast("string"))
+                z = z + F.coalesce(F.try_element_at(table, key), F.lit(0.0))
         return z
 
 
-def em(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], dict[str, float]]:
-    """(probability of each pattern being personal data, reliability of each labeler) by expectation-maximisation.
+def em(patterns: list[Pattern], rounds: int = ROUNDS) -> tuple[list[float], dict[tuple[int, str], float]]:
+    """(probability of each pattern being personal data, reliability by kind and labeler) by expectation-maximisation.
 
-    patterns: (kind, votes, count). Votes are independent given the truth, each labeler with its own chance of each vote in
-    each class; a kind has its own prior. Reliability is the chance that a vote other than 0 is right.
+    Votes are independent given the truth, each labeler with its own chance of each vote in each class and kind; a kind has its
+    own prior. The votes of all kinds together weigh as much as `SHARED` candidates in each kind.
     """
-    believed = [0.5 + 0.45 * max(-1.0, min(1.0, sum(v) / 2)) for _, v, _ in patterns]
-    reliability = dict.fromkeys(LABELERS, 0.5)
+    believed = [0.5 + 0.45 * max(-1.0, min(1.0, sum(v) / 3)) for _, v, _, _ in patterns]
+    kinds = sorted({k for k, *_ in patterns})
+    reliability: dict[tuple[int, str], float] = {}
+    votes_of = (-1, 0, 1)
     for _ in range(rounds):
-        table = {(n, c, v): 1.0 for n in range(len(LABELERS)) for c in (0, 1) for v in (-1, 0, 1)}
-        prior = {k: [1.0, 1.0] for k in range(len(KINDS))}
-        for p, (kind, votes, count) in zip(believed, patterns, strict=True):
+        table = {(k, n, c, v): 0.0 for k in (-1, *kinds) for n in range(len(LABELERS)) for c in (0, 1) for v in votes_of}
+        prior = {k: [1.0, 1.0] for k in kinds}
+        for p, (kind, votes, _, count) in zip(believed, patterns, strict=True):
             for c, share in ((1, p * count), (0, (1 - p) * count)):
                 prior[kind][c] += share
                 for n, v in enumerate(votes):
-                    table[n, c, v] += share
-        total = {(n, c): sum(table[n, c, v] for v in (-1, 0, 1)) for n in range(len(LABELERS)) for c in (0, 1)}
+                    table[kind, n, c, v] += share
+                    table[-1, n, c, v] += share
+        chance = {}
+        for k in kinds:
+            for n, name in enumerate(LABELERS):
+                for c in (0, 1):
+                    every = sum(table[-1, n, c, v] for v in votes_of) + 3
+                    smooth = {v: table[k, n, c, v] + SHARED * (table[-1, n, c, v] + 1) / every for v in votes_of}
+                    for v in votes_of:
+                        chance[k, n, c, v] = smooth[v] / sum(smooth.values())
+                right = table[k, n, 1, 1] + table[k, n, 0, -1] + 1
+                reliability[k, name] = right / (right + table[k, n, 1, -1] + table[k, n, 0, 1] + 1)
         believed = []
-        for kind, votes, _ in patterns:
-            score = [math.log(prior[kind][c]) + sum(math.log(table[n, c, v] / total[n, c]) for n, v in enumerate(votes)) for c in (0, 1)]
+        for kind, votes, _, _ in patterns:
+            score = [math.log(prior[kind][c]) + sum(math.log(chance[kind, n, c, v]) for n, v in enumerate(votes)) for c in (0, 1)]
             believed.append(1 / (1 + math.exp(max(-40.0, min(40.0, score[0] - score[1])))))
-        for n, name in enumerate(LABELERS):
-            right, wrong = table[n, 1, 1] + table[n, 0, -1], table[n, 1, -1] + table[n, 0, 1]
-            reliability[name] = right / (right + wrong)
     return believed, reliability
 
 
-def train(patterns: list[tuple[int, tuple[int, ...], int]], steps: int = 500) -> SpanModel:
-    """The span classifier: logistic regression of the probabilities that `em` gives on kinds and votes."""
+def train(patterns: list[Pattern], steps: int = 400) -> SpanModel:
+    """The span classifier: logistic regression of the probabilities that `em` gives on kinds and their features."""
     believed, reliability = em(patterns)
-    keys = [*range(len(KINDS)), *((n, v) for n in LABELERS for v in (-1, 0, 1))]
-    weight = dict.fromkeys(keys, 0.0)
-    total = sum(math.sqrt(c) for _, _, c in patterns) or 1.0
+    merged: dict[tuple, list[float]] = {}
+    for p, (kind, _, features, count) in zip(believed, patterns, strict=True):
+        held = merged.setdefault((kind, features), [0.0, 0.0])
+        held[0] += p * count
+        held[1] += count
+    keys = sorted({(k, n, v) for k, f in merged for n, v in zip(FEATURES, f, strict=True)})
+    place = {key: len(KINDS) + n for n, key in enumerate(keys)}
+    rows = np.array([[k, *(place[k, n, v] for n, v in zip(FEATURES, f, strict=True))] for k, f in merged], np.int64).reshape(-1, len(FEATURES) + 1)
+    share = np.array([a / b for a, b in merged.values()])
+    mass = np.sqrt([b for _, b in merged.values()])
+    weight = np.zeros(len(KINDS) + len(keys))
     for _ in range(steps):
-        gradient = {k: 0.002 * w for k, w in weight.items()}
-        for p, (kind, votes, count) in zip(believed, patterns, strict=True):
-            held = [kind, *zip(LABELERS, votes, strict=True)]
-            z = max(-40.0, min(40.0, sum(weight[k] for k in held)))
-            slope = (1 / (1 + math.exp(-z)) - p) * math.sqrt(count) / total
-            for k in held:
-                gradient[k] += slope
-        for k in keys:
-            weight[k] -= gradient[k]
-    return SpanModel(tuple(weight[k] for k in range(len(KINDS))), {k: weight[k] for k in keys[len(KINDS) :]}, reliability)
+        z = weight[rows].sum(axis=1)
+        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - share) * mass / max(mass.sum(), 1.0)
+        weight -= np.bincount(rows.ravel(), np.repeat(slope, rows.shape[1]), len(weight)) + 0.0005 * weight
+    return SpanModel(tuple(weight[: len(KINDS)].tolist()), dict(zip(keys, weight[len(KINDS) :].tolist(), strict=True)), reliability)
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,16 +301,18 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     staged = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     lists = [F.when(test, spans).otherwise(_none()).alias(f"c{n}") for n, (test, spans) in enumerate(_candidates(F.col("text")))]
     staged = staged.select("id", "text", *lists)
-    judged = [F.when(F.size(f"c{n}") > 0, _judged(n, F.col(f"c{n}"), F.col("text"))) for n in range(len(lists))]
-    found = F.concat(*(F.coalesce(j, F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean,strict:int,gazetteer:int,context:int,border:int>>")) for j in judged))
+    judged = [F.when(F.size(f"c{n}") > 0, _judged(n, F.col(f"c{n}"))) for n in range(len(lists))]
+    numbers = ",".join(f"{n}:int" for n in (*LABELERS, *FEATURES))
+    none = F.array().cast(f"array<struct<start:int,kind:int,end:int,base:boolean,{numbers}>>")
+    found = F.concat(*(F.coalesce(j, none) for j in judged))
     return materialize(staged.select(F.col("id").alias(id_col), found.alias("found")), "pii")
 
 
-def count_patterns(candidates: DataFrame) -> list[tuple[int, tuple[int, ...], int]]:
-    """(kind, votes, count) over all candidates: kinds times 3 to the number of labelers at most."""
-    votes = [F.col(f"s.{n}").alias(n) for n in LABELERS]
-    rows = candidates.select(F.explode("found").alias("s")).groupBy(F.col("s.kind").alias("kind"), *votes).count().collect()
-    return sorted((r.kind, tuple(r[n] for n in LABELERS), r["count"]) for r in rows)
+def count_patterns(candidates: DataFrame) -> list[Pattern]:
+    """Counts over all candidates by kind, votes and features; as many rows at most as there are combinations."""
+    columns = [F.col(f"s.{n}").alias(n) for n in ("kind", *LABELERS, *FEATURES)]
+    rows = candidates.select(F.explode("found").alias("s")).groupBy(*columns).count().collect()
+    return sorted((r.kind, tuple(r[n] for n in LABELERS), tuple(r[n] for n in FEATURES), r["count"]) for r in rows)
 
 
 def find_pii(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +331,10 @@ def find_pii(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc
     base = F.filter("found", lambda s: s["base"])
     likely = F.filter("found", lambda s: ~s["base"] & (model.logit(s) >= limit))
     staged = candidates.select(id_col, base.alias("base"), likely.alias("likely"))
-    free = F.filter("likely", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    # of overlapping spans that the classifier adds, the one that begins first and then ends last
+    wider = lambda a, b: (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["end"] > b["end"]))
+    free = F.filter("likely", lambda s: ~F.exists("base", lambda b: overlap(b, s)) & ~F.exists("likely", lambda o: overlap(o, s) & wider(o, s)))
     shape = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"))
     return staged.select(id_col, F.array_sort(F.array_distinct(F.transform(F.concat("base", free), shape))).alias("spans"))
 
