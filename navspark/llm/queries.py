@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import scratch, table
+from navspark.llm.common import materialize, scratch, table
 from navspark.llm.decontaminate import contaminated
 from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import dedup_lines
 from navspark.llm.near_dedup import near_duplicates
 from navspark.llm.packing import pack
 from navspark.llm.pii import BASE_KINDS, KINDS, find_pii, span_string
-from navspark.llm.reshard import reshard
+from navspark.llm.reshard import file_row, reshard, rewrite_affected, text_size
 from navspark.llm.token_store import read_store, write_store
 from navspark.llm.toxicity import fit_severity, score_severity
 from navspark.llm.url_filter import filter_urls, parse_rule
@@ -40,9 +40,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the files of the shards that changed, and the plan's rows of shards that did not."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "shards")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
-    placed, _ = reshard(table(spark, sf_dir, "documents"), old, NEW_SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed, _ = reshard(docs, old, NEW_SHARDS, file_row())
+    placed = materialize(placed, "reshard-plan")
+    changed = sorted(rewrite_affected(docs.select("doc_id", "text"), placed, path, file_row()))
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    kept = docs.select("doc_id", file_row().alias("row")).join(placed.filter(~F.col("shard").isin(changed)), "row").select(columns)
+    if changed:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        files = spark.read.schema(f"doc_id {kind}, text string, slot long, shard int").parquet(path)
+        crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+        kept = kept.unionByName(files.select("doc_id", text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), "shard", "slot"))
+    return kept.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def tokenizer_path(name: str) -> str:

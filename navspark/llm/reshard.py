@@ -5,7 +5,8 @@ problem: bytes that stay where they are cost nothing, each byte moved to another
 of least cost says how much each old shard hands to each new one. Rows of an old shard are laid on a line by
 block and hash, and the flow's amounts cut that line into intervals; large rows come first, in the part
 that stays, so that cuts fall on small rows. A second, much smaller flow from the sizes so reached evens out what whole rows
-left over, by moving the smallest rows. Only shards that give or take rows have to be rewritten.
+left over, by moving rows that have moved already or else the smallest. Only shards that give or take rows are rewritten, as
+several files each; rows are told by the file and place they come from, so none is lost or doubled.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import LARGEST_ID, materialize
+from navspark.llm.common import LARGEST_ID, fresh, materialize
 
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 16
@@ -24,6 +25,8 @@ ROW_BYTES = 16
 BLOCK_ROWS = 8192
 #: Rows of more than this part of a new shard's capacity are large.
 LARGE_PART = 64
+#: Rows of a written file.
+FILE_ROWS = 65536
 
 
 @dataclass(frozen=True)
@@ -130,14 +133,15 @@ def text_size(text: Column) -> Column:
 def _cut(rows: DataFrame, old: str, shards: int, block_rows: int, by_size: bool) -> tuple[list[Transfer], DataFrame]:
     """(transfers, rows with shard): lays the rows of each old shard on a line and cuts it by the flow's amounts.
 
-    The line starts with what stays: large rows, then the rest by hash; with ``by_size``, all rows from large to small.
+    The line starts with what stays: large rows, then the rest by hash; with ``by_size``, all rows from large to small, those
+    that are not in their old shard any more last, so that these are the first to go on.
     """
     # two numbers per old shard
     olds = rows.groupBy(old).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     transfers = solve({r[old]: r.bytes for r in olds}, shards)
     blocks = max(1, -(-max((r.rows for r in olds), default=0) // block_rows))
     if by_size:
-        tier, order = 64 - F.floor(F.log2("size")), [F.col("size").desc(), F.col("hash")]
+        tier, order = 64 - F.floor(F.log2("size")) + F.when(F.col("old") == F.col(old), 0).otherwise(64), [F.col("size").desc(), F.col("hash")]
     else:
         large = sum(r.bytes for r in olds) // shards // LARGE_PART + 1
         tier, order = F.when(F.col("size") > large, 0).otherwise(1), [F.col("hash")]
@@ -146,70 +150,71 @@ def _cut(rows: DataFrame, old: str, shards: int, block_rows: int, by_size: bool)
     sums = rows.groupBy(old, "part").agg(F.sum("size").alias("bytes"))
     before = sums.select(old, "part", _running("bytes", [old], ["part"]).alias("before"))
     rows = rows.join(before, [old, "part"]).withColumn(
-        "middle", F.col("before") + _running("size", [old, "part"], [*order, "id", "crc"]) + F.floor(F.col("size") / 2)
+        "middle", F.col("before") + _running("size", [old, "part"], [*order, "row"]) + F.floor(F.col("size") / 2)
     )
     # a row goes where its middle is; there are no more intervals than shards, old and new
     to = F.broadcast(_intervals(rows.sparkSession, transfers))
     here = (F.col(old) == F.col("from")) & (F.col("middle") >= F.col("begin")) & (F.col("middle") < F.col("end"))
-    placed = rows.join(to, here).select("id", "size", "crc", "old", "hash", F.pmod("hash", F.lit(blocks)).alias("block"), F.col("new").alias("shard"))
+    placed = rows.join(to, here).select("row", "size", "crc", "old", "hash", F.pmod("hash", F.lit(blocks)).alias("block"), F.col("new").alias("shard"))
     return transfers, materialize(placed, "reshard-placed")
 
 
-def reshard(
-    docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS
-) -> tuple[DataFrame, list[Transfer]]:
-    """(one row per input row: the id column, size, text_crc32, old_shard, shard, slot; the transfers).
+def file_row() -> Column:
+    """Tells the rows of a DataFrame that is read from Parquet files: the file and the place in it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
 
-    old_shard: the number of the shard that a row is in now. New shards are 0 to ``shards`` - 1; their
+
+def reshard(docs: DataFrame, old_shard: Column, shards: int, row: Column, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, list[Transfer]]:
+    """(one row per input row: row, size, text_crc32, old_shard, shard, slot; the transfers).
+
+    old_shard: the number of the shard that a row is in now. row: what tells a row from all others and is the same whenever the
+    table is read, such as `file_row`. New shards are 0 to ``shards`` - 1; their
     sizes in bytes differ by a small row or two unless single rows are larger than a shard. slot numbers a
     shard's rows from 0 without gaps. An old shard that holds a third of all rows is worked on by block, and
     the number of rows of a block does not grow with the table.
 
-    Defined cases: a null text has no bytes beside the row's own; a null id hashes like any other value;
-    rows that repeat an id are laid out one by one; a null old shard counts as 0; an empty table gives no rows and no transfers.
+    Defined cases: a null text has no bytes beside the row's own; ids are not looked at, so null and repeated ones are laid
+    out one by one; a null old shard counts as 0; an empty table gives no rows and no transfers.
     """
-    spark = docs.sparkSession
     rows = materialize(
         docs.select(
-            F.col(id_col).alias("id"),
+            row.alias("row"),
             text_size(F.col(text_col)).alias("size"),
             F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"),
             F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"),
-        ),
+        ).withColumn("hash", F.xxhash64("row")),
         "reshard-rows",
     )
     transfers, placed = _cut(rows, "old", shards, block_rows, by_size=False)
-    # what the rows at the cuts left uneven is a few rows per shard: the smallest ones even it out
+    # what the rows at the cuts left uneven is a few rows per shard
     placed = placed.withColumnRenamed("shard", "cut")
     _, placed = _cut(placed, "cut", shards, block_rows, by_size=True)
     counts = placed.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("rows"))
     first = counts.select("shard", "old", "block", _running("rows", ["shard"], ["old", "block"]).alias("first"))
-    number = F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy("hash", "id", "crc")) - 1
+    number = F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy("hash", "row")) - 1
     out = placed.join(first, ["shard", "old", "block"]).select(
-        F.col("id").alias(id_col),
-        "size",
-        F.col("crc").alias("text_crc32"),
-        F.col("old").alias("old_shard"),
-        "shard",
-        (F.col("first") + number).cast("long").alias("slot"),
+        "row", "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("first") + number).cast("long").alias("slot")
     )
     return out, transfers
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> set[int]:
-    """Writes the files of the shards that change, as ``path``/shard=k, and leaves the others alone.
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, row: Column, file_rows: int = FILE_ROWS) -> set[int]:
+    """Writes the files of the shards that change, below ``path``/shard=k, and leaves those of the others alone.
 
-    ``placed`` comes from `reshard`; ids are distinct and not null here. Returns the rewritten shards.
+    ``placed`` comes from `reshard` with the same ``row``. The files hold the columns of ``docs`` and the slot, a range of ``file_rows`` slots
+    each, in order; columns of ``docs`` that are named shard or slot get a leading underscore. Returns the rewritten shards.
     """
     spark = docs.sparkSession
     changed = affected(placed)
-    into = placed.filter(F.col("shard").isin(sorted(changed))).select(F.col(id_col).alias("_id"), "shard", "slot")
-    moved = docs.join(into, F.col(id_col) == F.col("_id")).drop("_id")
+    shard, slot = fresh(docs, "shard", "slot")
+    docs = docs.select("*", row.alias("_row")).withColumnsRenamed({c: {"shard": shard, "slot": slot}[c.lower()] for c in docs.columns if c.lower() in ("shard", "slot")})
+    into = placed.filter(F.col("shard").isin(sorted(changed))).select(F.col("row").alias("_row"), "shard", "slot")
+    moved = docs.join(into, "_row").drop("_row").withColumn("_file", F.floor(F.col("slot") / file_rows))
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        moved.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+        dealt = moved.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
+        dealt.write.partitionBy("shard").mode("overwrite").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
     return changed
