@@ -188,8 +188,8 @@ def _gain(yes: int, no: int, toxic: int, clean: int) -> float:
     return yes * np.log(yes / toxic / both) + (no * np.log(no / clean / both) if no else 0.0)
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_grades: int = GRADES) -> SeverityModel:
-    """Fits a model on ``sample`` labelled rows at most.
+def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_grades: int = GRADES, features: int = FEATURES) -> SeverityModel:
+    """Fits a model of ``features`` features at most, those that tell most, on ``sample`` labelled rows at most.
 
     labels: the id column, toxic 0/1 and, if there is one, severity (0 to n_grades - 1). Without a severity
     the toxic rows are graded in parts of equal size by how often they hold the chosen features. Rows with a null
@@ -224,10 +224,10 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     numbers = {f: k for k, f in enumerate(yes)}
     held = rows.filter("toxic = 0").select("text").mapInArrow(_documents_with(numbers), "number long, docs long")
     no = {r.number: r.docs for r in held.groupBy("number").agg(F.sum("docs").alias("docs")).collect()}
-    best = sorted((-g, f) for f, k in numbers.items() if (g := _gain(yes[f], no.get(k, 0), n[1], n[0])) > 0)[:FEATURES]
+    best = sorted((-g, f) for f, k in numbers.items() if (g := _gain(yes[f], no.get(k, 0), n[1], n[0])) > 0)[:features]
     numbers = {f: k for k, (_, f) in enumerate(best)}
     counted = rows.mapInArrow(_feature_counts(numbers), f"id {kind}, toxic int, severity int, features array<int>, counts array<int>")
-    data = sorted(counted.collect(), key=lambda r: str(r.id))  # `sample` rows of `FEATURES` numbers at most, mostly none
+    data = sorted(counted.collect(), key=lambda r: str(r.id))  # `sample` rows of ``features`` numbers at most, mostly none
     amount = np.array([sum(r.counts) for r in data])
     toxic = np.array([r.toxic for r in data])
     cuts = np.quantile(amount[toxic > 0], np.arange(1, n_grades - 1) / (n_grades - 1))
@@ -265,7 +265,11 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text the model does not find toxic, columns unchanged."""
+    """The rows of ``docs`` whose text the model does not find toxic, columns unchanged.
+
+    Defined cases: a null text counts as empty, and null or repeated ids and columns of any name pass through; rows that repeat go or stay
+    together; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     count = Counts(model.numbers)
 

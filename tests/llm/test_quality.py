@@ -1,9 +1,11 @@
 """Decontamination and toxicity: planted cases, odd rows, held-out accuracy."""
 
+import math
 import random
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from navspark.llm import queries
@@ -89,6 +91,71 @@ def test_toxicity_odd_rows(spark):
         assert score_severity(docs, fit_severity(train, few)).filter("toxic").count() == 0
 
 
+def plain_severity(text, model):
+    """Expected severity, grade and verdict from the fitted numbers, one document at a time."""
+    counts = {}
+    for word in re.findall(r"\w+", (text or "").lower()):
+        keys = [f"w{word}"] + [k for n in (4, 5) if len(word) > n for k in (f"b{word[:n]}", f"e{word[-n:]}")]
+        for key in keys:
+            h = xxhash.xxh64_intdigest(key.encode())
+            h = h - 2**64 if h >= 2**63 else h
+            if h in model.numbers:
+                counts[model.numbers[h]] = counts.get(model.numbers[h], 0) + 1
+    x = sum(model.weights[n] * math.log(1 + c) for n, c in counts.items())
+    above = [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+    chances = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+    return sum(above), max(range(len(chances)), key=lambda k: chances[k]), above[0] >= 0.5
+
+
+def test_scores_of_the_whole_table_against_a_plain_recomputation(spark):
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = fit_severity(docs, table(spark, SF, "labels"))
+    rows = queries.op8_toxicity(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        expected, grade, toxic = plain_severity(texts[r.doc_id], model)
+        assert abs(r.expected_severity - expected) < 1e-9 and r.grade == grade and r.toxic == toxic
+    assert {r.doc_id for r in drop_toxic(docs, model).collect()} == {r.doc_id for r in rows if not r.toxic}
+
+
+def test_dropping_keeps_odd_rows(spark):
+    train, labels = labelled(spark, 6)
+    few = fit_severity(train, labels, features=2)
+    assert len(few.numbers) == 2
+    rows = [(None, None, 1), (1, "", 2), (1, "", 2), (2, "zorgish blatnik " * 9, 3), (2, "zorgish blatnik " * 9, 3), (3, ITEM, 4), (3, ITEM, 4), (None, FILLER * 2000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1_ int")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    for out, gone in ((drop_toxic(docs, fit_severity(train, labels)), 2), (drop_contaminated(docs, bench), 3)):
+        assert out.columns == docs.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, [r for r in docs.collect() if r.doc_id != gone]))
+    assert drop_toxic(docs.limit(0), few).count() == 0 and drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_recall_of_reparameterised_questions(spark):
+    random.seed(12)
+    names = ["Anna", "Boris", "Clara", "Dmitri", "Elena", "Farid", "Greta", "Hugo", "Ines", "Jonas"]
+    units = ["kilometers", "miles", "pounds", "liters", "hours", "dollars", "grams", "minutes"]
+    word = lambda: "".join(random.choice("aeioubdgklmnprst") for _ in range(random.randint(3, 8)))
+    items, docs = [], []
+    for n in range(150):
+        frame = [random.choice(["NAME", "NUM", "UNIT"]) if random.random() < 0.25 else word() for _ in range(random.randint(16, 40))]
+
+        def filled(slots):
+            make = {"NAME": lambda: random.choice(names), "NUM": lambda: str(random.randint(2, 900)), "UNIT": lambda: random.choice(units)}
+            return " ".join(slots.setdefault(k, make[w]()) if w in make else w for k, w in enumerate(frame))
+
+        items.append((n, filled({})))
+        docs.append((n, " ".join(word() for _ in range(60)) + " " + filled({}) + ". " + " ".join(word() for _ in range(60))))
+    clean = [(1000 + n, " ".join(word() for _ in range(200))) for n in range(150)]
+    got = {
+        (r.doc_id, r.item_id)
+        for r in contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
+    right = {(n, n) for n in range(150)} & got
+    assert len(right) >= 0.9 * 150 and got == right
+
+
 def test_given_severities_are_used(spark):
     train, labels = labelled(spark, 4)
     graded = labels.withColumn("severity", F.when(F.col("toxic") == 1, 3).otherwise(0))
