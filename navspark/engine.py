@@ -140,7 +140,7 @@ class NavEngine:
             rows = rows.join(boosts, ["query_id", "repository_id", "file", "name"], "left")
         else:
             rows = rows.withColumn("learned_value", F.lit(None).cast("double"))
-        return rank.top_k(SC.score_pairs(rows.withColumn("now", F.lit(self.now()))), k)
+        return SC.list_features(rank.top_k(SC.score_values(rows.withColumn("now", F.lit(self.now()))), k))
 
     def search_many(self, queries: DataFrame, limit: int = 10, all_repos: bool = True, spec: QuerySpec | None = None) -> DataFrame:
         """Hits of a whole table of queries (query_id, query and, if wanted, current_repo_id and changed_files)."""
@@ -150,7 +150,7 @@ class NavEngine:
         if "changed_files" not in asked.columns:
             asked = asked.withColumn("changed_files", F.array().cast("array<string>"))
         asked, symbols = recall.recall_queries(asked), self.candidates()
-        hits = self._rank(symbols, recall.recall_many(symbols, asked), asked, spec.ranked if spec else limit, not all_repos)
+        hits = self._rank(symbols, recall.recall_many(symbols, asked, fitting=True), asked, spec.ranked if spec else limit, not all_repos)
         return self._finish(hits, spec, limit)
 
     def _finish(self, hits: DataFrame, spec: QuerySpec | None, limit: int) -> DataFrame:

@@ -85,8 +85,12 @@ def segments(scope: Column) -> Column:
 
 def parent_boost(qualifier: Column, parent: Column) -> Column:
     """120 + 60 for each part of the qualifier, at most 300, if those are the parent's last parts; else null."""
-    q, p = segments(qualifier), segments(parent)
-    n = F.size(q)
+    return ends_with_segments(segments(qualifier), parent)
+
+
+def ends_with_segments(q: Column, parent: Column) -> Column:
+    """`parent_boost` for a qualifier that is cut into parts already."""
+    p, n = segments(parent), F.size(q)
     tail = F.slice(p, F.greatest(F.size(p) - n + 1, F.lit(1)), F.greatest(n, F.lit(1)))
     fits = (n > 0) & (F.size(p) >= n) & (tail == q)
     return F.when(fits, F.least(F.lit(PARENT_BASE) + F.lit(PARENT_STEP) * n, F.lit(PARENT_CAP)))

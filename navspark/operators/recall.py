@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navspark.functions.textcols import ascii_lower, has_wildcard, ngrams, query_leaf, query_trigrams, strip_wildcards
-from navspark.schemas import PATH_RECALL_KINDS
+from navspark.functions.matcher import subsequence_pattern
+from navspark.functions.textcols import ascii_lower, has_wildcard, ngrams, path_stem, query_leaf, query_trigrams, strip_wildcards
+from navspark.schemas import PATH_ALONE_KINDS, PATH_RECALL_KINDS
+
+#: Letters of a name's beginning that names and keys are joined by.
+HEAD = 3
 
 
 def is_exact(name_lower: Column, query: Column) -> Column:
@@ -35,12 +39,13 @@ def in_path(path: Column, kind: Column, query: Column) -> Column:
 
 
 def recall_queries(queries: DataFrame) -> DataFrame:
-    """Adds leaf, key (what recall looks for: the leaf without wildcards, A-Z lowered) and force_fuzzy. Empty queries go."""
+    """Adds leaf, key (what recall looks for: the leaf without wildcards, A-Z lowered), force_fuzzy and fits (see `subsequence_pattern`). Empty queries go."""
     leaf = query_leaf(F.col("query"))
     return (
         queries.withColumn("leaf", leaf)
         .withColumn("force_fuzzy", has_wildcard(F.col("leaf")))
         .withColumn("key", ascii_lower(strip_wildcards(F.col("leaf"))))
+        .withColumn("fits", subsequence_pattern(F.col("leaf")))
         .filter("query <> '' AND leaf <> ''")
     )
 
@@ -55,34 +60,41 @@ def recall_one(symbols: DataFrame, key: str, force_fuzzy: bool = False) -> DataF
 
 
 def strong_pairs(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) of exact and prefix matches, by joining each name's beginnings to the keys."""
-    sizes = [r.n for r in queries.select(F.length("key").alias("n")).distinct().orderBy("n").collect()]  # as many as there are key lengths
-    if not sizes:
-        sizes = [0]  # no name has a beginning of no length: no pairs
-    heads = F.transform(F.filter(F.array(*(F.lit(n) for n in sizes)), lambda n: (n > 0) & (n <= F.length("name_lower"))), lambda n: F.substring("name_lower", F.lit(1), n))
-    named = symbols.select("id", F.explode(heads).alias("head"))
-    return named.join(queries.select("query_id", "key"), F.col("head") == F.col("key")).select("query_id", "id")
-
-
-def broad_pairs(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) of the first-character, trigram and path layers."""
-    keys = queries.select("query_id", "key").filter("key <> ''")
-    first = symbols.select("id", F.substring("name_lower", 1, 1).alias("c")).join(keys.select("query_id", F.substring("key", 1, 1).alias("c")), "c")
-    grams = symbols.select("id", F.explode(ngrams(F.col("name_lower"), 3)).alias("g"))
-    wanted = keys.select("query_id", F.explode(query_trigrams(F.col("key"))).alias("g"))
-    trigram = grams.join(wanted, "g")
-    low = ascii_lower(F.col("file"))
-    parts = F.concat(ngrams(low, 1), ngrams(low, 2), ngrams(low, 3))
-    paths = symbols.filter(F.col("kind").isin(*PATH_RECALL_KINDS)).select("id", low.alias("path"), F.explode(parts).alias("g"))
-    begun = keys.select("query_id", "key", F.substring("key", 1, 3).alias("g"))
-    path = paths.join(begun, "g").filter(F.contains("path", F.col("key")))
-    ids = [d.select("query_id", "id") for d in (first, trigram, path)]
-    return ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct()
-
-
-def recall_many(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) of all candidates. queries: output of `recall_queries`. A query with a strong match, and no wildcard, has only those."""
+    """(query_id, id) of exact and prefix matches: names and keys are joined by their first letters, then the whole key is compared."""
+    sizes = F.sequence(F.lit(1), F.least(F.length("name_lower"), F.lit(HEAD)))
+    heads = F.when(F.length("name_lower") > 0, F.transform(sizes, lambda n: F.substring("name_lower", F.lit(1), n)))
+    named = symbols.select("id", "name_lower", F.explode_outer(heads).alias("head"))
+    keys = queries.filter("key <> ''").select("query_id", "key", F.substring("key", 1, HEAD).alias("head"))
+    return named.join(keys, "head").filter(F.startswith("name_lower", F.col("key"))).select("query_id", "id")
+
+
+def _fitting(pairs: DataFrame) -> DataFrame:
+    """Pairs that can score at all: the name, or a type's file name, holds the query's letters in order."""
+    stem = F.when(F.col("kind").isin(*PATH_ALONE_KINDS), ascii_lower(path_stem(F.col("file"))))
+    return pairs.filter(F.regexp_like(ascii_lower(F.col("name")), F.col("fits")) | F.regexp_like(stem, F.col("fits")))
+
+
+def broad_pairs(symbols: DataFrame, queries: DataFrame, fitting: bool = False) -> DataFrame:
+    """(query_id, id) of the first-character, trigram and path layers; with ``fitting`` only of pairs that can score, as soon as they are joined.
+
+    The layers are one join: of first characters (marked ^), trigrams, and beginnings of the query within paths (marked /)."""
+    low = F.when(F.col("kind").isin(*PATH_RECALL_KINDS), ascii_lower(F.col("file")))
+    parts = F.concat(*(F.coalesce(ngrams(low, n), F.array().cast("array<string>")) for n in range(1, HEAD + 1)))
+    mark = lambda m: lambda g: F.concat(F.lit(m), g)
+    begin = F.array(F.concat(F.lit("^"), F.substring("name_lower", 1, 1)))
+    grams = F.concat(begin, ngrams(F.col("name_lower"), 3), F.transform(parts, mark("/")))
+    held = symbols.select("id", "name", "file", "kind", low.alias("path"), F.explode_outer(grams).alias("g"))
+    begun = F.array(F.concat(F.lit("^"), F.substring("key", 1, 1)), F.concat(F.lit("/"), F.substring("key", 1, HEAD)))
+    keys = queries.filter("key <> ''").select("query_id", "key", "fits", F.explode_outer(F.concat(begun, query_trigrams(F.col("key")))).alias("g"))
+    pairs = held.join(keys, "g").filter(~F.startswith("g", F.lit("/")) | F.contains("path", F.col("key")))
+    return (_fitting(pairs) if fitting else pairs).select("query_id", "id").distinct()
+
+
+def recall_many(symbols: DataFrame, queries: DataFrame, fitting: bool = False) -> DataFrame:
+    """(query_id, id) of all candidates, with ``fitting`` of those that can score.
+
+    queries: output of `recall_queries`. A query with a strong match, and no wildcard, has only those."""
     strong = strong_pairs(symbols, queries)
-    settled = strong.select("query_id").distinct()
-    broad = broad_pairs(symbols, queries.join(settled, "query_id", "left_anti").unionByName(queries.join(settled, "query_id", "left_semi").filter("force_fuzzy")))
-    return strong.unionByName(broad).distinct()
+    settled = strong.select("query_id").distinct().withColumn("settled", F.lit(True))
+    open_ = queries.join(settled, "query_id", "left").filter("settled IS NULL OR force_fuzzy")
+    return strong.unionByName(broad_pairs(symbols, open_, fitting)).distinct()

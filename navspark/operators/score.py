@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navspark import schemas as S
-from navspark.functions.matcher import match_column
-from navspark.functions.textcols import ascii_lower, has_wildcard, kind_bonus, parent_boost, parent_dir, path_stem, query_leaf, query_qualifier
+from navspark.functions.matcher import may_match, pair_scores
+from navspark.functions.textcols import ascii_lower, ends_with_segments, has_wildcard, kind_bonus, parent_dir, path_stem, query_qualifier, segments
 
 #: In the order in which equal values are listed.
 FEATURES = ("exact", "case", "prefix", "fuzzy", "wildcard", "path", "private", "kind", "parent", "current_repo", "learned", "recency", "branch")
@@ -79,66 +79,81 @@ def learned_boosts(stats: DataFrame, queries: DataFrame, now: Column) -> DataFra
     return stats.join(begun, "query_norm").groupBy("query_id", "repository_id", "file", "name").agg(F.max(worth).alias("learned"))
 
 
-def add_matches(pairs: DataFrame) -> DataFrame:
-    """Adds name_score (where no exact or prefix match settles it) and path_score of each (query, symbol) row."""
-    leaf = F.col("leaf")
-    settled = ~has_wildcard(leaf) & F.startswith(ascii_lower(F.col("name")), ascii_lower(leaf))
-    return (
-        pairs.withColumn("name_match", match_column(F.when(~settled, leaf), F.col("name")))
-        .withColumn("path_match", match_column(leaf, path_stem(F.col("file"))))
-        .withColumn("name_score", F.col("name_match.score"))
-        .withColumn("path_score", F.col("path_match.score"))
-        .drop("name_match", "path_match")
+def asked_columns(queries: DataFrame) -> DataFrame:
+    """Adds what scoring needs of each query, so that it is worked out once per query and not per pair."""
+    changed = F.col("changed_files")
+    return queries.select(
+        "*",
+        ascii_lower(F.col("leaf")).alias("leaf_low"),
+        has_wildcard(F.col("leaf")).alias("wild"),
+        segments(query_qualifier(F.col("query"))).alias("scope"),
+        F.filter(F.transform(changed, parent_dir), lambda d: d.isNotNull()).alias("changed_dirs"),
     )
 
 
-def feature_columns(now: Column | None = None) -> dict[str, Column]:
-    """The feature expressions over a row with query, leaf, symbol columns, name_score, path_score, current_repo_id, learned_value, changed_files, now."""
-    name, leaf = F.col("name"), F.col("leaf")
-    wild = has_wildcard(leaf)
+def add_matches(pairs: DataFrame) -> DataFrame:
+    """Adds name_low, name_score (where no exact or prefix match settles it) and path_score of each (query, symbol) row."""
+    rows = pairs.withColumn("name_low", ascii_lower(F.col("name"))).withColumn("stem", path_stem(F.col("file")))
+    settled = ~F.col("wild") & F.startswith("name_low", F.col("leaf_low"))
+    by_name = F.when(~settled & may_match(F.col("leaf"), F.col("name")), F.col("name"))
+    by_path = F.when(may_match(F.col("leaf"), F.col("stem")), F.col("stem"))
+    scored = rows.withColumn("_match", pair_scores(F.col("leaf"), by_name, by_path))
+    return scored.select(*(c for c in rows.columns if c != "stem"), F.col("_match.name").alias("name_score"), F.col("_match.path").alias("path_score"))
+
+
+def feature_columns() -> dict[str, Column]:
+    """The feature expressions over a row of `add_matches` with symbol columns, current_repo_id, learned_value, changed_files, now."""
+    name, leaf, low, asked, wild = (F.col(c) for c in ("name", "leaf", "name_low", "leaf_low", "wild"))
+    begins = ~wild & F.startswith(low, asked)
+    is_exact = ~wild & (low == asked)
     by_name = {
-        "exact": exact(name, leaf),
-        "prefix": prefix(name, leaf),
-        "fuzzy": F.when(~wild & ~F.startswith(ascii_lower(name), ascii_lower(leaf)), capped(F.col("name_score"), S.FUZZY_CAP)),
+        "exact": F.when(is_exact, S.EXACT),
+        "prefix": F.when(begins & (low != asked), F.lit(S.PREFIX) - F.least(F.length(name) - F.length(leaf), F.lit(S.PREFIX_TAIL))),
+        "fuzzy": F.when(~wild & ~begins, capped(F.col("name_score"), S.FUZZY_CAP)),
         "wildcard": F.when(wild, capped(F.col("name_score"), S.FUZZY_CAP)),
     }
-    named = F.coalesce(*by_name.values()).isNotNull()
+    named = is_exact | begins | F.col("name_score").isNotNull()
     path = F.when(named, capped(F.col("path_score") * S.PATH_WITH_NAME, S.PATH_WITH_NAME_CAP)).when(
         F.col("kind").isin(*S.PATH_ALONE_KINDS), capped(F.col("path_score") * S.PATH_ALONE, S.PATH_ALONE_CAP)
     )
-    when = F.col("now") if now is None else now
+    by_dir = F.array_contains("changed_dirs", parent_dir(F.col("file")))
     every = by_name | {
-        "case": case_match(name, leaf),
+        "case": F.when(is_exact & (asked != leaf) & (name == leaf), S.CASE),
         "path": path,
         "private": private(F.col("visibility")),
         "kind": kind_bonus(F.col("kind")),
-        "parent": parent_boost(query_qualifier(F.col("query")), F.col("parent")),
+        "parent": ends_with_segments(F.col("scope"), F.col("parent")),
         "current_repo": current_repo(F.col("repository_id"), F.col("current_repo_id")),
         "learned": F.when(F.col("learned_value") > 0, F.col("learned_value")),
-        "recency": recency(F.col("git_ts"), F.col("mtime"), when),
-        "branch": branch(F.col("file"), F.col("changed_files")),
+        "recency": recency(F.col("git_ts"), F.col("mtime"), F.col("now")),
+        "branch": F.when(F.array_contains("changed_files", F.col("file")), S.BRANCH_FILE).when(by_dir, S.BRANCH_DIR),
     }
     return {f: every[f] for f in FEATURES}
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds score and features (name and value, largest first); rows that match neither by name nor, for type kinds, by path go."""
-    columns = feature_columns()
-    scored = add_matches(pairs).select("*", *(c.cast("double").alias(f"f_{f}") for f, c in columns.items()))
-    found = F.coalesce(*(F.col(f"f_{f}") for f in NAME_FEATURES)).isNotNull() | F.col("f_path").isNotNull()
-    listed = F.filter(
-        F.array(*(F.struct(F.lit(f).alias("name"), F.col(f"f_{f}").alias("value"), F.lit(-k).alias("place")) for k, f in enumerate(FEATURES))),
-        lambda s: s["value"].isNotNull(),
-    )
-    largest = F.transform(F.sort_array(F.transform(listed, lambda s: F.struct(s["value"], s["place"], s["name"])), asc=False), lambda s: F.struct(s["name"], s["value"]))
+def score_values(pairs: DataFrame) -> DataFrame:
+    """Adds score and a column f_<name> for each feature; rows that match neither by name nor, for type kinds, by path go.
+
+    pairs: candidates with the columns of their symbol and, from `asked_columns`, of their query."""
+    scored = add_matches(pairs).select("*", *(c.cast("double").alias(f"f_{f}") for f, c in feature_columns().items()))
+    found = F.coalesce(*(F.col(f"f_{f}") for f in (*NAME_FEATURES, "path"))).isNotNull()
     total = sum((F.coalesce(F.col(f"f_{f}"), F.lit(0.0)) for f in FEATURES), F.lit(0.0))
-    return scored.filter(found).withColumn("score", total).withColumn("features", largest).drop("name_score", "path_score", *(f"f_{f}" for f in FEATURES))
+    return scored.filter(found).withColumn("score", total).drop("name_score", "path_score", "name_low")
 
 
-def prepare_pairs(symbols: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Joins candidates to their query's and symbol's columns. queries also has current_repo_id, changed_files and now."""
-    return pairs.join(queries, "query_id").join(symbols, "id")
+def list_features(scored: DataFrame) -> DataFrame:
+    """Turns the columns f_<name> into features (name and value, largest first). Best done after the top hits are taken."""
+    every = F.array(*(F.struct(F.col(f"f_{f}").alias("value"), F.lit(-k).alias("place"), F.lit(f).alias("name")) for k, f in enumerate(FEATURES)))
+    held = F.sort_array(F.filter(every, lambda s: s["value"].isNotNull()), asc=False)
+    return scored.withColumn("features", F.transform(held, lambda s: F.struct(s["name"], s["value"]))).drop(*(f"f_{f}" for f in FEATURES))
+
 
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """`score_values` and `list_features` of all rows."""
+    return list_features(score_values(pairs))
 
-def leaf_of_query(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("leaf", query_leaf(F.col("query")))
+
+def prepare_pairs(symbols: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Joins candidates to their query's and symbol's columns. queries also has current_repo_id and, to be scored, changed_files."""
+    asked = asked_columns(queries) if "changed_files" in queries.columns else queries
+    return pairs.join(asked, "query_id").join(symbols, "id")

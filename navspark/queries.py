@@ -69,8 +69,9 @@ def _scored(spark, d):
     """The whole search: recall, boosts, score. Without files changed on a branch."""
     symbols, asked = _syms(spark, d), _queries(spark, d)
     boosts = SC.learned_boosts(_stats(spark, d), V.view(spark, d, V.QUERIES), _now()).withColumnRenamed("learned", "learned_value")
-    pairs = SC.prepare_pairs(symbols, asked, recall.recall_many(symbols, asked)).join(boosts, ["query_id", "repository_id", "file", "name"], "left")
-    return SC.score_pairs(pairs.withColumn("changed_files", F.array(F.lit("src/small/hot_gear.rb"))).withColumn("now", _now()))
+    asked = asked.withColumn("changed_files", F.array(F.lit("src/small/hot_gear.rb")))
+    pairs = SC.prepare_pairs(symbols, asked, recall.recall_many(symbols, asked, fitting=True)).join(boosts, ["query_id", "repository_id", "file", "name"], "left")
+    return SC.score_values(pairs.withColumn("now", _now()))
 
 
 def _stats(spark, d):
@@ -552,7 +553,7 @@ def miss_status(spark, d):
 @query()
 def search_many(spark, d):
     """The flagship: a batch of queries through recall, score, top 10, gates and confidence."""
-    hits = rank.attach_confidence(rank.scope_gate(rank.relevance_gate(rank.top_k(_scored(spark, d), 10))))
+    hits = rank.attach_confidence(rank.scope_gate(rank.relevance_gate(SC.list_features(rank.top_k(_scored(spark, d), 10)))))
     return hits.select("query_id", "rank", "name", "kind", "file", "line", F.round("score", 6).alias("score"), "confidence", F.transform("features", lambda s: s["name"]).alias("features"))
 
 
@@ -560,7 +561,7 @@ def search_many(spark, d):
 def live_search(spark, d):
     """Unstored rows through the same scorer, without boosts, after the content test."""
     symbols = _syms(spark, d).filter(maintain.content_prefilter(F.col("name"), F.lit("gear"))).withColumn("repository_id", F.lit(-1).cast("long")).withColumn("git_ts", F.lit(None).cast("long")).withColumn("mtime", F.lit(None).cast("long"))
-    asked = recall.recall_queries(spark.createDataFrame([(1, "hotgear", -1)], "query_id long, query string, current_repo_id long"))
+    asked = recall.recall_queries(spark.createDataFrame([(1, "hotgear", -1, [])], "query_id long, query string, current_repo_id long, changed_files array<string>"))
     pairs = SC.prepare_pairs(symbols, asked, symbols.select(F.lit(1).cast("long").alias("query_id"), "id"))
-    ready = pairs.withColumn("learned_value", F.lit(None).cast("double")).withColumn("changed_files", F.array().cast("array<string>")).withColumn("now", _now())
-    return rank.top_k(SC.score_pairs(ready), 10).select("rank", "name", "file", "line", "score")
+    ready = pairs.withColumn("learned_value", F.lit(None).cast("double")).withColumn("now", _now())
+    return rank.top_k(SC.score_values(ready), 10).select("rank", "name", "file", "line", "score")
