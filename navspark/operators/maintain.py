@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from navspark.functions.textcols import ascii_lower, content_hash, ngrams, shares_gram
 
 
+#: Lines of a commit log that are put in order together.
+LOG_BLOCK = 10_000
+
+
 def next_ids(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
-    """Adds an id column above all ids of ``old``, in the order given. For dimension tables."""
+    """Adds an id column above all ids of ``old``, in the order given. For repositories and checkouts, of which there are few."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
     return new.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + top).cast("long"))
 
@@ -35,55 +39,63 @@ def upsert_checkouts(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new, "root_path", "left_anti").select(columns).unionByName(changed.select(columns)).unionByName(added.select(columns))
 
 
+def path_key(*tables: DataFrame) -> list[str]:
+    """What tells files apart: their path, within a repository where all tables name one."""
+    return ["repository_id", "path"] if all("repository_id" in t.columns for t in tables) else ["path"]
+
+
 def to_parse(stored: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files seen whose time differs from the stored one, or that have none stored. Both: path, mtime."""
-    known = stored.select("path", F.col("mtime").alias("_known"))
-    return seen.join(known, "path", "left").filter("_known IS NULL OR mtime IS NULL OR _known <> mtime").drop("_known")
+    """Files seen whose time differs from the stored one, or that have none stored. Both: path, mtime and, for several repositories, repository_id."""
+    key = path_key(stored, seen)
+    known = stored.select(*key, F.col("mtime").alias("_known"))
+    return seen.join(known, key, "left").filter("_known IS NULL OR mtime IS NULL OR _known <> mtime").drop("_known")
 
 
 def changed_files(stored: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Parsed files with status: new, changed or same, by content hash. Both: path, content_hash."""
-    known = stored.select("path", F.col("content_hash").alias("_known"))
+    """Parsed files with status: new, changed or same, by content hash. Both: path, content_hash and, for several repositories, repository_id."""
+    key = path_key(stored, parsed)
+    known = stored.select(*key, F.col("content_hash").alias("_known"))
     status = F.when(F.col("_known").isNull(), "new").when(F.col("_known") == F.col("content_hash"), "same").otherwise("changed")
-    return parsed.join(known, "path", "left").withColumn("status", status).drop("_known")
+    return parsed.join(known, key, "left").withColumn("status", status).drop("_known")
 
 
 def replace_files(files: DataFrame, symbols: DataFrame, parsed: DataFrame, parsed_symbols: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """The files and symbols of one repository after parsed files replace those of the same path.
+    """The files and symbols after parsed files replace those of the same repository and path.
 
     A file whose hash is as stored keeps its symbols; its times are touched. parsed: repository_id, path, language, mtime,
-    content_hash; parsed_symbols: path and the symbol columns.
+    content_hash; parsed_symbols: path, repository_id and the symbol columns. New ids are hashes of what makes a row one of its own,
+    so that none has to be numbered.
     """
     judged = changed_files(files, parsed)
-    at = F.lit(now).cast("long")
-    old = files.select("path", "id", "git_ts")
-    known = judged.join(old, "path", "left")
-    added = next_ids(known.filter("id IS NULL").drop("id"), files, ["path"])
+    at, key = F.lit(now).cast("long"), ["repository_id", "path"]
+    old = files.select(*key, "id", "git_ts")
+    known = judged.join(old, key, "left").withColumn("id", F.coalesce("id", F.xxhash64(*key)))
     columns = ["id", "repository_id", "path", "language", "mtime", "git_ts", "content_hash", "indexed_at"]
-    written = known.filter("id IS NOT NULL").unionByName(added, allowMissingColumns=True).withColumn("indexed_at", at)
-    new_files = files.join(parsed, "path", "left_anti").select(columns).unionByName(written.select(columns))
-    replaced = written.filter("status <> 'same'").select("path", F.col("id").alias("file_id"), "repository_id")
+    written = known.withColumn("indexed_at", at)
+    new_files = files.join(parsed, key, "left_anti").select(columns).unionByName(written.select(columns))
+    replaced = written.filter("status <> 'same'").select(*key, F.col("id").alias("file_id"))
     kept = symbols.join(replaced.select("file_id"), "file_id", "left_anti")
-    fresh = parsed_symbols.drop("repository_id").join(replaced, "path").withColumn("name_lower", F.lower("name"))
-    # ids by hash of what makes a symbol one of its own, so that none has to be numbered
+    fresh = parsed_symbols.join(replaced, key).withColumn("name_lower", F.lower("name"))
     fresh = fresh.withColumn("id", F.xxhash64("file_id", "line", "name", "kind", "parent"))
     return new_files, kept.unionByName(fresh.select(kept.columns))
 
 
 def reconcile(stored: DataFrame, seen: DataFrame) -> DataFrame:
-    """Stored paths that a finished sweep has not seen: to be forgotten."""
-    return stored.select("path").join(seen.select("path"), "path", "left_anti")
+    """Stored files that a finished sweep has not seen: to be forgotten."""
+    key = path_key(stored, seen)
+    return stored.select(key).join(seen.select(key), key, "left_anti")
 
 
 def forget_files(files: DataFrame, symbols: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gone = files.join(paths, "path", "left_semi").select(F.col("id").alias("file_id"))
-    return files.join(paths, "path", "left_anti"), symbols.join(gone, "file_id", "left_anti")
+    key = path_key(files, paths)
+    gone = files.join(paths, key, "left_semi").select(F.col("id").alias("file_id"))
+    return files.join(paths, key, "left_anti"), symbols.join(gone, "file_id", "left_anti")
 
 
 def set_git_times(files: DataFrame, times: DataFrame) -> DataFrame:
-    """times: path, ts. Other files keep theirs."""
-    columns = files.columns
-    return files.join(times.select("path", F.col("ts").alias("_ts")), "path", "left").withColumn("git_ts", F.coalesce("_ts", "git_ts")).select(columns)
+    """times: path, ts and, for several repositories, repository_id. Other files keep theirs."""
+    columns, key = files.columns, path_key(files, times)
+    return files.join(times.select(*key, F.col("ts").alias("_ts")), key, "left").withColumn("git_ts", F.coalesce("_ts", "git_ts")).select(columns)
 
 
 def drop_repository(tables: dict[str, DataFrame], repository_id: int) -> dict[str, DataFrame]:
@@ -136,12 +148,19 @@ def hashed(text: Column) -> Column:
     return content_hash(text)
 
 
-def latest_commit_times(log: DataFrame) -> DataFrame:
-    """path, ts of a commit log (n, line), newest first: whole-number lines are times, others paths; the first time of a path counts."""
-    is_time = F.col("line").rlike("^[0-9]+$")
-    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    timed = log.withColumn("ts", F.last(F.when(is_time, F.col("line").cast("long")), ignorenulls=True).over(before))
-    return timed.filter(~is_time & (F.trim("line") != "") & F.col("ts").isNotNull()).groupBy(F.col("line").alias("path")).agg(F.min_by("ts", "n").alias("ts"))
+def latest_commit_times(log: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
+    """path, ts of a commit log (n, line), newest first: whole-number lines are times, others paths; the first time of a path counts.
+
+    Lines are taken in blocks of ``block``; a block is told the last time before it by a table of one row per block."""
+    stamp = F.when(F.col("line").rlike("^[0-9]+$"), F.col("line").cast("long"))
+    lines = log.select("n", "line", F.floor(F.col("n") / block).alias("block"), stamp.alias("stamp"))
+    last = lines.groupBy("block").agg(F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("n"))).alias("last"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = lines.join(carried, "block").withColumn("ts", F.coalesce(F.last("stamp", ignorenulls=True).over(before), "carried"))
+    paths = timed.filter(F.col("stamp").isNull() & (F.trim("line") != "") & F.col("ts").isNotNull())
+    return paths.groupBy(F.col("line").alias("path")).agg(F.min_by("ts", "n").alias("ts"))
 
 
 def trigram_index(symbols: DataFrame) -> DataFrame:

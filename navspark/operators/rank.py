@@ -77,12 +77,13 @@ def attach_confidence(hits: DataFrame) -> DataFrame:
     return staged.withColumn("confidence", round2(match_quality() * lead(F.col("score"), rival))).drop("_first", "_second")
 
 
-def merge(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """Both result sets, of hits with the same file, line and name the better one, ranked again. The repository doesn't count."""
+def merge(left: DataFrame, right: DataFrame, k: int | None = None) -> DataFrame:
+    """Both result sets, of hits with the same file, line and name the better one, ranked again; the best ``k`` if that is given. The repository doesn't count."""
     names = [c for c in left.columns if c != "rank"]
     both = left.select(names).unionByName(right.select(names))
     window = Window.partitionBy("query_id", "file", "line", "name").orderBy(*ranking())
-    return top_k(both.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n"), k)
+    best = both.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking()))) if k is None else top_k(best, k)
 
 
 def miss_status(complete: Column, interrupted: Column) -> Column:

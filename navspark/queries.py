@@ -153,12 +153,14 @@ def scope_segments(spark, d):
 
 
 @query(
-    "SELECT query_id, id, CASE WHEN lower(parent) = lower(replace(qualifier, '#', '::')) OR ends_with(lower(parent), '::' || lower(qualifier)) THEN least(120.0 + 60 * len(string_split(qualifier, '::')), 300.0)::DOUBLE END AS boost FROM qp, syms WHERE qualifier IS NOT NULL"
+    "SELECT query_id, id, CASE WHEN lower(parent) = lower(replace(qualifier, '#', '::')) OR ends_with(lower(parent), '::' || lower(qualifier)) THEN least(120.0 + 60 * len(string_split(qualifier, '::')), 300.0)::DOUBLE END AS boost FROM qp, syms WHERE qualifier IS NOT NULL AND boost IS NOT NULL"
 )
 def parent_boost(spark, d):
     asked = V.view(spark, d, V.QUERIES).select("query_id", X.query_qualifier(F.col("query")).alias("q")).filter("q IS NOT NULL")
-    pairs = _syms(spark, d).join(F.broadcast(asked), F.lit(True))  # four rows
-    return pairs.select("query_id", "id", X.parent_boost(F.col("q"), F.col("parent")).alias("boost"))
+    last = lambda scope: F.element_at(X.segments(scope), -1)
+    inside = _syms(spark, d).filter("parent IS NOT NULL").select("id", "parent", last(F.col("parent")).alias("last"))
+    pairs = inside.join(asked.withColumn("last", last(F.col("q"))), "last")  # a parent that ends with the qualifier shares its last part
+    return pairs.select("query_id", "id", X.parent_boost(F.col("q"), F.col("parent")).alias("boost")).filter("boost IS NOT NULL")
 
 
 @query("SELECT page_id, regexp_replace(regexp_extract(url, '[^/\\\\]*$'), '^(.+)\\.[^.]*$', '\\1') AS stem, nullif(regexp_extract(url, '^(.*)/[^/]*$', 1, 's'), '') AS dir FROM pages")
@@ -343,55 +345,58 @@ def upsert_checkout(spark, d):
 
 
 def _parsed(spark, d):
-    """One repository's files as a later sweep would find them: every third one edited, every fifth one gone, one new."""
-    files = _files(spark, d).filter("repository_id = 1")
+    """All repositories' files as a later sweep would find them: every third one edited, every fifth one gone, one new."""
+    files = _files(spark, d)
     later = files.filter("id % 5 <> 0").select(
         "repository_id", "path", "language", F.lit(1).cast("long").alias("mtime"), F.when(F.col("id") % 3 == 0, F.md5(F.concat("path", F.lit("!")))).otherwise(F.col("content_hash")).alias("content_hash")
     )
     return later.unionByName(spark.createDataFrame([(1, "new.rb", "ruby", 1, "x")], later.schema))
 
 
-@query("SELECT path, CASE WHEN id % 3 = 0 THEN 'changed' ELSE 'same' END AS status FROM files WHERE repository_id = 1 AND id % 5 <> 0 UNION ALL SELECT 'new.rb', 'new'")
+@query("SELECT repository_id, path, CASE WHEN id % 3 = 0 THEN 'changed' ELSE 'same' END AS status FROM files WHERE id % 5 <> 0 UNION ALL SELECT 1, 'new.rb', 'new'")
 def incremental_diff(spark, d):
-    return maintain.changed_files(_files(spark, d).filter("repository_id = 1"), _parsed(spark, d)).select("path", "status")
+    return maintain.changed_files(_files(spark, d), _parsed(spark, d)).select("repository_id", "path", "status")
 
 
-@query("SELECT path FROM files WHERE repository_id = 1 AND (mtime IS NULL OR id % 2 = 1)")
+@query("SELECT repository_id, path FROM files WHERE mtime IS NULL OR id % 2 = 1")
 def mtime_skip(spark, d):
-    files = _files(spark, d).filter("repository_id = 1")
-    seen = files.select("path", (F.col("mtime") + F.col("id") % 2).alias("mtime"))
-    return maintain.to_parse(files, seen).select("path")
+    files = _files(spark, d)
+    seen = files.select("repository_id", "path", (F.col("mtime") + F.col("id") % 2).alias("mtime"))
+    return maintain.to_parse(files, seen).select("repository_id", "path")
 
 
-@query("SELECT path FROM files WHERE repository_id = 1 AND id % 5 = 0")
+@query("SELECT repository_id, path FROM files WHERE id % 5 = 0")
 def reconcile_deletes(spark, d):
-    return maintain.reconcile(_files(spark, d).filter("repository_id = 1"), _parsed(spark, d))
+    return maintain.reconcile(_files(spark, d), _parsed(spark, d))
 
 
 @query(
-    "SELECT s.file AS path, s.name, s.line FROM syms s JOIN files f ON f.repository_id = s.repository_id AND f.path = s.file WHERE s.repository_id = 1 AND (f.id % 3 <> 0 OR f.id % 5 = 0)"
-    " UNION ALL SELECT 'new.rb', 'Fresh', 7"
+    "SELECT s.repository_id, s.file AS path, s.name, s.line, f.id AS file_id, CASE WHEN f.id % 5 = 0 THEN f.indexed_at ELSE 1700000000 END AS indexed_at"
+    " FROM syms s JOIN files f ON f.repository_id = s.repository_id AND f.path = s.file WHERE f.id % 3 <> 0 OR f.id % 5 = 0"
+    " UNION ALL SELECT 1, 'new.rb', 'Fresh', 7, NULL, 1700000000"
 )
 def replace_files(spark, d):
-    files, symbols = _files(spark, d).filter("repository_id = 1"), _syms(spark, d).filter("repository_id = 1")
-    ids = files.select(F.col("path").alias("file"), F.col("id").alias("file_id"))
-    stored = symbols.join(ids, "file").select(*(f.name for f in S.struct("symbols").fields))
-    fresh = spark.createDataFrame([("new.rb", "Fresh", "class", "ruby", 7, 9, None, None)], "path string, name string, kind string, language string, line long, end_line long, parent string, visibility string")
+    files, symbols = _files(spark, d), _syms(spark, d)
+    ids = files.select("repository_id", F.col("path").alias("file"), F.col("id").alias("file_id"))
+    stored = symbols.join(ids, ["repository_id", "file"]).select(*(f.name for f in S.struct("symbols").fields))
+    fresh = spark.createDataFrame([(1, "new.rb", "Fresh", "class", "ruby", 7, 9, None, None)], "repository_id long, path string, name string, kind string, language string, line long, end_line long, parent string, visibility string")
     new_files, new_symbols = maintain.replace_files(files, stored, _parsed(spark, d), fresh, V.NOW)
-    return new_symbols.join(new_files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "name", "line")
+    both = new_symbols.drop("repository_id").join(new_files.select(F.col("id").alias("file_id"), "repository_id", "path", "indexed_at"), "file_id")
+    file_id = F.when(F.col("path") != "new.rb", F.col("file_id")).alias("file_id")  # a new file's id is a hash
+    return both.select("repository_id", "path", "name", "line", file_id, "indexed_at")
 
 
-@query("SELECT f.path, CASE WHEN f.id % 2 = 0 THEN 5 ELSE f.git_ts END AS git_ts FROM files f WHERE repository_id = 1")
+@query("SELECT f.repository_id, f.path, CASE WHEN f.id % 2 = 0 THEN 5 ELSE f.git_ts END AS git_ts FROM files f")
 def set_git_times(spark, d):
-    files = _files(spark, d).filter("repository_id = 1")
-    return maintain.set_git_times(files, files.filter("id % 2 = 0").select("path", F.lit(5).cast("long").alias("ts"))).select("path", "git_ts")
+    files = _files(spark, d)
+    return maintain.set_git_times(files, files.filter("id % 2 = 0").select("repository_id", "path", F.lit(5).cast("long").alias("ts"))).select("repository_id", "path", "git_ts")
 
 
-@query("SELECT path FROM files WHERE repository_id = 1 AND id % 5 <> 0")
+@query("SELECT repository_id, path FROM files WHERE id % 5 <> 0")
 def forget_files(spark, d):
-    files = _files(spark, d).filter("repository_id = 1")
+    files = _files(spark, d)
     symbols = _syms(spark, d).withColumn("file_id", F.col("id"))
-    return maintain.forget_files(files, symbols, files.filter("id % 5 = 0").select("path"))[0].select("path")
+    return maintain.forget_files(files, symbols, files.filter("id % 5 = 0").select("repository_id", "path"))[0].select("repository_id", "path")
 
 
 @query("SELECT 'repositories' AS name, (SELECT count(*) FROM repos WHERE id <> 7) AS n UNION ALL SELECT 'symbols', (SELECT count(*) FROM syms WHERE repository_id <> 7) UNION ALL SELECT 'files', (SELECT count(*) FROM files WHERE repository_id <> 7)")
@@ -424,8 +429,9 @@ def coverage_overview(spark, d):
 
 @query("SELECT (SELECT count(*) FROM files WHERE repository_id = 4) AS files, (SELECT count(*) FROM syms WHERE repository_id = 4) AS symbols")
 def repo_totals(spark, d):
-    count = lambda t, n: t.filter("repository_id = 4").agg(F.count(F.lit(1)).alias(n))
-    return count(_files(spark, d), "files").join(count(_syms(spark, d), "symbols"), F.lit(True))  # one row each
+    which = lambda t, files: t.filter("repository_id = 4").select(F.lit(files).alias("of_files"))
+    both = which(_files(spark, d), 1).unionByName(which(_syms(spark, d), 0))
+    return both.agg(F.coalesce(F.sum("of_files"), F.lit(0)).alias("files"), F.coalesce(F.sum(1 - F.col("of_files")), F.lit(0)).alias("symbols"))
 
 
 @query("SELECT name, line, kind FROM syms WHERE repository_id = 3 AND starts_with(file, 'src/small/') AND file = (SELECT min(file) FROM syms WHERE repository_id = 3 AND starts_with(file, 'src/small/'))")
@@ -441,12 +447,14 @@ def content_hash(spark, d):
 
 
 @query(
-    "SELECT file AS path, max(ts) AS ts FROM (SELECT file, 1000000 - 10 * (id % 50) AS ts FROM syms WHERE id < 500) t GROUP BY file"
+    "SELECT file AS path, max(ts) AS ts FROM (SELECT file, 1000000 - 10 * (id % 50) AS ts FROM syms) t GROUP BY file"
 )
 def git_log_latest(spark, d):
-    rows = _syms(spark, d).filter("id < 500").select("file", (F.col("id") % 50).alias("commit"))
-    times = rows.select("commit").distinct().select((F.col("commit") * 1000).alias("n"), (1_000_000 - 10 * F.col("commit")).cast("string").alias("line"))
-    paths = rows.distinct().select((F.col("commit") * 1000 + 1).alias("n"), F.col("file").alias("line"))
+    """A log of 50 commits, each with a line for its time and one for each of its files, blocks of lines apart."""
+    rows = _syms(spark, d).select("file", (F.col("id") % 50).alias("commit"), "id")
+    size = rows.agg(F.max("id").alias("n")).first().n + 2
+    times = rows.select("commit").distinct().select((F.col("commit") * size).alias("n"), (1_000_000 - 10 * F.col("commit")).cast("string").alias("line"))
+    paths = rows.select((F.col("commit") * size + F.col("id")).alias("n"), F.col("file").alias("line"))
     return maintain.latest_commit_times(times.unionByName(paths))
 
 
@@ -525,7 +533,7 @@ def show_gate(spark, d):
 def merge_results(spark, d):
     hits = _static_hits(spark, d)
     second = hits.filter("id % 3 <> 1").withColumn("score", F.col("score") + 5)
-    return rank.merge(hits.filter("id % 3 <> 0"), second, 1_000_000).select("query_id", "file", "line", "name", "score")
+    return rank.merge(hits.filter("id % 3 <> 0"), second).select("query_id", "file", "line", "name", "score")
 
 
 @query(_STATIC + "SELECT query_id, id, concat(file, ':', line, '  ', kind, ' ', name, CASE WHEN parent IS NULL THEN '' ELSE concat(' · ', parent) END) AS text FROM feats")

@@ -43,12 +43,12 @@ FILES = """
 SELECT min(id) AS id, repository_id, file AS path, min(language) AS language, max(mtime) AS mtime, max(git_ts) AS git_ts, md5(file) AS content_hash, CAST(1600000000 AS BIGINT) AS indexed_at
 FROM ({symbols}) s GROUP BY repository_id, file
 """
-#: Events of the catalog: clicks select, views open, all else searches; about every part in turn.
+#: Events of the catalog: clicks select, views open, all else searches; about every part in turn, whose keys are 1 to their number.
 EVENTS = f"""
 SELECT e.event_id + 1 AS id, CASE e.event_type WHEN 'click' THEN 'select' WHEN 'view' THEN 'open' ELSE 'search' END AS type,
   CASE WHEN e.event_id % 29 = 0 THEN NULL ELSE lower(substr(s.name, 1, CAST(2 + e.event_id % 6 AS INT))) END AS query,
   s.repository_id, s.file AS path, CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE s.line + e.event_id % 4 - 1 END AS line, {NOW} - e.event_id * 600 AS ts
-FROM {{events}} e JOIN ({{symbols}}) s ON e.event_id % 500 = s.id
+FROM (SELECT *, 1 + event_id % (SELECT count(*) FROM {{part}}) AS about FROM {{events}}) e JOIN ({{symbols}}) s ON e.about = s.id
 """
 
 
