@@ -21,6 +21,8 @@ LARGEST_ID = (1 << 63) - 1
 #: Bits of a `bit_filter`, 2**25: 4 MB.
 FILTER_BITS = 1 << 25
 
+_owned: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +35,21 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         shared = f"file://{tempfile.gettempdir()}/navspark-scratch"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def owned_scratch(spark: SparkSession):
+    """Scratch paths that are given out inside are deleted at the end. Results that still read them have to be written before."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
