@@ -13,7 +13,6 @@ Copies of one text are checked once. Nothing of the benchmark but the bit table,
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +31,6 @@ MIN_WORDS, MIN_LITERAL = 13, 0.5
 LEAST_BITS, MOST_BITS = 20, 27
 #: Rows that the items to check of one text are dealt to.
 SHARES = 16
-#: Distinct raw words whose template a worker keeps.
-CACHE_WORDS = 150_000
 
 #: Words that name units of measurement or money, and words for numbers.
 UNITS = frozenset(
@@ -46,69 +43,70 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
 )
-_NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
-_MEASURE = re.compile(r"([$€£+-]?\d[\d.,:/]*)([a-z%]+)")
+_NUMBER = r"[$€£+-]?\d[\d.,:/]*"
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”‘’«»…–—¿¡"
 NUM, UNIT, NAME = 1, 2, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Tables of a tabulation hash: a random number for each byte at each of the first places of a word.
+_PLACES = 48
+_TABLE = np.random.default_rng(7).integers(0, 1 << 64, (_PLACES, 256), np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, over all of them at once; XXH64 for those of more than `_PLACES` bytes."""
+    sizes = np.asarray(pc.binary_length(words), np.int64)
+    long = np.flatnonzero(sizes > _PLACES)
+    data = np.frombuffer(b"".join(pc.if_else(pc.greater(pc.binary_length(words), _PLACES), "", words).cast(pa.binary()).to_pylist()), np.uint8)
+    sizes = np.where(sizes > _PLACES, 0, sizes)
+    begin = np.cumsum(sizes) - sizes
+    each = _TABLE[np.arange(len(data)) - np.repeat(begin, sizes), data]
+    out = np.full(len(words), np.uint64(_NOTHING))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(each, begin[some]) ^ (sizes[some].astype(np.uint64) * _STEP)
+    for n in long.tolist():
+        out[n] = xxhash.xxh64_intdigest(words[n].as_py().encode())
+    return out
 
 
-def canonical(raw: str) -> tuple[str, int, bool]:
-    """(value, placeholder type or 0, whether a sentence ends with it). Names are told by their place: see `Template`."""
-    value = raw.strip(_MARKS)
-    lower = value.lower()
-    if _NUMBER.fullmatch(lower) or lower in NUMBER_WORDS:
-        kind = NUM
-    elif lower in UNITS:
-        kind = UNIT
-    elif (m := _MEASURE.fullmatch(lower)) and m[2] in UNITS:
-        kind = NUM
-    else:
-        kind = 0
-    return lower, kind, raw.rstrip("\"')”’»")[-1:] in (".", "!", "?", ":")
+@dataclass
+class Canon:
+    """What a template needs of distinct raw words: the value (stripped of marks, lower-cased) and its hash, the placeholder type or 0,
+    whether the word may be a name, and whether a sentence ends with it."""
 
+    value: pa.Array
+    plain: np.ndarray
+    kind: np.ndarray
+    titled: np.ndarray
+    ends: np.ndarray
 
-class Words(dict):
-    """Raw words to numbers, with what a template needs of each in arrays by number."""
 
-    def __init__(self):
-        super().__init__()
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.code = np.zeros(1024, np.uint64)
-        self.plain = np.zeros(1024, np.uint64)
-        self.kind = np.zeros(1024, np.int8)
-        self.titled = np.zeros(1024, bool)
-        self.ends = np.zeros(1024, bool)
-        self.value: list[str] = []
-
-    def __missing__(self, raw: str) -> int:
-        n = len(self.value)
-        if n == len(self.code):
-            for name in ("code", "plain", "kind", "titled", "ends"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros(n, old.dtype)]))
-        value, kind, ends = canonical(raw)
-        bare = raw.strip(_MARKS)
-        self.value.append(value)
-        self.plain[n] = xxhash.xxh64_intdigest(value.encode())
-        self.code[n] = kind or self.plain[n]
-        self.kind[n], self.ends[n] = kind, ends
-        self.titled[n] = not kind and len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
-        self[raw] = n
-        return n
-
-
-#: What a word that is only marks comes to.
+def canonical(raw: pa.Array) -> Canon:
+    """Names are told by their place: see `templates`."""
+    bare = pc.utf8_trim(raw, characters=_MARKS)
+    lower = pc.utf8_lower(bare)
+    number = _flags(pc.match_substring_regex(lower, f"^{_NUMBER}(?:st|nd|rd|th|%)?$")) | _flags(pc.is_in(lower, _NUMBERS))
+    unit = _flags(pc.is_in(lower, _UNITS)) & ~number
+    measure = np.flatnonzero(_flags(pc.match_substring_regex(lower, f"^{_NUMBER}[a-z%]+$")) & ~number & ~unit)
+    number[measure[_flags(pc.is_in(pc.replace_substring_regex(lower.take(pa.array(measure)), f"^{_NUMBER}", ""), _UNITS))]] = True
+    kind = np.where(number, NUM, np.where(unit, UNIT, 0)).astype(np.int8)
+    titled = _flags(pc.match_substring_regex(bare, r"^\p{Lu}[^\p{Lu}]*\p{Ll}[^\p{Lu}]*$")) & (kind == 0)
+    return Canon(lower, word_hashes(lower), kind, titled, _flags(pc.match_substring_regex(raw, "[.!?:][\"')”’»]*$")))
+
+
+def _flags(found: pa.Array) -> np.ndarray:
+    return np.array(found.to_numpy(zero_copy_only=False), bool)
+
+
+_UNITS, _NUMBERS = pa.array(sorted(UNITS)), pa.array(sorted(NUMBER_WORDS))
+#: The hash of a word that is only marks.
 _NOTHING = xxhash.xxh64_intdigest(b"")
 
 
 @dataclass
 class Template:
     """Texts as template, one after the other. Per word: the code and placeholder type with names told by place, the same with every
-    capitalised word as a name, a hash of the value, and the word number for the value itself; begin: where each text begins, and the end."""
+    capitalised word as a name, a hash of the value, and the place of the value itself in ``value``; begin: where each text begins, and the end."""
 
     code: np.ndarray
     kind: np.ndarray
@@ -116,32 +114,35 @@ class Template:
     named_kind: np.ndarray
     plain: np.ndarray
     number: np.ndarray
+    value: pa.Array
     begin: np.ndarray
 
+    def values(self, at: np.ndarray) -> list[str]:
+        return self.value.take(pa.array(self.number[at])).to_pylist()
+
     def forms(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """The codes that windows are taken of, each with which words are neither placeholders nor mere marks."""
         word = self.plain != np.uint64(_NOTHING)
         return [(self.code, word & (self.kind == 0)), (self.named, word & (self.named_kind == 0))]
 
 
-def templates(texts: pa.Array, words: Words) -> Template:
+def templates(texts: pa.Array) -> Template:
     """A capitalised word is a name unless it begins a text or a sentence, where it may be either. Null counts as empty."""
-    if len(words.value) > CACHE_WORDS:
-        words.reset()
     split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     raw = split.flatten()
     real = np.asarray(pc.binary_length(raw)) > 0
     begin = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))])]
     coded = raw.filter(pa.array(real)).dictionary_encode()
-    distinct = np.fromiter(map(words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-    number = distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-    code, kind, titled = words.code[number], words.kind[number], words.titled[number]
+    words = canonical(coded.dictionary)
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    kind, titled, plain = words.kind[number], words.titled[number], words.plain[number]
+    code = np.where(kind > 0, kind.astype(np.uint64), plain)
     named, named_kind = np.where(titled, np.uint64(NAME), code), np.where(titled, NAME, kind)
     begins = np.zeros(len(number) + 1, bool)
     begins[1:] = words.ends[number]
     begins[begin] = True
     name = titled & ~begins[:-1]
-    return Template(np.where(name, np.uint64(NAME), code), np.where(name, NAME, kind), named, named_kind, words.plain[number], number, begin)
+    return Template(np.where(name, np.uint64(NAME), code), np.where(name, NAME, kind), named, named_kind, plain, number, words.value, begin)
 
 
 def window_hashes(code: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -185,9 +186,8 @@ def windows(t: Template, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _item_windows(batches):
     """For ``mapInArrow`` over (number, text) of items: (hash, number, place, size); an item shorter than a window is one window."""
-    words = Words()
     for batch in batches:
-        t = templates(batch.column("text"), words)
+        t = templates(batch.column("text"))
         sizes = np.diff(t.begin)
         hashes, places = windows(t, [])
         item = np.searchsorted(t.begin, places, "right") - 1
@@ -220,9 +220,9 @@ def _scan(bits, log: int, short: list[int]):
     """For ``mapInArrow`` over (id, text): (id, text, hashes, places) of texts with windows that may be in the benchmark."""
 
     def run(batches):
-        table, words = bits.value, Words()
+        table = bits.value
         for batch in batches:
-            t = templates(batch.column("text"), words)
+            t = templates(batch.column("text"))
             hashes, places = windows(t, short)
             first, second = _probes(hashes, log)
             hit = np.flatnonzero(table[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1)
@@ -242,7 +242,6 @@ def _scan(bits, log: int, short: list[int]):
                 ],
                 ["id", "text", "hashes", "places"],
             )
-        words.reset()
         release()
 
     return run
@@ -293,11 +292,11 @@ def _longest(slots: list[tuple[int, str, str] | None], literal: list[bool], whol
     return best
 
 
-def match_item(text: Template, item: Template, words: Words, diagonals: list[int]) -> tuple[int, int, int, int] | None:
+def match_item(text: Template, item: Template, diagonals: list[int]) -> tuple[int, int, int, int] | None:
     """(item's words, words covered, first word in the text, slots changed) of the longest good match, None without one.
 
     Words pair along a diagonal if their values are equal or both are placeholders of one type. Runs of WINDOW
-    pairs or more of one diagonal are taken together. Both templates are of one text and of the same words."""
+    pairs or more of one diagonal are taken together. Both templates are of one text."""
     whole, size, best = len(item.number), len(text.number), None
     for diagonal in sorted(diagonals):
         begin, end = max(diagonal, 0), min(diagonal + whole, size)
@@ -310,8 +309,7 @@ def match_item(text: Template, item: Template, words: Words, diagonals: list[int
         if not runs:
             continue
         at = np.concatenate(runs)
-        values = [words.value[n] for n in text.number[begin + at].tolist()]
-        asked = [words.value[n] for n in item.number[begin - diagonal + at].tolist()]
+        values, asked = text.values(begin + at), item.values(begin - diagonal + at)
         kinds = np.where(item_kind > 0, item_kind, kind)[at].tolist()
         slots = [(k, a, v) if k else None for k, a, v in zip(kinds, asked, values, strict=True)]
         literal = (equal & ((item.kind[there] == 0) | (text.kind[here] == 0)))[at].tolist()
@@ -329,10 +327,9 @@ def _check(batches):
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            words = Words()
-            text = templates(pa.array([row["text"]], pa.string()), words)
+            text = templates(pa.array([row["text"]], pa.string()))
             for a in row["asked"]:
-                found = match_item(text, templates(pa.array([a["text"]], pa.string()), words), words, a["diagonals"])
+                found = match_item(text, templates(pa.array([a["text"]], pa.string())), a["diagonals"])
                 if found:
                     out.append((row["k1"], row["k2"], a["number"], *found))
         columns = list(zip(*out, strict=True)) or [()] * 7

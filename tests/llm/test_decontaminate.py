@@ -4,16 +4,15 @@ import random
 
 import pyarrow as pa
 
-from navspark.llm.decontaminate import Words, match_item, templates
+from navspark.llm.decontaminate import match_item, templates
 
 FILLER = "quick brown stories about distant harbours and lazy rivers under some pale moon "
 
 
 def match(item, text):
     """[(words covered, first word, slots changed)] by trying every diagonal."""
-    words = Words()
-    t, i = (templates(pa.array([x]), words) for x in (text, item))
-    found = match_item(t, i, words, range(-len(i.number), len(t.number)))
+    t, i = (templates(pa.array([x])) for x in (text, item))
+    found = match_item(t, i, range(-len(i.number), len(t.number)))
     return [found[1:]] if found else []
 
 
