@@ -29,6 +29,8 @@ WINDOW = 8
 MIN_WORDS, MIN_LITERAL = 13, 0.5
 #: Bits of the table that documents' windows are tested with: 64 for each window of the benchmark, as powers of two within these.
 LEAST_BITS, MOST_BITS = 20, 27
+#: Bytes of text that are cut into words at once.
+SLICE_BYTES = 400_000
 #: Rows that the items to check of one text are dealt to.
 SHARES = 16
 
@@ -216,12 +218,23 @@ def _bit_table(table: DataFrame, log: int) -> np.ndarray:
     return out
 
 
+def _slices(batches):
+    """The batches, cut to rows of about `SLICE_BYTES` of text: what is worked out of a text is many times its size."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _scan(bits, log: int, short: list[int]):
     """For ``mapInArrow`` over (id, text): (id, text, hashes, places) of texts with windows that may be in the benchmark."""
 
     def run(batches):
         table = bits.value
-        for batch in batches:
+        for batch in _slices(batches):
             t = templates(batch.column("text"))
             hashes, places = windows(t, short)
             first, second = _probes(hashes, log)
