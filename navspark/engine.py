@@ -160,8 +160,15 @@ class NavEngine:
             hits = rank.post_filter(hits, list(spec.paths), list(spec.kinds), list(spec.langs))
         return rank.attach_confidence(rank.top_k(hits.drop("rank"), limit)).select(HIT)
 
-    def search(self, target: str, root: str | None = None, paths=(), kinds=(), langs=(), limit: int = 10, all_repos: bool = False) -> DataFrame:
-        """Hits of one query, best first. With a root its repository is the current one and, unless all_repos, the only one."""
+    def search(self, target: str, root: str | None = None, paths=(), kinds=(), langs=(), limit: int = 10, all_repos: bool = False, fresh: bool = False) -> DataFrame:
+        """Hits of one query, best first. With a root its repository is the current one and, unless all_repos, the only one.
+
+        With ``fresh`` the files of the hits are looked at first: if any has changed it is parsed again and the search is run once more."""
+        if fresh and root:
+            hits = self.search(target, root, paths, kinds, langs, limit, all_repos)
+            mine = hits.filter(F.col("repo") == self._identity(os.path.abspath(root))).select("file").distinct().collect()  # a page of hits
+            if mine:
+                self.refresh(root, [r.file for r in mine])
         spec = QuerySpec.of(target, paths, kinds, langs, limit, all_repos)
         repo = self.repository_id(root) if root else None
         changed = SRC.branch_changed_files(root) if root else []
@@ -169,14 +176,16 @@ class NavEngine:
         queries = self.spark.createDataFrame(row, "query_id long, query string, current_repo_id long, changed_files array<string>")
         return self.search_many(queries, limit, all_repos or repo is None, spec).orderBy("rank")
 
-    def live_search(self, target: str, root: str, limit: int = 10, indexed: DataFrame | None = None) -> DataFrame:
-        """Hits in files as they lie there, without the catalog: first those that hold the query literally, else all."""
+    def live_search(self, target: str, root: str, limit: int = 10, indexed: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+        """Hits in files as they lie there, without the catalog: first those that hold the query literally, else all.
+
+        With ``cap`` only so many files are read, those first whose path looks like the query."""
         spec = QuerySpec.of(target, limit=limit)
         row = [(1, spec.query, -1, [])]
         asked = recall.recall_queries(self.spark.createDataFrame(row, "query_id long, query string, current_repo_id long, changed_files array<string>"))
         key = asked.first().key
         for needle in (key, None):
-            found = SRC.live_symbols(self.spark, root, needle, indexed).withColumn("id", F.xxhash64("path", "line", "name", "kind"))
+            found = SRC.live_symbols(self.spark, root, needle, indexed, cap, spec.query).withColumn("id", F.xxhash64("path", "line", "name", "kind"))
             symbols = found.select(
                 "*", F.col("path").alias("file"), F.lit("live").alias("repo"), F.lower("name").alias("name_lower"), *(F.lit(None).cast("long").alias(c) for c in ("mtime", "git_ts"))
             ).cache()

@@ -14,11 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.functions.textcols import EXTENSIONS, ascii_lower, content_hash, language_of
+from navspark.functions.textcols import EXTENSIONS, ascii_lower, content_hash, language_of, shares_gram
 from navspark.sources.extract import extract
 
 TRUNKS = ("main", "master", "trunk")
-COLLECT_CAP = 50_000
 LISTED = "path string, ordinal long, mtime long"
 PARSED_SYMBOL = "repository_id long, path string, name string, kind string, language string, line long, end_line long, parent string, visibility string"
 
@@ -130,11 +129,12 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     return files.select("repository_id", "path", "language", "text").mapInPandas(run, PARSED_SYMBOL)
 
 
-def live_symbols(spark: SparkSession, root: str, needle: str | None = None, skip: DataFrame | None = None) -> DataFrame:
-    """Definitions of files as they are now, nothing stored; paths in ``skip`` are left out."""
+def live_symbols(spark: SparkSession, root: str, needle: str | None = None, skip: DataFrame | None = None, cap: int | None = None, query: str = "") -> DataFrame:
+    """Definitions of files as they are now, nothing stored; paths in ``skip`` are left out. With ``cap`` only so many files are read."""
     listed = list_files(spark, root)
     listed = listed.join(skip.select("path"), "path", "left_anti") if skip is not None else listed
-    return extract_symbols(read_files(spark, root, listed.limit(COLLECT_CAP), -1, needle))
+    listed = listed if cap is None else keep_under_cap(listed, shares_gram(F.col("path"), F.lit(query)), cap)
+    return extract_symbols(read_files(spark, root, listed, -1, needle))
 
 
 # ---- git
@@ -203,6 +203,6 @@ def head_changed(stored: str | None, root: str) -> bool:
     return git_head(root) != stored
 
 
-def keep_under_cap(listed: DataFrame, first: Column, cap: int = COLLECT_CAP) -> DataFrame:
+def keep_under_cap(listed: DataFrame, first: Column, cap: int) -> DataFrame:
     """The files of a bounded pass: those that ``first`` holds for, then the others in order."""
     return listed.orderBy(first.desc(), "ordinal").limit(cap)

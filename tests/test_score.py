@@ -20,36 +20,42 @@ def hits(spark, rows, query, current=None, changed=(), learned=None):
     return rank.attach_confidence(rank.top_k(scored, 100)).orderBy("rank").collect()
 
 
-def sym(name, kind="class", file="f.rb", parent=None, vis=None, repo=1, ts=None):
+def sym(name, kind="class", file="q.rb", parent=None, vis=None, repo=1, ts=None):
     return (name, kind, file, parent, vis, repo, ts)
 
 
 def test_values(spark):
     one = lambda row, q, **k: [r.score for r in hits(spark, [row], q, **k)]
-    assert one(sym("Users"), "user") == [714] and one(sym("User", file="app/models/user.rb"), "user") == [1036]
-    assert one(sym("Symbol"), "Symbol") == [1165] and one(sym("symbol"), "Symbol") == [1015]
-    assert one(sym("Invoice", file="app/models/billing.rb"), "billing") == [114]
-    assert one(sym("charge", "method", "app/models/billing.rb"), "billing") == [] and one(sym("User"), "zzzzz") == []
-    assert one(sym("save", "method", vis="private"), "save")[0] == one(sym("save", "method", vis="public"), "save")[0] - 15
-    assert one(sym("User"), "user", current=1)[0] == one(sym("User"), "user", current=2)[0] + 200
+    assert one(sym("Lamps"), "lamp") == [700 - 1 + 15]
+    assert one(sym("Lamp"), "lamp") == [1000 + 15] and one(sym("Lamp"), "Lamp") == [1000 + 150 + 15] and one(sym("lamp"), "Lamp") == [1000 + 15]
+    assert one(sym("Ledger", file="shop/oar.rb"), "oar") == [15 + 0.6 * (3 * 10 + 15 + 20 + 2 * 10)]
+    assert one(sym("weigh", "method", "shop/oar.rb"), "oar") == [] and one(sym("Lamp"), "zzzzz") == []
+    assert one(sym("mend", "method", vis="private"), "mend")[0] == one(sym("mend", "method", vis="public"), "mend")[0] - 15
+    assert one(sym("Lamp"), "lamp", current=1)[0] == one(sym("Lamp"), "lamp", current=2)[0] + 200
+
+
+def test_a_file_named_like_the_query_adds_a_fifth_of_its_alignment(spark):
+    score = lambda file: hits(spark, [sym("CourierWest", file=file)], "courier")[0].score
+    whole = 7 * 10 + 15 + 20 + 6 * 10
+    assert score("van/courier.py") - score("van/depot.py") == pytest.approx(0.2 * whole) == pytest.approx(33)
 
 
 def test_order_of_kinds_of_match(spark):
-    got = hits(spark, [sym("UserMailer"), sym("Users"), sym("User"), sym("AbUxsxer")], "user")
-    assert [r.name for r in got][:3] == ["User", "Users", "UserMailer"]
-    assert hits(spark, [sym("RefundProcessor"), sym("Refund"), sym("Payment")], "refundproc")[0].name == "RefundProcessor"
+    got = hits(spark, [sym("LampShade"), sym("Lamps"), sym("Lamp"), sym("OldLaxmps")], "lamp")
+    assert [r.name for r in got][:3] == ["Lamp", "Lamps", "LampShade"]
+    assert hits(spark, [sym("HarborKeeper"), sym("Harbor"), sym("Quay")], "harborkeep")[0].name == "HarborKeeper"
 
 
 def test_scope_and_parents(spark):
-    got = hits(spark, [sym("Config", parent="Baz"), sym("Config", parent="Foo"), sym("Config", parent="Qux")], "Foo::Config")
-    assert got[0].parent == "Foo" and "parent" in [f.name for f in got[0].features]
-    rows = [("Foo", "Foo"), ("Foo", "App::Foo"), ("App", "App::Foo"), ("Foo", "Foo::Inner"), ("Foo", None), ("A::B", "X::A::B"), ("A::B::C", "A::B::C")]
+    got = hits(spark, [sym("Gauge", parent="Pump"), sym("Gauge", parent="Valve"), sym("Gauge", parent="Tank")], "Valve::Gauge")
+    assert got[0].parent == "Valve" and "parent" in [f.name for f in got[0].features]
+    rows = [("Pump", "Pump"), ("Pump", "Mill::Pump"), ("Mill", "Mill::Pump"), ("Pump", "Pump::Seal"), ("Pump", None), ("C::D", "W::C::D"), ("C::D::E", "C::D::E")]
     boosts = spark.createDataFrame(rows, "q string, p string").select(X.parent_boost(F.col("q"), F.col("p")).alias("b")).collect()
     assert [r.b for r in boosts] == [180, 180, None, None, None, 240, 300]
 
 
 def test_boosts(spark):
-    score = lambda **k: hits(spark, [sym("User", file="a/x.rb", ts=k.pop("ts", None))], "user", **k)[0].score
+    score = lambda **k: hits(spark, [sym("Lamp", file="a/x.rb", ts=k.pop("ts", None))], "lamp", **k)[0].score
     base = score()
     assert [score(ts=NOW - d * DAY) - base for d in (0, 14, 28, 97)] == [120, 60, 30, 0]
     assert [score(changed=[f]) - base for f in ("a/x.rb", "a/y.rb", "b/x.rb")] == [180, 60, 0]
@@ -59,26 +65,29 @@ def test_boosts(spark):
 
 
 def test_confidence(spark):
-    assert hits(spark, [sym("User")], "user")[0].confidence == 1.0
-    tied = hits(spark, [sym("User", file="f1.rb"), sym("User", file="f2.rb")], "user")
+    assert hits(spark, [sym("Lamp")], "lamp")[0].confidence == 1.0
+    tied = hits(spark, [sym("Lamp", file="q1.rb"), sym("Lamp", file="q2.rb")], "lamp")
     assert [r.confidence for r in tied] == [0.5, 0.5]
-    assert hits(spark, [sym("User"), sym("Usersx", "method")], "user")[0].confidence > 0.9
-    assert 0.3 < hits(spark, [sym("RefundProcessingService", "method")], "refprocsvc")[0].confidence < 0.65
+    assert hits(spark, [sym("Lamp"), sym("Lampsx", "method")], "lamp")[0].confidence > 0.9
+    assert 0.3 < hits(spark, [sym("HarborLitGate", "method")], "harlitgate")[0].confidence < 0.65
 
 
 @pytest.mark.parametrize(("url", "want"), [
-    ("git@github.com:acme/tool.git", "github.com/acme/tool"), ("https://github.com/acme/tool.git", "github.com/acme/tool"), ("https://github.com/acme/tool", "github.com/acme/tool"),
-    ("ssh://git@github.com:22/acme/tool.git", "github.com/acme/tool"), ("", None), ("not-a-url", None),
+    ("git@example.com:town/pier.git", "example.com/town/pier"), ("https://example.com/town/pier.git", "example.com/town/pier"), ("https://example.com/town/pier/", "example.com/town/pier"),
+    ("ssh://git@example.com:2222/town/pier.git", "example.com/town/pier"), ("", None), ("plain-words", None),
 ])
 def test_remotes(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(X.normalize_remote(F.col("u")).alias("n")).first().n == want
 
 
-def test_short_circuit_and_flood(spark):
-    names = [f"manaa{k:03d}" for k in range(50)] + ["mango", "User", "Peruser"]
-    symbols = spark.createDataFrame([(k, n, n.lower(), "class", "f.rb") for k, n in enumerate(names)], "id long, name string, name_lower string, kind string, file string")
-    ask = lambda *q: recall.recall_queries(spark.createDataFrame(list(enumerate(q)), "query_id long, query string"))
+@pytest.mark.parametrize("fitting", [False, True])
+def test_strong_matches_end_the_recall_of_a_query(spark, fitting):
+    names = [f"brook{k:02d}" for k in range(50)] + ["brim", "Lamp", "Headlamp"]
+    symbols = spark.createDataFrame([(k, n, n.lower(), "class", "q.rb") for k, n in enumerate(names)], "id long, name string, name_lower string, kind string, file string")
+    asked = recall.recall_queries(spark.createDataFrame(list(enumerate(("brim", "lamp", "lamp*", "x", "bk7"))), "query_id long, query string"))
     got = {}
-    for r in recall.recall_many(symbols, ask("mango", "user", "user*", "x")).join(symbols, "id").collect():
+    for r in recall.recall_many(symbols, asked, fitting).join(symbols, "id").collect():
         got.setdefault(r.query_id, set()).add(r.name)
-    assert got[0] == {"mango"} and got[1] == {"User"} and got[2] == {"User", "Peruser"} and 3 not in got
+    assert got[0] == {"brim"} and got[1] == {"Lamp"} and got[2] == {"Lamp", "Headlamp"} and 3 not in got
+    # with fitting, only names that hold the query's letters in order are joined at all
+    assert len(got[4]) == (5 if fitting else 51)
