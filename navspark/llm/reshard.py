@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import LARGEST_ID, fresh, materialize
+from navspark.llm.common import LARGEST_ID, fresh, hash128, materialize
 
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 16
@@ -160,8 +160,9 @@ def _cut(rows: DataFrame, old: str, shards: int, block_rows: int, by_size: bool)
 
 
 def file_row() -> Column:
-    """Tells the rows of a DataFrame that is read from Parquet files: the file and the place in it."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    """Tells the rows of a DataFrame that is read from Parquet files: a 128-bit hash of the file's path, which is shorter, and the place in it."""
+    one, two = hash128(F.col("_metadata.file_path"))
+    return F.struct(one.alias("one"), two.alias("two"), F.col("_metadata.row_index").alias("at"))
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int, row: Column, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, list[Transfer]]:
