@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import materialize, scratch, table
+from navspark.llm.common import owned_scratch, scratch, table
 from navspark.llm.decontaminate import contaminated
 from navspark.llm.exact_dedup import exact_dedup
 from navspark.llm.line_dedup import dedup_lines
@@ -41,10 +41,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from the files of the shards that changed, and the plan's rows of shards that did not."""
-    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "shards")
+    docs, path, plan = table(spark, sf_dir, "documents"), scratch(spark, "shards"), scratch(spark, "reshard-plan")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
-    placed, _ = reshard(docs, old, NEW_SHARDS, file_row())
-    placed = materialize(placed, "reshard-plan")
+    with owned_scratch(spark):  # what led to the plan goes before texts are rewritten
+        placed, _ = reshard(docs, old, NEW_SHARDS, file_row())
+        placed.write.parquet(plan)
+    placed = spark.read.schema(placed.schema).parquet(plan)
     changed = sorted(rewrite_affected(docs.select("doc_id", "text"), placed, path, file_row()))
     columns = ["doc_id", "size", "text_crc32", "shard", "slot"]
     kept = docs.select("doc_id", file_row().alias("row")).join(placed.filter(~F.col("shard").isin(changed)), "row").select(columns)

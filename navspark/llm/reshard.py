@@ -27,6 +27,8 @@ BLOCK_ROWS = 8192
 LARGE_PART = 64
 #: Rows of a written file.
 FILE_ROWS = 65536
+#: Codec of the written files; what is rewritten is every byte of the shards that change, once.
+FILE_CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -199,7 +201,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, row: Column, text_c
     return out, transfers
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, row: Column, file_rows: int = FILE_ROWS) -> set[int]:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, row: Column, file_rows: int = FILE_ROWS, codec: str = FILE_CODEC) -> set[int]:
     """Writes the files of the shards that change, below ``path``/shard=k, and leaves those of the others alone.
 
     ``placed`` comes from `reshard` with the same ``row``. The files hold the columns of ``docs`` and the slot, a range of ``file_rows`` slots
@@ -215,7 +217,7 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, row: Column,
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         dealt = moved.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
-        dealt.write.partitionBy("shard").mode("overwrite").parquet(path)
+        dealt.write.partitionBy("shard").mode("overwrite").parquet(path, compression=codec)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
     return changed
