@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from navspark.llm.common import owned_scratch, scratch, table
 from navspark.llm.decontaminate import contaminated
 from navspark.llm.exact_dedup import exact_dedup
+from navspark.llm.importance import resample
 from navspark.llm.line_dedup import dedup_lines
 from navspark.llm.near_dedup import near_duplicates
 from navspark.llm.packing import pack
 from navspark.llm.pii import BASE_KINDS, KINDS, find_pii, span_string
 from navspark.llm.reshard import file_row, reshard, rewrite_affected, text_size
+from navspark.llm.secrets import KINDS as SECRET_KINDS
+from navspark.llm.secrets import find_secrets, secret_string
 from navspark.llm.token_store import read_store, write_store
 from navspark.llm.toxicity import fit_severity, score_severity
 from navspark.llm.url_filter import filter_urls, parse_rule
+from navspark.llm.vector_codes import books_digest, compress_vectors
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 END_ID = 2
@@ -97,6 +101,28 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books_digest(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = SECRET_KINDS.index("novel")
+    base = F.filter("spans", lambda s: s["kind"] < added)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{SECRET_KINDS[k]}") for k in range(added)]
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(secret_string(base).cast("binary"), 256).alias("base_sha256"), secret_string(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_packing, op10_pii)
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_simhash, op3_exact_dedup, op4_reshard, op5_token_store, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_packing, op10_pii, op11_importance,
+        op12_vector_codes, op13_secrets,
+    )
 }
