@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.functions.textcols import body_span, identity_of, signature
-from navspark.operators import learn, maintain, rank, recall
+from navspark.operators import gram_index, learn, maintain, rank, recall
 from navspark.operators import score as SC
+from navspark.operators.learn import EventLog
 from navspark.plans.query import QuerySpec
-from navspark.schemas import EVENT_TYPES, SHOW_FROM
+from navspark.schemas import EVENT_TYPES, SHOW_FROM, TABLES, struct
 from navspark.sources import files as SRC
-from navspark.store import CatalogStore
+from navspark.store import PARTITIONED, CatalogStore
 
 log = logging.getLogger("navspark")
 #: Events rolled up at once and kept after that.
@@ -28,6 +29,7 @@ class NavEngine:
 
     def __init__(self, spark: SparkSession, path: str, clock=time.time):
         self.spark, self.store, self.clock = spark, CatalogStore(spark, path), clock
+        self.events = EventLog(self.store, lambda repos: self.store.read("symbols", repos))
         self.profile: dict[str, float] = {}
 
     def now(self) -> int:
@@ -47,111 +49,149 @@ class NavEngine:
         row = self.store.read("repositories").filter(F.col("identity") == self._identity(os.path.abspath(root))).select("id").first()
         return row.id if row else None
 
+    def _enter(self, root: str, identity: str) -> int:
+        """The repository's id, after it and the checkout are entered and checkouts that are gone are forgotten."""
+        branch = SRC.head_branch(root)
+
+        def work(tx):
+            new = self.spark.createDataFrame([(identity, branch)], "identity string, default_branch string")
+            repositories = maintain.upsert_repositories(tx.read("repositories"), new, self.now()).cache()
+            repo = repositories.filter(F.col("identity") == identity).first().id
+            checkout = self.spark.createDataFrame([(repo, root, branch)], "repository_id long, root_path string, current_branch string")
+            alive = [r.root_path for r in tx.read("checkouts").select("root_path").collect() if os.path.isdir(r.root_path)]
+            checkouts = maintain.upsert_checkouts(tx.read("checkouts").filter(F.col("root_path").isin(alive)), checkout)
+            for name, df in (("repositories", repositories), ("checkouts", checkouts)):
+                tx.replace(name, [tx.stage(name, df)])
+            repositories.unpersist()
+            return repo
+
+        return self.store.transact(work)
+
+    def _put(self, tx, repo: int, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Stages a repository's files and symbols and, for the files whose content is not what it was, their part of the gram index."""
+        stored = tx.read("files", [repo])
+        folder = tx.stage("files", files)
+        tx.replace("files", [folder], repo)
+        files = self.store.read_folders("files", [folder])
+        folder = tx.stage("symbols", maintain.located(symbols, files))
+        tx.replace("symbols", [folder], repo)
+        symbols = self.store.read_folders("symbols", [folder])
+        gram_index.add_segment(tx, repo, symbols, gram_index.changed(stored, files))
+        return files, symbols
+
     def index(self, root: str, under: list[str] = (), cap: int | None = None, query: str = "") -> dict[str, int | str]:
-        """Brings the catalog up to date with a checkout: changed files are parsed again, vanished ones forgotten.
+        """Brings the catalog up to date with a checkout: changed files are parsed again, vanished ones forgotten. Only this repository's folders are written.
 
         With ``under`` only parts are seen, with ``cap`` only so many changed files, those whose path
         looks like the query first; then nothing is forgotten and the coverage stays warming.
         """
         began = time.perf_counter()
-        root, spark, now = os.path.abspath(root), self.spark, self.now()
-        identity, branch = self._identity(root), SRC.head_branch(root)
-        new = spark.createDataFrame([(identity, branch)], "identity string, default_branch string")
-        repositories = maintain.upsert_repositories(self.store.read("repositories"), new, now).cache()
-        repo = repositories.filter(F.col("identity") == identity).first().id
-        checkout = spark.createDataFrame([(repo, root, branch)], "repository_id long, root_path string, current_branch string")
-        alive = [r.root_path for r in self.store.read("checkouts").select("root_path").collect() if os.path.isdir(r.root_path)]
-        checkouts = maintain.upsert_checkouts(self.store.read("checkouts").filter(F.col("root_path").isin(alive)), checkout)
-        stored, symbols = self.store.read("files"), self.store.read("symbols")
-        mine, theirs = F.col("repository_id") == repo, F.col("repository_id") != repo
-        seen = SRC.list_files(spark, root, list(under)).cache()
-        todo = maintain.to_parse(stored.filter(mine), seen)
+        root = os.path.abspath(root)
+        identity = self._identity(root)
+        repo = self._enter(root, identity)
+        counts = self.store.transact(lambda tx: self._index(tx, root, identity, repo, list(under), cap, query))
+        self._timed("index", began)
+        return counts
+
+    def _index(self, tx, root: str, identity: str, repo: int, under: list[str], cap: int | None, query: str) -> dict[str, int | str]:
+        spark, now = self.spark, self.now()
+        stored, symbols = tx.read("files", [repo]), tx.read("symbols", [repo])
+        seen = SRC.list_files(spark, root, under).cache()
+        todo = maintain.to_parse(stored, seen)
         pending = todo.count()
         budgeted = cap is not None
         if budgeted and pending > cap:
             todo = maintain.prioritized(todo, F.lit(query)).limit(cap)
         text = SRC.read_files(spark, root, todo, repo).cache()
         parsed = text.drop("text")
-        files, mine_symbols = maintain.replace_files(stored.filter(mine), symbols.filter(mine), parsed, SRC.extract_symbols(text), now)
+        files, symbols = maintain.replace_files(stored, symbols, parsed, SRC.extract_symbols(text), now)
         complete = not (budgeted and pending > cap)
-        had_stored, seen_empty = stored.filter(mine).limit(1).count() > 0, seen.isEmpty()
+        had_stored, seen_empty = stored.limit(1).count() > 0, seen.isEmpty()
         outcome = maintain.sweep_outcome(F.lit(complete), F.lit(not under), F.lit(seen_empty), F.lit(had_stored), F.lit(budgeted))
         o = spark.range(1).select(outcome.alias("o")).first().o
         if o.finalize:
-            files, mine_symbols = maintain.forget_files(files, mine_symbols, maintain.reconcile(files, seen))
-        meta: dict[str, str | None] = {}
-        head = SRC.git_head(root)
-        if head and head != self.store.meta.get(f"git_ts_head:{identity}"):
-            files = maintain.set_git_times(files, maintain.latest_commit_times(SRC.commit_log(spark, root, self.store.meta.get(f"git_ts_head:{identity}"))))
-            meta[f"git_ts_head:{identity}"] = head
+            files, symbols = maintain.forget_files(files, symbols, maintain.reconcile(files, seen))
+        head, mark = SRC.git_head(root), f"git_ts_head:{identity}"
+        if head and head != tx.base.meta.get(mark):
+            files = maintain.set_git_times(files, maintain.latest_commit_times(SRC.commit_log(spark, root, tx.base.meta.get(mark))))
+            tx.meta[mark] = head
         if head and o.finalize:
-            meta[f"head:{identity}"] = head
-        self.store.write({"files": stored.filter(theirs).unionByName(files), "symbols": symbols.filter(theirs).unionByName(mine_symbols)})
-        n_files, n_seen = self.store.read("files").filter(mine).count(), seen.count()
-        status = "warming" if n_files == 0 else o.status
-        covered = spark.createDataFrame([(repo, repo, "full", n_seen, n_files, status, now)], "id long, repository_id long, scope string, files_seen long, files_indexed long, status string, last_indexed_at long")
-        self.store.write(
-            {"repositories": repositories, "checkouts": checkouts, "coverage": self.store.read("coverage").filter(theirs).unionByName(covered)}, meta
-        )
-        counts = {"files_seen": n_seen, "files_indexed": parsed.count(), "symbols": self.store.read("symbols").filter(mine).count(), "status": status}
-        for df in (seen, text, repositories):
+            tx.meta[f"head:{identity}"] = head
+        files, symbols = self._put(tx, repo, files, symbols)
+        n_files, n_seen = files.count(), seen.count()
+        status = spark.range(1).select(maintain.settle_status(F.lit(o.status), F.lit(n_files)).alias("s")).first().s
+        covered = spark.createDataFrame([(repo, repo, "full", n_seen, n_files, status, now)], struct("coverage"))
+        tx.replace("coverage", [tx.stage("coverage", covered)], repo)
+        counts = {"files_seen": n_seen, "files_indexed": parsed.count(), "symbols": symbols.count(), "status": status}
+        for df in (seen, text):
             df.unpersist()
-        self._timed("index", began)
         return counts
 
     def refresh(self, root: str, paths: list[str]) -> bool:
         """Parses some files again if their content changed; unreadable ones count as unchanged. Whether any changed."""
         repo = self.repository_id(root)
-        stored, symbols, mine = self.store.read("files"), self.store.read("symbols"), F.col("repository_id") == repo
         rows = [(p, n, SRC.file_mtime(os.path.join(root, p))) for n, p in enumerate(dict.fromkeys(paths))]
         text = SRC.read_files(self.spark, root, self.spark.createDataFrame([r for r in rows if r[2] is not None], SRC.LISTED), repo).cache()
-        changed = maintain.changed_files(stored.filter(mine), text).filter("status <> 'same'").count() > 0
-        if changed:
-            files, mine_symbols = maintain.replace_files(stored.filter(mine), symbols.filter(mine), text.drop("text"), SRC.extract_symbols(text), self.now())
-            self.store.write({"files": stored.filter(~mine).unionByName(files), "symbols": symbols.filter(~mine).unionByName(mine_symbols)})
+
+        def work(tx):
+            stored = tx.read("files", [repo])
+            changed = maintain.changed_files(stored, text).filter("status <> 'same'").count() > 0
+            if changed:
+                self._put(tx, repo, *maintain.replace_files(stored, tx.read("symbols", [repo]), text.drop("text"), SRC.extract_symbols(text), self.now()))
+            return changed
+
+        changed = self.store.transact(work)
         text.unpersist()
         return changed
 
     def drop(self, root_or_identity: str) -> dict[str, bool]:
         """Forgets a repository; one that is unknown is no error."""
-        repos = self.store.read("repositories")
         names = [root_or_identity, f"local:{os.path.abspath(root_or_identity)}"]
         names += [self._identity(os.path.abspath(root_or_identity))] if os.path.isdir(root_or_identity) else []
-        row = repos.filter(F.col("identity").isin(names)).first()
-        if not row:
-            return {"dropped": False}
-        tables = {t: self.store.read(t) for t in ("repositories", "checkouts", "files", "symbols", "coverage", "events", "selection_stats")}
-        self.store.write(maintain.drop_repository(tables, row.id), {f"head:{row.identity}": None, f"git_ts_head:{row.identity}": None})
-        return {"dropped": True}
+
+        def work(tx):
+            row = tx.read("repositories").filter(F.col("identity").isin(names)).first()
+            if not row:
+                return {"dropped": False}
+            whole = {t: tx.read(t) for t in TABLES if t not in PARTITIONED}
+            for name, df in maintain.drop_repository(whole, row.id).items():
+                tx.replace(name, [tx.stage(name, df)])
+            for name in PARTITIONED:
+                tx.replace(name, [], row.id)
+            tx.meta |= {f"head:{row.identity}": None, f"git_ts_head:{row.identity}": None}
+            return {"dropped": True}
+
+        return self.store.transact(work)
 
     # ---- asking
 
-    def candidates(self) -> DataFrame:
-        """Symbols with what scoring needs of their file and repository."""
-        files = self.store.read("files").select(F.col("id").alias("file_id"), F.col("path").alias("file"), "mtime", "git_ts")
-        repos = self.store.read("repositories").select(F.col("id").alias("repository_id"), F.col("identity").alias("repo"))
-        return self.store.read("symbols").join(files, "file_id").join(repos, "repository_id")
+    def _named(self, hits: DataFrame) -> DataFrame:
+        """Hits with the identity of their repository."""
+        return hits.join(self.store.read("repositories").select(F.col("id").alias("repository_id"), F.col("identity").alias("repo")), "repository_id")
 
-    def _rank(self, symbols: DataFrame, pairs: DataFrame, asked: DataFrame, k: int, scoped: bool, boosted: bool = True) -> DataFrame:
-        rows = SC.prepare_pairs(symbols, asked, pairs)
-        rows = rows.filter("repository_id = current_repo_id") if scoped else rows
+    def _rank(self, symbols: DataFrame, pairs: DataFrame, asked: DataFrame, k: int, boosted: bool = True) -> DataFrame:
+        rows = recall.fitting(SC.prepare_pairs(symbols, asked, pairs))
         if boosted:
-            boosts = SC.learned_boosts(self.store.read("selection_stats"), asked, F.lit(self.now())).withColumnRenamed("learned", "learned_value")
+            boosts = SC.learned_boosts(self.events.picks(), asked, F.lit(self.now())).withColumnRenamed("learned", "learned_value")
             rows = rows.join(boosts, ["query_id", "repository_id", "file", "name"], "left")
         else:
             rows = rows.withColumn("learned_value", F.lit(None).cast("double"))
         return SC.list_features(rank.top_k(SC.score_values(rows.withColumn("now", F.lit(self.now()))), k))
 
-    def search_many(self, queries: DataFrame, limit: int = 10, all_repos: bool = True, spec: QuerySpec | None = None) -> DataFrame:
-        """Hits of a whole table of queries (query_id, query and, if wanted, current_repo_id and changed_files)."""
+    def search_many(self, queries: DataFrame, limit: int = 10, all_repos: bool = True, spec: QuerySpec | None = None, repositories: list[int] | None = None) -> DataFrame:
+        """Hits of a whole table of queries (query_id, query and, if wanted, current_repo_id and changed_files).
+
+        With ``repositories`` only their folders of the index and of the symbols are read; without all_repos each query sees its current_repo_id only."""
         asked = queries
         if "current_repo_id" not in asked.columns:
             asked = asked.withColumn("current_repo_id", F.lit(None).cast("long"))
         if "changed_files" not in asked.columns:
             asked = asked.withColumn("changed_files", F.array().cast("array<string>"))
-        asked, symbols = recall.recall_queries(asked), self.candidates()
-        hits = self._rank(symbols, recall.recall_many(symbols, asked, fitting=True), asked, spec.ranked if spec else limit, not all_repos)
-        return self._finish(hits, spec, limit)
+        asked, symbols, index = recall.recall_queries(asked), self.store.read("symbols", repositories), gram_index.searchable(self.store, repositories)
+        if spec:  # one query: its grams are a filter on the sorted postings
+            index = index.filter(F.col("gram").isin(recall.grams_of(asked)))
+        hits = self._rank(symbols, recall.recall_many(index, asked, scoped=not all_repos), asked, spec.ranked if spec else limit)
+        return self._finish(self._named(hits), spec, limit)
 
     def _finish(self, hits: DataFrame, spec: QuerySpec | None, limit: int) -> DataFrame:
         """Gates, filters, cut, confidence, in this order."""
@@ -174,7 +214,8 @@ class NavEngine:
         changed = SRC.branch_changed_files(root) if root else []
         row = [(1, spec.query, repo, changed)]
         queries = self.spark.createDataFrame(row, "query_id long, query string, current_repo_id long, changed_files array<string>")
-        return self.search_many(queries, limit, all_repos or repo is None, spec).orderBy("rank")
+        only = None if all_repos or repo is None else [repo]
+        return self.search_many(queries, limit, True, spec, only).orderBy("rank")
 
     def live_search(self, target: str, root: str, limit: int = 10, indexed: DataFrame | None = None, cap: int | None = None) -> DataFrame:
         """Hits in files as they lie there, without the catalog: first those that hold the query literally, else all.
@@ -190,14 +231,15 @@ class NavEngine:
                 "*", F.col("path").alias("file"), F.lit("live").alias("repo"), F.lower("name").alias("name_lower"), *(F.lit(None).cast("long").alias(c) for c in ("mtime", "git_ts"))
             ).cache()
             pairs = symbols.select(F.lit(1).cast("long").alias("query_id"), "id")
-            hits = self._rank(symbols, pairs, asked, spec.limit, False, boosted=False)
+            hits = self._rank(symbols, pairs, asked, spec.limit, boosted=False)
             if not hits.isEmpty():
                 break
         return hits
 
     def outline(self, root: str, path: str, kinds=(), langs=()) -> DataFrame:
         """The definitions of one file, in order."""
-        rows = maintain.outline(self.candidates(), self.repository_id(root) or -1, path)
+        repo = self.repository_id(root) or -1
+        rows = self._named(maintain.outline(self.store.read("symbols", [repo]), repo, path)).orderBy("line", "name")
         return rank.post_filter(rows, [], list(kinds), list(langs)).select("name", "kind", "language", "file", "line", "end_line", "parent", "visibility", "repo")
 
     def with_source(self, hits: DataFrame, root: str, body: bool = False) -> DataFrame:
@@ -217,7 +259,7 @@ class NavEngine:
 
     def miss(self, root: str, interrupted: bool = False) -> tuple[str, int]:
         """(status, exit code) of a search without hits."""
-        row = self.store.read("coverage").filter((F.col("repository_id") == (self.repository_id(root) or -1)) & (F.col("scope") == "full")).first()
+        row = self.store.read("coverage", [self.repository_id(root) or -1]).filter("scope = 'full'").first()
         status = "interrupted" if interrupted else ("no_match" if row and row.status == "complete" else "warming")
         return status, 1 if status == "no_match" else 2
 
@@ -227,21 +269,14 @@ class NavEngine:
     # ---- learning
 
     def record(self, event: str, query: str, root: str, path: str, line: int | None = None) -> int:
-        """Appends what a user picked, rolls new events up and prunes old ones. How many were rolled up."""
+        """Appends what a user picked and rolls new events up. How many were rolled up."""
         if event not in EVENT_TYPES[1:]:
             raise ValueError(f"{event} is not one of {EVENT_TYPES[1:]}")
         relative = os.path.relpath(path, root) if os.path.isabs(path) else path
-        events = self.store.read("events")
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query)
-        top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
-        row = [(top + 1, event, low, self.repository_id(root), relative, line, SRC.head_branch(root), self.now())]
-        self.store.write({"events": events.unionByName(self.spark.createDataFrame(row, events.schema))})
+        row = [(event, low, self.repository_id(root), relative, line, SRC.head_branch(root), self.now())]
+        self.events.append(self.spark.createDataFrame(row, "type string, query string, repository_id long, path string, line long, branch string, ts long"))
         return self.roll_up()
 
-    def roll_up(self, size: int = ROLLUP_BATCH, keep: int = KEEP_EVENTS) -> int:
-        events, mark = self.store.read("events"), int(self.store.meta.get("events_hwm", 0))
-        batch, taken, now_at = learn.next_batch(events, mark, size)
-        symbols = self.candidates().select("repository_id", "file", "name", "kind", "line")
-        stats = learn.merge_counts(self.store.read("selection_stats"), learn.pick_counts(batch, symbols))
-        self.store.write({"selection_stats": stats, "events": learn.prune_events(events, now_at, keep)}, {"events_hwm": str(now_at)})
-        return taken
+    def roll_up(self, size: int | None = ROLLUP_BATCH, keep: int = KEEP_EVENTS) -> int:
+        return self.events.roll_up(size, keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navspark.functions.textcols import ascii_lower, content_hash, ngrams, shares_gram
+from navspark.functions.textcols import ascii_lower, content_hash, shares_gram
 
 
 #: Lines of a commit log that are put in order together.
@@ -77,7 +77,7 @@ def replace_files(files: DataFrame, symbols: DataFrame, parsed: DataFrame, parse
     kept = symbols.join(replaced.select("file_id"), "file_id", "left_anti")
     fresh = parsed_symbols.join(replaced, key).withColumn("name_lower", F.lower("name"))
     fresh = fresh.withColumn("id", F.xxhash64("file_id", "line", "name", "kind", "parent"))
-    return new_files, kept.unionByName(fresh.select(kept.columns))
+    return new_files, kept.unionByName(fresh.select([c for c in kept.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
 def reconcile(stored: DataFrame, seen: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def set_git_times(files: DataFrame, times: DataFrame) -> DataFrame:
 
 def drop_repository(tables: dict[str, DataFrame], repository_id: int) -> dict[str, DataFrame]:
     """All tables without a repository's rows."""
-    return {n: t.filter(F.col("id" if n == "repositories" else "repository_id") != repository_id) for n, t in tables.items() if n != "meta"}
+    return {n: t.filter(F.col("id" if n == "repositories" else "repository_id") != repository_id) for n, t in tables.items()}
 
 
 def sweep_outcome(completed: Column, whole_repo: Column, seen_empty: Column, had_stored: Column, budgeted: Column) -> Column:
@@ -163,6 +163,7 @@ def latest_commit_times(log: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
     return paths.groupBy(F.col("line").alias("path")).agg(F.min_by("ts", "n").alias("ts"))
 
 
-def trigram_index(symbols: DataFrame) -> DataFrame:
-    """(gram, id): the inverted index of names, always rebuilt in bulk."""
-    return symbols.select(F.explode(ngrams(F.col("name_lower"), 3)).alias("gram"), "id")
+def located(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols with the path and times of their files as these are now, so that a search needs no other table."""
+    at = files.select(F.col("id").alias("file_id"), F.col("path").alias("file"), "mtime", "git_ts")
+    return symbols.drop("file", "mtime", "git_ts").join(at, "file_id")

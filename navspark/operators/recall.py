@@ -1,7 +1,7 @@
 """Candidate recall: exact, prefix, first character, trigram and path layers.
 
-All layers are equi-joins on short keys, so a batch of queries against a large catalog is never a cross
-product. The strong layers (exact and prefix) decide for a query whether the broad ones run at all.
+All layers are equi-joins of the queries' grams with the postings of `gram_index`, so a batch of queries against a large catalog is
+never a cross product and no name is taken apart at query time. The strong layers (exact and prefix) decide for a query whether the broad ones run at all.
 """
 
 from __future__ import annotations
@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navspark.functions.matcher import subsequence_pattern
-from navspark.functions.textcols import ascii_lower, has_wildcard, ngrams, path_stem, query_leaf, query_trigrams, strip_wildcards
+from navspark.functions.textcols import ascii_lower, has_wildcard, path_stem, query_leaf, query_trigrams, strip_wildcards
+from navspark.operators.gram_index import HEAD, PATH, broad_grams, strong_grams
 from navspark.schemas import PATH_ALONE_KINDS, PATH_RECALL_KINDS
 
-#: Letters of a name's beginning that names and keys are joined by.
-HEAD = 3
-
 
 def is_exact(name_lower: Column, query: Column) -> Column:
     return name_lower == ascii_lower(query)
@@ -59,42 +57,46 @@ def recall_one(symbols: DataFrame, key: str, force_fuzzy: bool = False) -> DataF
     return symbols.filter(is_prefix(F.col("name_lower"), q) | is_first_char(F.col("name_lower"), q) | has_trigram(F.col("name_lower"), q) | in_path(F.col("file"), F.col("kind"), q))
 
 
-def strong_pairs(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) of exact and prefix matches: names and keys are joined by their first letters, then the whole key is compared."""
-    sizes = F.sequence(F.lit(1), F.least(F.length("name_lower"), F.lit(HEAD)))
-    heads = F.when(F.length("name_lower") > 0, F.transform(sizes, lambda n: F.substring("name_lower", F.lit(1), n)))
-    named = symbols.select("id", "name_lower", F.explode_outer(heads).alias("head"))
-    keys = queries.filter("key <> ''").select("query_id", "key", F.substring("key", 1, HEAD).alias("head"))
-    return named.join(keys, "head").filter(F.startswith("name_lower", F.col("key"))).select("query_id", "id")
-
+def _asked(queries: DataFrame, grams: Column, scoped: bool) -> DataFrame:
+    """(query_id, key, gram) of queries, and the repository that each is about."""
+    keys = queries.filter("key <> ''").select("query_id", "key", F.explode(F.array_distinct(grams)).alias("gram"), *(["current_repo_id"] if scoped else []))
+    return keys.withColumnRenamed("current_repo_id", "repository_id")
 
-def _fitting(pairs: DataFrame) -> DataFrame:
-    """Pairs that can score at all: the name, or a type's file name, holds the query's letters in order."""
-    stem = F.when(F.col("kind").isin(*PATH_ALONE_KINDS), ascii_lower(path_stem(F.col("file"))))
-    return pairs.filter(F.regexp_like(ascii_lower(F.col("name")), F.col("fits")) | F.regexp_like(stem, F.col("fits")))
 
+def strong_pairs(index: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
+    """(query_id, id) of exact and prefix matches: index postings and keys are joined by their first letters, then the whole key is compared.
 
-def broad_pairs(symbols: DataFrame, queries: DataFrame, fitting: bool = False) -> DataFrame:
-    """(query_id, id) of the first-character, trigram and path layers; with ``fitting`` only of pairs that can score, as soon as they are joined.
+    index: `gram_index.postings`, stored or of symbols that are not; ``scoped``: only of each query's current_repo_id."""
+    keys = _asked(queries, strong_grams(F.col("key")), scoped)
+    on = ["gram", "repository_id"] if scoped else ["gram"]
+    return index.join(keys, on).filter((F.length("key") < HEAD) | F.startswith("text", F.col("key"))).select("query_id", "id")
 
-    The layers are one join: of first characters (marked ^), trigrams, and beginnings of the query within paths (marked /)."""
-    low = F.when(F.col("kind").isin(*PATH_RECALL_KINDS), ascii_lower(F.col("file")))
-    parts = F.concat(*(F.coalesce(ngrams(low, n), F.array().cast("array<string>")) for n in range(1, HEAD + 1)))
-    mark = lambda m: lambda g: F.concat(F.lit(m), g)
-    begin = F.array(F.concat(F.lit("^"), F.substring("name_lower", 1, 1)))
-    grams = F.concat(begin, ngrams(F.col("name_lower"), 3), F.transform(parts, mark("/")))
-    held = symbols.select("id", "name", "file", "kind", low.alias("path"), F.explode_outer(grams).alias("g"))
-    begun = F.array(F.concat(F.lit("^"), F.substring("key", 1, 1)), F.concat(F.lit("/"), F.substring("key", 1, HEAD)))
-    keys = queries.filter("key <> ''").select("query_id", "key", "fits", F.explode_outer(F.concat(begun, query_trigrams(F.col("key")))).alias("g"))
-    pairs = held.join(keys, "g").filter(~F.startswith("g", F.lit("/")) | F.contains("path", F.col("key")))
-    return (_fitting(pairs) if fitting else pairs).select("query_id", "id").distinct()
 
+def broad_pairs(index: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
+    """(query_id, id) of the first-character, trigram and path layers, one join by gram. A path has to hold the whole key."""
+    keys = _asked(queries, broad_grams(F.col("key")), scoped)
+    on = ["gram", "repository_id"] if scoped else ["gram"]
+    pairs = index.join(keys, on).filter(~F.startswith("gram", F.lit(PATH)) | F.contains("text", F.col("key")))
+    return pairs.select("query_id", "id").distinct()
 
-def recall_many(symbols: DataFrame, queries: DataFrame, fitting: bool = False) -> DataFrame:
-    """(query_id, id) of all candidates, with ``fitting`` of those that can score.
 
-    queries: output of `recall_queries`. A query with a strong match, and no wildcard, has only those."""
-    strong = strong_pairs(symbols, queries)
+def recall_many(index: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
+    """(query_id, id) of all candidates. queries: output of `recall_queries`. A query with a strong match, and no wildcard, has only those."""
+    strong = strong_pairs(index, queries, scoped)
     settled = strong.select("query_id").distinct().withColumn("settled", F.lit(True))
     open_ = queries.join(settled, "query_id", "left").filter("settled IS NULL OR force_fuzzy")
-    return strong.unionByName(broad_pairs(symbols, open_, fitting)).distinct()
+    return strong.unionByName(broad_pairs(index, open_, scoped)).distinct()
+
+
+def grams_of(queries: DataFrame) -> list[str]:
+    """All grams that a few queries are looked up by, for a filter that reaches the scan."""
+    key = F.col("key")
+    rows = queries.filter("key <> ''").select(F.explode(F.concat(strong_grams(key), broad_grams(key))).alias("gram")).distinct().collect()
+    return sorted(r.gram for r in rows)
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """Candidates that can score at all: the name, or a type's file name, holds the query's letters in order."""
+    stem = F.when(F.col("kind").isin(*PATH_ALONE_KINDS), ascii_lower(path_stem(F.col("file"))))
+    begins = F.startswith("name_lower", F.col("key"))
+    return rows.filter(begins | F.regexp_like(ascii_lower(F.col("name")), F.col("fits")) | F.regexp_like(stem, F.col("fits")))

@@ -11,8 +11,9 @@ from navspark import schemas as S
 from navspark import views as V
 from navspark.functions import textcols as X
 from navspark.functions.matcher import match_column, positions_column
-from navspark.operators import learn, maintain, rank, recall
+from navspark.operators import gram_index, learn, maintain, rank, recall
 from navspark.operators import score as SC
+from navspark.store import CatalogStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +83,15 @@ def _syms(spark, d):
     return V.view(spark, d, V.SYMBOLS)
 
 
+def _stored(spark, d):
+    """The symbols as a search reads them: stored, with their files' paths and times."""
+    return V.stored(spark, d).read("symbols")
+
+
+def _index(spark, d):
+    return gram_index.searchable(V.stored(spark, d))
+
+
 def _queries(spark, d):
     return recall.recall_queries(V.view(spark, d, V.QUERIES))
 
@@ -100,10 +110,10 @@ def _now():
 
 def _scored(spark, d):
     """The whole search: recall, boosts, score. Without files changed on a branch."""
-    symbols, asked = _syms(spark, d), _queries(spark, d)
+    symbols, asked = _stored(spark, d), _queries(spark, d)
     boosts = SC.learned_boosts(_stats(spark, d), V.view(spark, d, V.QUERIES), _now()).withColumnRenamed("learned", "learned_value")
     asked = asked.withColumn("changed_files", F.array(F.lit("src/small/hot_gear.rb")))
-    pairs = SC.prepare_pairs(symbols, asked, recall.recall_many(symbols, asked, fitting=True)).join(boosts, ["query_id", "repository_id", "file", "name"], "left")
+    pairs = recall.fitting(SC.prepare_pairs(symbols, asked, recall.recall_many(_index(spark, d), asked))).join(boosts, ["query_id", "repository_id", "file", "name"], "left")
     return SC.score_values(pairs.withColumn("now", _now()))
 
 
@@ -116,14 +126,14 @@ def _stats(spark, d):
 
 @query("SELECT query_id, id FROM pairs WHERE exact")
 def recall_exact(spark, d):
-    pairs = recall.strong_pairs(_syms(spark, d), _queries(spark, d))
+    pairs = recall.strong_pairs(_index(spark, d), _queries(spark, d))
     both = SC.prepare_pairs(_syms(spark, d), _queries(spark, d), pairs)
     return both.filter(F.col("name_lower") == F.col("key")).select("query_id", "id")
 
 
 @query("SELECT query_id, id FROM pairs WHERE prefix")
 def recall_prefix(spark, d):
-    return recall.strong_pairs(_syms(spark, d), _queries(spark, d))
+    return recall.strong_pairs(_index(spark, d), _queries(spark, d))
 
 
 @query("SELECT id, name FROM syms WHERE starts_with(name_lower, 'h')")
@@ -143,12 +153,12 @@ def recall_path(spark, d):
 
 @query("SELECT query_id, id FROM pairs WHERE key <> '' AND (first OR tri OR inpath)")
 def recall_union(spark, d):
-    return recall.broad_pairs(_syms(spark, d), _queries(spark, d))
+    return recall.broad_pairs(_index(spark, d), _queries(spark, d))
 
 
 @query("SELECT query_id, id FROM recalled")
 def recall_short_circuit(spark, d):
-    return recall.recall_many(_syms(spark, d), _queries(spark, d))
+    return recall.recall_many(_index(spark, d), _queries(spark, d))
 
 
 @query(
@@ -159,25 +169,55 @@ def recall_one_literal(spark, d):
     return recall.recall_one(_syms(spark, d), "redw").select("id", "name")
 
 
-@query("SELECT query_id, id FROM recalled WHERE repository_id = current_repo_id")
+_SCOPED = "SELECT query_id, id FROM (SELECT *, bool_or(prefix) OVER (PARTITION BY query_id) AND NOT wild AS sure FROM pairs WHERE repository_id = current_repo_id) t WHERE CASE WHEN sure THEN prefix ELSE prefix OR first OR tri OR inpath END"
+
+
+@query(_SCOPED)
 def repo_scope(spark, d):
-    symbols, asked = _syms(spark, d), _queries(spark, d)
-    both = SC.prepare_pairs(symbols, asked, recall.recall_many(symbols, asked))
-    return both.filter("repository_id = current_repo_id").select("query_id", "id")
+    """A search in one repository: what is a strong match elsewhere settles nothing here."""
+    return recall.recall_many(_index(spark, d), _queries(spark, d), scoped=True)
 
 
 @query("SELECT DISTINCT substr(name_lower, CAST(i AS INT), 3) AS gram, id FROM (SELECT *, unnest(range(1, length(name_lower) - 1)) AS i FROM syms) t")
 def trigram_index(spark, d):
-    return maintain.trigram_index(_syms(spark, d))
+    held = _index(spark, d).filter(F.startswith("gram", F.lit(gram_index.ANYWHERE)))
+    return held.select(F.substring("gram", 2, 3).alias("gram"), "id")
+
+
+@query(
+    "SELECT DISTINCT substr(low, CAST(i AS INT), 3) AS gram, id FROM (SELECT *, unnest(range(1, length(low) - 1)) AS i FROM"
+    " (SELECT s.id, CASE WHEN f.id % 3 = 0 THEN concat(name_lower, '_new') ELSE name_lower END AS low FROM syms s JOIN files f ON f.repository_id = s.repository_id AND f.path = s.file WHERE f.id % 5 <> 0) x) t"
+)
+def gram_segments(spark, d):
+    """The index after a later pass: every third file edited, every fifth one gone. Its segment holds those files' postings and tombstones only."""
+    store = V.stored(spark, d)
+    symbols, files = store.read("symbols"), store.read("files")
+    edit = (F.col("id") % 3 == 0) & (F.col("id") % 5 != 0)
+    after = files.filter("id % 5 <> 0").withColumn("content_hash", F.when(edit, F.md5("path")).otherwise(F.col("content_hash")))
+    after = after.withColumn("content_hash", F.when(edit, F.concat("content_hash", F.lit("!"))).otherwise(F.col("content_hash")))
+    changes = gram_index.changed(files, after)
+    fresh = symbols.join(changes.filter("fresh"), "file_id", "left_semi").withColumn("name_lower", F.concat("name_lower", F.lit("_new")))
+    none = F.lit(None).cast("string")
+    dead = changes.filter("dead").select(F.lit(None).cast("long").alias("repository_id"), none.alias("gram"), none.alias("text"), F.lit(None).cast("long").alias("id"), "file_id")
+    later = gram_index.postings(fresh).unionByName(dead).withColumn("seq", F.lit(1))
+    held = gram_index.alive(store.read("grams").unionByName(later)).filter(F.startswith("gram", F.lit(gram_index.ANYWHERE)))
+    return held.select(F.substring("gram", 2, 3).alias("gram"), "id")
 
 
 # ---- text functions
 
 
-@query("SELECT query_id, leaf, qualifier FROM qp")
+#: What users type for a symbol: its name, or its scope and name, with a separator that ends or begins the query in some.
+_TYPED = "CASE id % 5 WHEN 0 THEN name WHEN 1 THEN concat(parent, '::', name) WHEN 2 THEN concat(parent, '#', name) WHEN 3 THEN concat(name, '::') ELSE concat('#', name) END"
+
+
+@query(
+    "SELECT id, CASE WHEN parent IS NULL AND id % 5 IN (1, 2) THEN NULL WHEN id % 5 < 3 THEN name WHEN id % 5 = 3 THEN concat(name, '::') ELSE concat('#', name) END AS leaf,"
+    " CASE WHEN id % 5 IN (1, 2) THEN parent END AS qualifier FROM syms"
+)
 def qualified_parse(spark, d):
-    q = F.col("query")
-    return V.view(spark, d, V.QUERIES).select("query_id", X.query_leaf(q).alias("leaf"), X.query_qualifier(q).alias("qualifier"))
+    q = F.expr(_TYPED)
+    return _syms(spark, d).select("id", X.query_leaf(q).alias("leaf"), X.query_qualifier(q).alias("qualifier"))
 
 
 @query("SELECT id, array_to_string(list_filter(string_split_regex(lower(parent), '::|#'), lambda x: x <> ''), '|') AS parts FROM syms WHERE parent IS NOT NULL")
@@ -212,16 +252,24 @@ def normalize_remote(spark, d):
     return _table(spark, d, "pages").select("page_id", X.normalize_remote(F.col("url")).alias("identity"))
 
 
-@query("SELECT * FROM (VALUES ('f', 'function'), ('Interface', 'trait'), ('type', 'struct'), ('mod', 'module'), ('CLASS', 'class'), ('widget', 'widget')) AS v(token, kind)")
+_KINDS = "['f', 'Interface', 'type', 'mod', 'CLASS', 'widget', 'fn']", "['function', 'trait', 'struct', 'module', 'class', 'widget', 'function']"
+
+
+@query(f"SELECT event_id, ({_KINDS[0]})[CAST(event_id % 7 AS INT) + 1] AS token, ({_KINDS[1]})[CAST(event_id % 7 AS INT) + 1] AS kind FROM events")
 def kind_canonical(spark, d):
-    tokens = spark.createDataFrame([(t,) for t in ("f", "Interface", "type", "mod", "CLASS", "widget")], "token string")
-    return tokens.select("token", X.canonical_kind(F.col("token")).alias("kind"))
+    tokens = F.array(*(F.lit(t) for t in ("f", "Interface", "type", "mod", "CLASS", "widget", "fn")))
+    typed = _table(spark, d, "events").select("event_id", F.element_at(tokens, (F.col("event_id") % 7 + 1).cast("int")).alias("token"))
+    return typed.select("event_id", "token", X.canonical_kind(F.col("token")).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('r', 'ruby'), ('r', 'rust'), ('ts', 'typescript'), ('jsx', 'javascript'), ('COBOL', 'cobol'), ('py', 'python'), ('go', 'go')) AS v(token, language)")
+_LANGS = "[['ruby', 'rust'], ['typescript'], ['javascript'], ['cobol'], ['python'], ['go']]"
+
+
+@query(f"SELECT event_id, unnest(({_LANGS})[CAST(event_id % 6 AS INT) + 1]) AS language FROM events")
 def lang_expand(spark, d):
-    tokens = spark.createDataFrame([(t,) for t in ("r", "ts", "jsx", "COBOL", "py", "go")], "token string")
-    return tokens.select("token", F.explode(X.canonical_langs(F.col("token"))).alias("language"))
+    tokens = F.array(*(F.lit(t) for t in ("r", "ts", "jsx", "COBOL", "py", "go")))
+    typed = _table(spark, d, "events").select("event_id", F.element_at(tokens, (F.col("event_id") % 6 + 1).cast("int")).alias("token"))
+    return typed.select("event_id", F.explode(X.canonical_langs(F.col("token"))).alias("language"))
 
 
 @query("SELECT path, language FROM files")
@@ -262,8 +310,8 @@ ORACLES["path_priority"] = _CTE + (
     " CASE WHEN repository_id = current_repo_id THEN 200.0::DOUBLE END AS current_repo FROM recalled"
 )
 def score_static(spark, d):
-    symbols, asked = _syms(spark, d), _queries(spark, d)
-    both = SC.prepare_pairs(symbols, asked, recall.recall_many(symbols, asked))
+    symbols, asked = _stored(spark, d), _queries(spark, d)
+    both = SC.prepare_pairs(symbols, asked, recall.recall_many(_index(spark, d), asked))
     name, leaf = F.col("name"), F.col("leaf")
     columns = {
         "exact": SC.exact(name, leaf), "case_match": SC.case_match(name, leaf), "prefix": SC.prefix(name, leaf), "private": SC.private(F.col("visibility")),
@@ -366,10 +414,23 @@ def prune_events(spark, d):
     return learn.prune_events(V.view(spark, d, V.EVENTS), 400, 100).select("id")
 
 
-@query(_ATTRIBUTED + "SELECT count(*) AS taken, max(id) AS mark FROM (SELECT id FROM ev WHERE id > 10 AND type IN ('open', 'select') ORDER BY id LIMIT 50) t")
+@query(_ATTRIBUTED + "SELECT id, count(*) OVER () AS taken, max(id) OVER () AS mark FROM (SELECT id FROM ev WHERE id > 10 AND type IN ('open', 'select') ORDER BY id LIMIT 50) t")
 def event_batch(spark, d):
-    _, taken, mark = learn.next_batch(V.view(spark, d, V.EVENTS), 10, 50)
-    return spark.createDataFrame([(taken, mark)], "taken long, mark long")
+    batch, taken, mark = learn.next_batch(V.view(spark, d, V.EVENTS), 10, 50)
+    return batch.select("id", F.lit(taken).cast("long").alias("taken"), F.lit(mark).cast("long").alias("mark"))
+
+
+@query(_ATTRIBUTED + "SELECT * FROM stats")
+def event_fold(spark, d):
+    """All events in three appended batches, the second of which is sent twice, folded batch by batch: each event counts once."""
+    base = V.stored(spark, d)
+    store = CatalogStore(spark, V.scratch(spark, "events"))
+    fold = learn.EventLog(store, lambda repos: base.read("symbols", repos))
+    events = V.view(spark, d, V.EVENTS).withColumn("branch", F.lit("main"))
+    for number in (0, 1, 1, 2):
+        fold.append(events.filter(F.col("id") % 3 == number), source="feed", version=number)
+        fold.roll_up(size=None)
+    return fold.picks()
 
 
 # ---- maintenance
@@ -454,12 +515,13 @@ def drop_repository(spark, d):
 
 
 @query(
-    "SELECT *, (a AND b AND NOT (c AND d AND e)) AS finalize, CASE WHEN a AND b AND NOT (c AND d AND e) THEN 'complete' ELSE 'warming' END AS status FROM"
-    " (SELECT k % 2 = 1 AS a, k // 2 % 2 = 1 AS b, k // 4 % 2 = 1 AS c, k // 8 % 2 = 1 AS d, k // 16 % 2 = 1 AS e FROM range(32) t(k))"
+    "SELECT k AS event_id, a, b, c, d, e, (a AND b AND NOT (c AND d AND e)) AS finalize, CASE WHEN a AND b AND NOT (c AND d AND e) THEN 'complete' ELSE 'warming' END AS status FROM"
+    " (SELECT k, k % 2 = 1 AS a, k // 2 % 2 = 1 AS b, k // 4 % 2 = 1 AS c, k // 8 % 2 = 1 AS d, k // 16 % 2 = 1 AS e FROM (SELECT event_id AS k FROM events) t)"
 )
 def sweep_outcome(spark, d):
-    bits = spark.range(32).select(*((F.floor(F.col("id") / (1 << k)) % 2 == 1).alias(n) for k, n in enumerate("abcde")))
-    return bits.select("*", maintain.sweep_outcome(*(F.col(n) for n in "abcde")).alias("o")).select(*"abcde", "o.finalize", "o.status")
+    """All combinations, as the bits of an event's number."""
+    bits = _table(spark, d, "events").select("event_id", *((F.floor(F.col("event_id") / (1 << k)) % 2 == 1).alias(n) for k, n in enumerate("abcde")))
+    return bits.select("*", maintain.sweep_outcome(*(F.col(n) for n in "abcde")).alias("o")).select("event_id", *"abcde", "o.finalize", "o.status")
 
 
 def _coverage(spark, d):
@@ -520,8 +582,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 def _static_hits(spark, d):
     """Strong candidates with the features that need no matcher."""
-    symbols, asked = _syms(spark, d), _queries(spark, d).filter("NOT force_fuzzy")
-    both = SC.prepare_pairs(symbols, asked, recall.strong_pairs(symbols, asked))
+    symbols, asked = _stored(spark, d), _queries(spark, d).filter("NOT force_fuzzy")
+    both = SC.prepare_pairs(symbols, asked, recall.strong_pairs(_index(spark, d), asked))
     name, leaf = F.col("name"), F.col("leaf")
     values = {
         "exact": SC.exact(name, leaf), "prefix": SC.prefix(name, leaf), "case": SC.case_match(name, leaf), "private": SC.private(F.col("visibility")),
@@ -603,8 +665,7 @@ def hit_json(spark, d):
     " CASE WHEN hits > 0 THEN 0 WHEN query_id % 5 <> 0 AND query_id % 2 = 1 THEN 1 ELSE 2 END AS code FROM (SELECT q.query_id, count(r.id) AS hits FROM qs q LEFT JOIN recalled r USING (query_id) GROUP BY ALL) t"
 )
 def miss_status(spark, d):
-    symbols, asked = _syms(spark, d), _queries(spark, d)
-    found = recall.recall_many(symbols, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    found = recall.recall_many(_index(spark, d), _queries(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     rows = V.view(spark, d, V.QUERIES).join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("hits"))
     status = rank.miss_status(F.col("query_id") % 2 != 0, F.col("query_id") % 5 == 0)
     return rows.select("query_id", "hits", status.alias("status"), rank.exit_code(F.col("hits"), status).alias("code"))

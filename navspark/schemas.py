@@ -14,16 +14,21 @@ TABLES: dict[str, str] = {
     "repositories": "id long, identity string, default_branch string, created_at long, updated_at long",
     "checkouts": "id long, repository_id long, root_path string, current_branch string",
     "files": "id long, repository_id long, path string, language string, mtime long, git_ts long, content_hash string, indexed_at long",
-    "symbols": "id long, repository_id long, file_id long, name string, name_lower string, kind string, language string, line long, end_line long, parent string, visibility string",
+    "symbols": "id long, repository_id long, file_id long, name string, name_lower string, kind string, language string, line long, end_line long, parent string, visibility string, file string, mtime long, git_ts long",
+    "grams": "repository_id long, gram string, text string, id long, file_id long, seq long",
     "coverage": "id long, repository_id long, scope string, files_seen long, files_indexed long, status string, last_indexed_at long",
     "events": "id long, type string, query string, repository_id long, path string, line long, branch string, ts long",
     "selection_stats": "repository_id long, query_norm string, file string, name string, selections long, last_selected_at long",
-    "meta": "key string, value string",
 }
+#: What the rows of a table's folder are sorted by.
+SORTED_BY: dict[str, tuple[str, ...]] = {
+    "repositories": ("identity",), "checkouts": ("root_path",), "files": ("path",), "symbols": ("name_lower",), "grams": ("gram",), "coverage": ("scope",), "events": ("id",),
+    "selection_stats": ("query_norm",),
+}
 #: What an extractor gives for one file, and the row that recall and scoring work on.
 SYMBOL = "name string, kind string, language string, file string, line int, end_line int, parent string, visibility string"
 CANDIDATE = "id long, name string, name_lower string, kind string, language string, file string, line long, end_line long, parent string, repository_id long, mtime long, git_ts long, visibility string"
-SCHEMA_VERSION = 9
+SCHEMA_VERSION = 10
 
 KINDS = ("class", "module", "method", "function", "struct", "enum", "trait")
 VISIBILITIES = ("public", "crate", "private", "protected")

@@ -1,34 +1,32 @@
-"""The event rollup as a stream: the checkpoint takes the place of the high-water mark."""
+"""The event log fed by a stream, each event once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from navspark.operators.learn import KEY, pick_counts
+from navspark.operators.learn import EventLog
 from navspark.schemas import struct
 
 
 def rollup_stream(
-    spark: SparkSession, events_path: str, symbols: Callable[[], DataFrame], out_path: str, checkpoint: str, files_per_trigger: int = 1000
+    spark: SparkSession, events_path: str, log: EventLog, checkpoint: str, source: str = "stream", within: str | None = None, files_per_trigger: int = 1000
 ) -> StreamingQuery:
-    """Rolls up what is new in the append-only event folder and stops.
+    """Appends what is new in an append-only event folder to the log, rolls it up and stops.
 
-    Each micro-batch writes its counts under its own number, so a batch that is run again replaces what it
-    wrote; `rolled_up` sums them. Events are told apart by id within a batch.
+    A micro-batch that is run again has the number it had before, which the log knows. Events that are delivered again in a later file are told by
+    their id: a state store keeps the ids seen, all of them or, with ``within`` (such as "7 days"), those whose ts is not older than that
+    against the latest.
     """
     events = spark.readStream.schema(struct("events")).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
+    if within:
+        once = events.withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", within).dropDuplicatesWithinWatermark(["id"]).drop("_at")
+    else:
+        once = events.dropDuplicates(["id"])
 
-    def write(batch: DataFrame, number: int) -> None:
-        pick_counts(batch.dropDuplicates(["id"]), symbols()).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+    def fold(batch: DataFrame, number: int) -> None:
+        log.append(batch, source, number)
+        log.roll_up(None)
 
-def rolled_up(spark: SparkSession, out_path: str) -> DataFrame:
-    """The pick counts of all batches."""
-    counts = spark.read.schema(struct("selection_stats")).option("recursiveFileLookup", True).parquet(out_path)
-    return counts.groupBy(*KEY).agg(F.sum("selections").alias("selections"), F.max("last_selected_at").alias("last_selected_at"))
+    return once.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

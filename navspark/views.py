@@ -5,7 +5,14 @@ The tables hold no source code, so names, kinds, paths and so on are made from `
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from navspark.operators import gram_index
+from navspark.store import CatalogStore
 
 NOW = 1_700_000_000
 _CAMEL = "concat(upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2), upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2))"
@@ -66,3 +73,31 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A view as a DataFrame over the Parquet tables of ``sf_dir``."""
     names = {n: f"parquet.`{sf_dir}/{n}.parquet`" for n in ("part", "events")}
     return spark.sql(_fill(text, names))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir, which only a local session may leave unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
+        shared = f"file://{tempfile.gettempdir()}/navspark-scratch"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_stores: dict[tuple, CatalogStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> CatalogStore:
+    """The catalog over the tables of ``sf_dir`` as a store, with its gram index; built once in an application, anew if the tables change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/part.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength())
+    if key not in _stores:
+        store = CatalogStore(spark, scratch(spark, "catalog"))
+        files = view(spark, sf_dir, FILES)
+        ids = files.select("repository_id", F.col("path").alias("file"), F.col("id").alias("file_id"))
+        symbols = view(spark, sf_dir, SYMBOLS).join(ids, ["repository_id", "file"])
+        store.write({"repositories": view(spark, sf_dir, REPOSITORIES), "files": files, "symbols": symbols, "grams": gram_index.bulk(symbols)})
+        _stores[key] = store
+    return _stores[key]

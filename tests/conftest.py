@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", f"file://{shared}/scratch")
         .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from navspark import queries as Q
 from navspark import views as V
-from navspark.operators.learn import pick_counts
-from navspark.streaming.rollup import rolled_up, rollup_stream
+from navspark.operators.learn import EventLog, pick_counts
+from navspark.store import CatalogStore
+from navspark.streaming.rollup import rollup_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,13 +34,14 @@ def test_oracle(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    symbols = V.view(spark, SF, V.SYMBOLS)
+@pytest.mark.parametrize("within", [None, "3650 days"])
+def test_stream_equals_batch(spark, tmp_path, within):
+    symbols = V.stored(spark, SF)
     events = V.view(spark, SF, V.EVENTS).withColumn("branch", F.lit(None).cast("string"))
-    path = f"file://{tmp_path}/events"
-    for part in range(3):
+    path, log = f"file://{tmp_path}/events", EventLog(CatalogStore(spark, f"file://{tmp_path}/log"), lambda repos: symbols.read("symbols", repos))
+    for part in (0, 1, 1, 2):  # the second part is delivered twice
         events.filter(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
-        rollup_stream(spark, path, lambda: symbols, f"file://{tmp_path}/out", f"file://{tmp_path}/check", 1).awaitTermination()
+        rollup_stream(spark, path, log, f"file://{tmp_path}/check", within=within, files_per_trigger=1).awaitTermination()
     columns = ["repository_id", "query_norm", "file", "name", "selections", "last_selected_at"]
-    got = rolled_up(spark, f"file://{tmp_path}/out").select(columns).collect()
-    assert sorted(map(str, got)) == sorted(map(str, pick_counts(events, symbols).select(columns).collect()))
+    want = pick_counts(events, symbols.read("symbols")).select(columns).collect()
+    assert sorted(map(str, log.picks().select(columns).collect())) == sorted(map(str, want))

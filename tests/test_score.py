@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navspark.functions import textcols as X
-from navspark.operators import rank, recall
+from navspark.operators import gram_index, rank, recall
 from navspark.operators import score as SC
 
 ROW = "id long, name string, kind string, file string, line long, parent string, visibility string, repository_id long, mtime long, git_ts long"
@@ -80,14 +80,17 @@ def test_remotes(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(X.normalize_remote(F.col("u")).alias("n")).first().n == want
 
 
-@pytest.mark.parametrize("fitting", [False, True])
-def test_strong_matches_end_the_recall_of_a_query(spark, fitting):
+def test_strong_matches_end_the_recall_of_a_query(spark):
     names = [f"brook{k:02d}" for k in range(50)] + ["brim", "Lamp", "Headlamp"]
-    symbols = spark.createDataFrame([(k, n, n.lower(), "class", "q.rb") for k, n in enumerate(names)], "id long, name string, name_lower string, kind string, file string")
-    asked = recall.recall_queries(spark.createDataFrame(list(enumerate(("brim", "lamp", "lamp*", "x", "bk7"))), "query_id long, query string"))
-    got = {}
-    for r in recall.recall_many(symbols, asked, fitting).join(symbols, "id").collect():
-        got.setdefault(r.query_id, set()).add(r.name)
-    assert got[0] == {"brim"} and got[1] == {"Lamp"} and got[2] == {"Lamp", "Headlamp"} and 3 not in got
-    # with fitting, only names that hold the query's letters in order are joined at all
-    assert len(got[4]) == (5 if fitting else 51)
+    schema = "id long, name string, name_lower string, kind string, file string, repository_id long"
+    symbols = spark.createDataFrame([(k, n, n.lower(), "class", "q.rb", k % 2) for k, n in enumerate(names)], schema)
+    asked = spark.createDataFrame([(k, q, 1) for k, q in enumerate(("brim", "lamp", "lamp*", "x", "bk7"))], "query_id long, query string, current_repo_id long")
+    asked, index = recall.recall_queries(asked), gram_index.postings(symbols)
+    found = lambda rows: {k: {r.name for r in rows if r.query_id == k} for k in {r.query_id for r in rows}}
+    got = recall.recall_many(index, asked).join(symbols, "id")
+    every, fit = found(got.collect()), found(recall.fitting(got.join(asked, "query_id")).collect())
+    assert every[0] == {"brim"} and every[1] == {"Lamp"} and every[2] == {"Lamp", "Headlamp"} and 3 not in every
+    # only names that hold the query's letters in order can score
+    assert len(every[4]) == 51 and len(fit[4]) == 5
+    scoped = found(recall.recall_many(index, asked, scoped=True).join(symbols, "id").collect())
+    assert scoped[1] == set() | {"Lamp"} and len(scoped[0]) == 25  # brim is in the other repository and settles nothing here
