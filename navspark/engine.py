@@ -98,7 +98,7 @@ class NavEngine:
         stored, symbols = tx.read("files", [repo]), tx.read("symbols", [repo])
         seen = SRC.list_files(spark, root, under).cache()
         todo = maintain.to_parse(stored, seen)
-        pending = todo.count()
+        n_seen, pending = seen.count(), todo.count()
         budgeted = cap is not None
         if budgeted and pending > cap:
             todo = maintain.prioritized(todo, F.lit(query)).limit(cap)
@@ -106,9 +106,8 @@ class NavEngine:
         parsed = text.drop("text")
         files, symbols = maintain.replace_files(stored, symbols, parsed, SRC.extract_symbols(text), now)
         complete = not (budgeted and pending > cap)
-        had_stored, seen_empty = stored.limit(1).count() > 0, seen.isEmpty()
-        outcome = maintain.sweep_outcome(F.lit(complete), F.lit(not under), F.lit(seen_empty), F.lit(had_stored), F.lit(budgeted))
-        o = spark.range(1).select(outcome.alias("o")).first().o
+        flags = (complete, not under, n_seen == 0, not stored.isEmpty(), budgeted)
+        o = spark.range(1).select(maintain.sweep_outcome(*map(F.lit, flags)).alias("o")).first().o
         if o.finalize:
             files, symbols = maintain.forget_files(files, symbols, maintain.reconcile(files, seen))
         head, mark = SRC.git_head(root), f"git_ts_head:{identity}"
@@ -118,7 +117,7 @@ class NavEngine:
         if head and o.finalize:
             tx.meta[f"head:{identity}"] = head
         files, symbols = self._put(tx, repo, files, symbols)
-        n_files, n_seen = files.count(), seen.count()
+        n_files = files.count()
         status = spark.range(1).select(maintain.settle_status(F.lit(o.status), F.lit(n_files)).alias("s")).first().s
         covered = spark.createDataFrame([(repo, repo, "full", n_seen, n_files, status, now)], struct("coverage"))
         tx.replace("coverage", [tx.stage("coverage", covered)], repo)
