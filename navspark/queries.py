@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from navspark.functions import textcols as X
 from navspark.functions.matcher import match_column, positions_column
 from navspark.operators import gram_index, learn, maintain, rank, recall
 from navspark.operators import score as SC
+from navspark.sources import files as files_source
+from navspark.sources.ignore import is_ignored, rules_of
 from navspark.store import CatalogStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,6 +303,69 @@ ORACLES["path_priority"] = _CTE + (
 )
 
 
+# ---- sources
+
+
+def _extraction(language: str) -> None:
+    """Registers a language's extractor over one file for each part."""
+
+    def extracted(spark, d):
+        return files_source.extract_symbols(V.view(spark, d, V.sources(language))).select("path", "name", "kind", "language", "line", "end_line", "parent", "visibility")
+
+    QUERIES[f"extract_{language}"] = extracted
+    ORACLES[f"extract_{language}"] = " UNION ALL ".join(
+        f"SELECT CAST(p_partkey AS STRING) AS path, {V.filled(n)} AS name, '{k}' AS kind, '{language}' AS language, {a} AS line, {b} AS end_line, {V.filled('%C') if inside else 'NULL'} AS parent, '{v}' AS visibility FROM part"
+        for n, k, a, b, inside, v in V.DEFINED[language]
+    )
+
+
+for _language in S.LANGUAGES:
+    _extraction(_language)
+
+#: Paths of the tree that `source_tree` writes, by a document's number: names that look like patterns, blanks, names that Spark's own readers hide, and what an ignore file names.
+_ODD = "['[id]', '{a,b}', 'a b', '__init__', '*', 'é?']", "['tsx', 'rb', 'py', 'py', 'go', 'rs']"
+_TREE_PATH = "concat(CASE WHEN doc_id % 11 = 0 THEN 'build/' WHEN doc_id % 13 = 0 THEN '.hidden/' ELSE concat('pages ', CAST(doc_id % 7 AS STRING), '/[lang]/') END, {0}, CAST(doc_id AS STRING), '.', {1})"
+
+
+@query(
+    "SELECT " + _TREE_PATH.format(*(f"({x})[CAST(doc_id % 6 AS INT) + 1]" for x in _ODD)) + " AS path, md5(coalesce(text, '')) AS content_hash,"
+    " (['typescript', 'ruby', 'python', 'python', 'go', 'rust'])[CAST(doc_id % 6 AS INT) + 1] AS language FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0"
+)
+def source_tree(spark, d):
+    """Documents written as source files, then listed and read by literal names. Every 17th is no UTF-8."""
+    pick = lambda values: f"element_at(array({values[1:-1]}), CAST(doc_id % 6 AS INT) + 1)"
+    root = V.scratch(spark, "tree").removeprefix("file://")
+    rows = _table(spark, d, "documents").select(F.expr(_TREE_PATH.format(*map(pick, _ODD))).alias("path"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 17 == 0).alias("broken"))
+
+    def write(batches):
+        for batch in batches:
+            for path, text, broken in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "broken")), strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as f:
+                    f.write((b"\xff" if broken else b"") + text.encode())
+            yield batch.select(["broken"])
+
+    rows.mapInArrow(write, "broken boolean").write.format("noop").mode("overwrite").save()
+    with open(f"{root}/.gitignore", "w") as f:
+        f.write("build/\n")
+    return files_source.read_files(spark, root, files_source.list_files(spark, root, use_git=False), 1).select("path", "content_hash", "language")
+
+
+_RULES = "# comment\n*.py\n!src/small/**/red_*.py\n/src/standard*/\nsrc/**/hot_gear.*\n!blue_*\nsrc/promo/\n!src/promo/red_bolt.rb\n[g-h]*_ring.rs\n"
+
+
+@query(
+    """SELECT path, CASE WHEN starts_with(path, 'src/standard') OR starts_with(path, 'src/promo/') THEN true
+  WHEN regexp_matches(base, '^[gh].*_ring\.rs$') THEN true WHEN starts_with(base, 'blue_') THEN false
+  WHEN starts_with(path, 'src/') AND starts_with(base, 'hot_gear.') THEN true
+  WHEN starts_with(path, 'src/small/') AND starts_with(base, 'red_') AND ends_with(base, '.py') THEN false
+  ELSE ends_with(base, '.py') END AS ignored FROM (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM files) f"""
+)
+def ignored_paths(spark, d):
+    """A file in a folder that is ignored stays so, whatever later rules say of it."""
+    return _files(spark, d).select("path", is_ignored(F.col("path"), rules_of(_RULES)).alias("ignored"))
+
+
 # ---- scoring
 
 

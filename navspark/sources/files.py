@@ -1,24 +1,28 @@
 """Sources: which files there are, what they hold, and what git knows about them.
 
-Listing and git are driver work and give small tables of paths; reading, filtering and extraction are Spark jobs.
+Listing, reading, filtering and extraction are Spark jobs; what git says about commits and branches is asked on the driver.
 """
 
 from __future__ import annotations
 
-import fnmatch
+import json
 import os
 import subprocess
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.functions.textcols import EXTENSIONS, ascii_lower, content_hash, language_of, shares_gram
+from navspark.functions.textcols import content_hash, language_of, shares_gram
 from navspark.sources.extract import extract
+from navspark.sources.tree import NAME, SourceTree, file_mtime
 
 TRUNKS = ("main", "master", "trunk")
 LISTED = "path string, ordinal long, mtime long"
+#: Bytes of texts that are sent on at once.
+BATCH_BYTES = 4 << 20
 PARSED_SYMBOL = "repository_id long, path string, name string, kind string, language string, line long, end_line long, parent string, visibility string"
 
 
@@ -31,87 +35,45 @@ def git(root: str, *args: str) -> str | None:
     return done.stdout.decode("utf-8", "surrogateescape") if done.returncode == 0 else None
 
 
-def wanted(path: str) -> bool:
-    return path.rpartition(".")[2] in EXTENSIONS and "." in os.path.basename(path)
-
-
-def tracked_files(root: str) -> list[str] | None:
-    """Source files that git tracks, relative to the root; None outside a repository."""
-    listed = git(root, "ls-files", "-z", "--cached")
-    return None if listed is None else [p for p in dict.fromkeys(listed.split("\0")) if p and wanted(p)]
-
-
-def _ignored(rules: list[tuple[str, str, bool]], path: str, is_dir: bool) -> bool:
-    """Whether ignore rules (folder, pattern, only folders) fit a path; a later ! rule takes it back."""
-    out = False
-    for base, pattern, dirs in rules:
-        negated, pattern = pattern.startswith("!"), pattern.removeprefix("!")
-        if (dirs and not is_dir) or not path.startswith(base):
-            continue
-        rest = path[len(base) :]
-        if "/" in pattern.strip("/") or pattern.startswith("/"):
-            fits = fnmatch.fnmatch(rest, pattern.lstrip("/"))
-        else:
-            fits = fnmatch.fnmatch(os.path.basename(rest), pattern)
-        out = (not negated) if fits else out
-    return out
-
-
-def walked_files(root: str, under: list[str] = ()) -> list[str]:
-    """Source files below the root (or the given parts of it), without hidden ones and those that .gitignore files name."""
-    out: list[str] = []
-
-    def visit(folder: str, rules: list) -> None:
-        here = os.path.join(root, folder)
-        try:
-            entries = sorted(os.scandir(here), key=lambda e: e.name)
-        except OSError:
-            return
-        ignore = os.path.join(here, ".gitignore")
-        if os.path.isfile(ignore):
-            lines = [x.strip() for x in Path(ignore).read_text(errors="replace").splitlines()]
-            rules = rules + [(f"{folder}/" if folder else "", x.rstrip("/"), x.endswith("/")) for x in lines if x and not x.startswith("#")]
-        for e in entries:
-            path = f"{folder}/{e.name}" if folder else e.name
-            if e.name.startswith(".") or _ignored(rules, path, e.is_dir(follow_symlinks=False)):
-                continue
-            if e.is_dir(follow_symlinks=False):
-                visit(path, rules)
-            elif e.is_file() and wanted(path):
-                out.append(path)
-
-    for start in under or [""]:
-        visit(os.path.relpath(start, root) if os.path.isabs(start) else start, [])
-    return list(dict.fromkeys(out))
-
-
-def file_mtime(path: str) -> int | None:
-    """Nanoseconds since 1970, None if the file is gone."""
-    try:
-        return os.stat(path).st_mtime_ns
-    except OSError:
-        return None
-
-
 def list_files(spark: SparkSession, root: str, under: list[str] = (), use_git: bool = True) -> DataFrame:
-    """(path, ordinal, mtime): the source files of a checkout, as git tracks them or else as they lie there."""
-    paths = (None if under or not use_git else tracked_files(root)) or walked_files(root, list(under))
-    rows = [(p, n, m) for n, p in enumerate(paths) if (m := file_mtime(os.path.join(root, p))) is not None]
-    return spark.createDataFrame(rows, LISTED)
+    """(path, ordinal, mtime): the source files of a checkout, as git tracks them or, outside a work tree or for parts of it, as they lie there."""
+    spark.dataSource.register(SourceTree)
+    by_git = use_git and not under and git(root, "rev-parse", "--is-inside-work-tree") is not None
+    options = {"root": os.path.abspath(root), "under": json.dumps(list(under)), "git": str(by_git).lower(), "parts": str(spark.sparkContext.defaultParallelism)}
+    listed = spark.read.format(NAME).options(**options).load()
+    return listed.select("path", F.col("path").alias("ordinal"), "mtime")
 
 
 def read_files(spark: SparkSession, root: str, listed: DataFrame, repository_id: int, needle: str | None = None) -> DataFrame:
-    """(repository_id, path, language, mtime, content_hash, text) of listed files; those that aren't UTF-8 or lack the needle go."""
-    base = f"file:{os.path.abspath(root)}/"
-    names = [f"{base}{r.path}" for r in listed.select("path").collect()]  # the listing came from the driver
-    if not names:
-        return spark.createDataFrame([], "repository_id long, path string, language string, mtime long, content_hash string, text string")
-    raw = spark.read.format("binaryFile").load(names).select(F.substring_index(F.col("path"), base, -1).alias("path"), "content")
-    text = F.when(F.is_valid_utf8(F.decode("content", "ISO-8859-1")), F.try_validate_utf8(F.col("content").cast("string")))
-    out = raw.select("path", text.alias("text")).filter("text IS NOT NULL").join(listed.select("path", "mtime"), "path")
-    if needle:
-        out = out.filter(F.contains(ascii_lower(F.col("text")), ascii_lower(F.lit(needle))))
-    return out.select(F.lit(repository_id).cast("long").alias("repository_id"), "path", language_of(F.col("path")).alias("language"), "mtime", content_hash(F.col("text")).alias("content_hash"), "text")
+    """(repository_id, path, language, mtime, content_hash, text) of listed files, opened where they are read, by their literal names; those that
+    are gone, aren't UTF-8 or lack the needle, in any case of A-Z, go."""
+    base, sought = os.path.abspath(root), (needle or "").encode().lower()
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for path, mtime in zip(batch.column("path").to_pylist(), batch.column("mtime").to_pylist(), strict=True):
+                try:
+                    with open(os.path.join(base, path), "rb") as f:
+                        raw = f.read()
+                    text = raw.decode()
+                except (OSError, UnicodeDecodeError):
+                    continue
+                if sought in raw.lower():
+                    held.append((path, mtime, text))
+                    size += len(raw)
+                if size > BATCH_BYTES:
+                    yield _batch(held)
+                    held, size = [], 0
+            yield _batch(held)
+
+    found = listed.select("path", "mtime").mapInArrow(run, "path string, mtime long, text string")
+    return found.select(F.lit(repository_id).cast("long").alias("repository_id"), "path", language_of(F.col("path")).alias("language"), "mtime", content_hash(F.col("text")).alias("content_hash"), "text")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "mtime", "text"])
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:

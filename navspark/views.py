@@ -58,6 +58,36 @@ SELECT e.event_id + 1 AS id, CASE e.event_type WHEN 'click' THEN 'select' WHEN '
 FROM (SELECT *, 1 + event_id % (SELECT count(*) FROM {{part}}) AS about FROM {{events}}) e JOIN ({{symbols}}) s ON e.about = s.id
 """
 
+_C, _M = f"concat({_CAMEL}, CAST(p_partkey AS STRING))", "replace(p_name, ' ', '_')"
+#: For each language a small file with a type and a function or two; %C is the type's name, %M the function's, %N a line's end.
+TEMPLATES = {
+    "ruby": "class %C%N  def %M%N    1%N  end%N%N  private%N%N  def %M_x%N  end%Nend%N",
+    "python": "class %C:%N    def %M(self):%N        return 1%N%N%Ndef _%M():%N    pass%N",
+    "go": "package p%N%Ntype %C struct {%N N int%N}%N%Nfunc (c *%C) Do%C() int {%N return 1%N}%N%Nfunc %M() {}%N",
+    "rust": "pub struct %C {%N    n: u8,%N}%N%Nimpl %C {%N    pub fn %M(&self) -> u8 {%N        1%N    }%N}%N",
+    "typescript": "export interface %C {%N  n: number;%N}%N%Nexport function %M(): number {%N  return 1;%N}%N",
+    "javascript": "class %C {%N  %M() {%N    return 1;%N  }%N}%N%Nfunction %M_x() {}%N",
+}
+#: What is defined in them: name, kind, line, end_line, whether the type is its parent, visibility.
+DEFINED = {
+    "ruby": [("%C", "class", 1, 10, False, "public"), ("%M", "method", 2, 4, True, "public"), ("%M_x", "method", 8, 9, True, "private")],
+    "python": [("%C", "class", 1, 3, False, "public"), ("%M", "method", 2, 3, True, "public"), ("_%M", "function", 6, 7, False, "private")],
+    "go": [("%C", "struct", 3, 5, False, "public"), ("Do%C", "method", 7, 9, True, "public"), ("%M", "function", 11, 11, False, "private")],
+    "rust": [("%C", "struct", 1, 3, False, "public"), ("%M", "method", 6, 8, True, "public")],
+    "typescript": [("%C", "trait", 1, 3, False, "public"), ("%M", "function", 5, 7, False, "public")],
+    "javascript": [("%C", "class", 1, 5, False, "private"), ("%M", "method", 2, 4, True, "public"), ("%M_x", "function", 7, 7, False, "private")],
+}
+
+
+def filled(template: str) -> str:
+    """SQL for a template with a part's names in it."""
+    return f"replace(replace(replace('{template}', '%C', {_C}), '%M', {_M}), '%N', chr(10))"
+
+
+def sources(language: str) -> str:
+    """One source file of a language for each part: repository_id, path, language, text."""
+    return f"SELECT CAST(1 AS BIGINT) AS repository_id, CAST(p_partkey AS STRING) AS path, '{language}' AS language, {filled(TEMPLATES[language])} AS text FROM {{part}}"
+
 
 def sql_of(view: str) -> str:
     """A view's SQL over the plain table names, for DuckDB."""
