@@ -134,9 +134,10 @@ def outline(symbols: DataFrame, repository_id: int, path: str, path_column: str
     return symbols.filter((F.col("repository_id") == repository_id) & (F.col(path_column) == path)).orderBy("line", "name")
 
 
-def prioritized(paths: DataFrame, query: Column) -> DataFrame:
-    """Paths (path, ordinal) with those whose stem shares a gram with the query first, otherwise in the order given."""
-    return paths.withColumn("first", shares_gram(F.col("path"), query)).orderBy(F.col("first").desc(), "ordinal")
+def prioritized(paths: DataFrame, query: Column, active: list[str] = ()) -> DataFrame:
+    """Paths (path, ordinal), the active ones first, then those whose stem shares a gram with the query, otherwise in the order given."""
+    ranked = paths.withColumn("first", shares_gram(F.col("path"), query))
+    return ranked.orderBy(*([F.col("path").isin(list(active)).desc()] if active else []), F.col("first").desc(), "ordinal")
 
 
 def content_prefilter(text: Column, needle: Column) -> Column:
