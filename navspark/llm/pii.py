@@ -15,10 +15,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navspark.llm.common import materialize
+from navspark.llm.common import fresh, materialize
 
 #: In this order within a start. The first four have fixed patterns.
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
@@ -62,27 +62,55 @@ CUES = {
 COUNTER_CUES = "order invoice isbn version serial ticket article page section build commit checksum sha md5 hash revision"
 #: A run that looks random: letters and digits, as keys and digests have.
 RANDOM = r"(?<![A-Za-z0-9_/+.=:\"-])(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{24,}+(?![A-Za-z0-9_/+-])"
+#: Lengths that are summed up in one array.
+RUN = 128
 SPAN = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>"
 
 
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once: inside a lambda an expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of the lengths before each place. Runs of `RUN` are summed by themselves and then moved on, as an array that grows is copied each time."""
+    empty = F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at:int,out:array<int>>")
+    add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def summed(x):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int"))
+        return F.transform(numbers, lambda k: F.aggregate(F.slice(x, k * RUN + 1, F.lit(RUN)), empty, add))
+
+    def moved(runs):
+        before = F.aggregate(F.transform(runs, lambda r: r["at"]), empty, add)["out"]
+        return F.flatten(F.zip_with(runs, before, lambda r, at: F.transform(r["out"], lambda x: x + at)))
+
+    whole = _once(lengths, lambda x: F.when(F.size(x) > 0, _once(summed(x), moved)))
+    return F.coalesce(whole, F.array().cast("array<int>"))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """All leftmost non-overlapping matches as `SPAN`, in order, those that ``keep`` holds for.
 
     The gaps and the matches of one pattern alternate, so their lengths give the places, and gaps their surroundings.
     """
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    empty = F.from_json(F.lit('{"at":0,"out":[]}'), f"struct<at:int,out:array<{SPAN}>>")
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("values"))
+
+    def paired(f):
+        n = F.size(f["values"])
+        pairs = F.zip_with(F.slice(f["gaps"], F.lit(1), n), f["values"], lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+        return F.zip_with(pairs, F.slice(f["gaps"], F.lit(2), n), lambda p, g: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), g.alias("after")))
 
-    def step(state, pair):
-        start = state["at"] + F.length(pair["gap"])
+    def place(pair, at):
+        start = at + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         before, after = F.right(pair["gap"], F.lit(CONTEXT_CHARS)), F.left(pair["after"], F.lit(CONTEXT_CHARS))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"), before.alias("before"), after.alias("after"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"), before.alias("before"), after.alias("after"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), F.size(values)), lambda p, g: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), g.alias("after")))
-    return F.filter(F.aggregate(pairs, empty, step)["out"], lambda s: keep(s["value"]))
+    def placed(pairs):
+        return F.zip_with(pairs, _starts(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"]))), place)
+
+    return F.filter(_once(_once(found, paired), placed), lambda s: keep(s["value"]))
 
 
 def _none() -> Column:
@@ -296,7 +324,7 @@ def train(patterns: list[Pattern], steps: int = 400) -> SpanModel:
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id column, found): the candidates of each text with votes, written to scratch space, without the text."""
+    """(id column, found, and a number of the row, last): the candidates of each text with votes, written to scratch space, without the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     staged = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     lists = [F.when(test, spans).otherwise(_none()).alias(f"c{n}") for n, (test, spans) in enumerate(_candidates(F.col("text")))]
@@ -305,7 +333,8 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbers = ",".join(f"{n}:int" for n in (*LABELERS, *FEATURES))
     none = F.array().cast(f"array<struct<start:int,kind:int,end:int,base:boolean,{numbers}>>")
     found = F.concat(*(F.coalesce(j, none) for j in judged))
-    return materialize(staged.select(F.col("id").alias(id_col), found.alias("found")), "pii")
+    number = fresh(docs.select(id_col), "row")[0]
+    return materialize(staged.select(F.col("id").alias(id_col), found.alias("found"), F.monotonically_increasing_id().alias(number)), "pii")
 
 
 def count_patterns(candidates: DataFrame) -> list[Pattern]:
@@ -327,16 +356,38 @@ def find_pii(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc
     """
     candidates = find_candidates(docs, id_col, text_col)
     model = model or train(count_patterns(candidates))
+    row = candidates.columns[-1]
     limit = math.log(ADD_FROM / (1 - ADD_FROM))
-    base = F.filter("found", lambda s: s["base"])
-    likely = F.filter("found", lambda s: ~s["base"] & (model.logit(s) >= limit))
-    staged = candidates.select(id_col, base.alias("base"), likely.alias("likely"))
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    # of overlapping spans that the classifier adds, the one that begins first and then ends last
-    wider = lambda a, b: (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["end"] > b["end"]))
-    free = F.filter("likely", lambda s: ~F.exists("base", lambda b: overlap(b, s)) & ~F.exists("likely", lambda o: overlap(o, s) & wider(o, s)))
     shape = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"))
-    return staged.select(id_col, F.array_sort(F.array_distinct(F.transform(F.concat("base", free), shape))).alias("spans"))
+    base = F.transform(F.filter("found", lambda s: s["base"]), shape)
+    likely = F.transform(F.filter("found", lambda s: ~s["base"] & (model.logit(s) >= limit)), shape)
+    staged = candidates.select(F.col(id_col).alias("id"), F.col(row).alias("row"), base.alias("base"), likely.alias("likely"))
+    added = free_spans(staged.filter(F.size("likely") > 0).select("row", F.explode(F.concat("base", "likely")).alias("s")))
+    every = F.concat("base", F.coalesce("added", F.array().cast(staged.schema["base"].dataType)))
+    return staged.drop("likely").join(added, "row", "left").select(F.col("id").alias(id_col), F.array_sort(every).alias("spans"))
+
+
+def free_spans(spans: DataFrame) -> DataFrame:
+    """(row, added) from (row, s): the spans that are no base span, overlap none, and overlap none that begins before them or with them and ends after them.
+
+    A sweep over each row's places in order of beginning, then of end, the widest first: what was passed reaches as far as its largest end.
+    """
+    places = spans.groupBy("row", F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(
+        F.max("s.base").alias("is_base"), F.array_sort(F.collect_set(F.when(~F.col("s.base"), F.col("s.kind")))).alias("kinds")
+    )
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"))
+    passed, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    of_base = F.col("is_base")
+    swept = places.withColumns(
+        {
+            "reach": F.max(F.when(of_base | (F.size("kinds") > 0), F.col("end"))).over(passed),
+            "next": F.min(F.when(of_base, F.col("start"))).over(ahead),
+        }
+    )
+    clear = ~of_base & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    kinds = swept.filter(clear).select("row", "start", "end", F.explode("kinds").alias("kind"))
+    span = F.struct("start", "kind", "end", F.lit(False).alias("base"))
+    return kinds.groupBy("row").agg(F.collect_list(span).alias("added"))  # of one text
 
 
 def span_string(spans: Column) -> Column:
