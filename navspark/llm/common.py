@@ -97,12 +97,14 @@ def bit_filter(keys: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def maybe_in(df: DataFrame, columns: list[str], bits: DataFrame, name: str) -> DataFrame:
-    """Adds a boolean: false where the key is certainly not among those of the `bit_filter`, whose size allows a broadcast."""
+    """Adds a boolean: false where the key is certainly not among those of the `bit_filter`, whose size allows a broadcast. Other columns may have any names."""
     bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
     place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    number, table = fresh(df, "_number", "_bits")
+    byte = F.conv(F.hex(F.substring(table, (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     held = F.coalesce(F.bit_get(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return df.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("_number"), "left").withColumn(name, held).drop("_number", "_bits")
+    named = bits.select(F.col("_number").alias(number), F.col("_bits").alias(table))
+    return df.join(F.broadcast(named), F.bitmap_bucket_number(bit) == F.col(number), "left").withColumn(name, held).drop(number, table)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -210,13 +210,14 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, row: Column,
     spark = docs.sparkSession
     changed = affected(placed)
     shard, slot = fresh(docs, "shard", "slot")
-    docs = docs.select("*", row.alias("_row")).withColumnsRenamed({c: {"shard": shard, "slot": slot}[c.lower()] for c in docs.columns if c.lower() in ("shard", "slot")})
-    into = placed.filter(F.col("shard").isin(sorted(changed))).select(F.col("row").alias("_row"), "shard", "slot")
-    moved = docs.join(into, "_row").drop("_row").withColumn("_file", F.floor(F.col("slot") / file_rows))
+    key, file = fresh(docs, "_row", "_file")
+    docs = docs.select("*", row.alias(key)).withColumnsRenamed({c: {"shard": shard, "slot": slot}[c.lower()] for c in docs.columns if c.lower() in ("shard", "slot")})
+    into = placed.filter(F.col("shard").isin(sorted(changed))).select(F.col("row").alias(key), "shard", "slot")
+    moved = docs.join(into, key).drop(key).withColumn(file, F.floor(F.col("slot") / file_rows))
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        dealt = moved.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
+        dealt = moved.repartition("shard", file).sortWithinPartitions("shard", "slot").drop(file)
         dealt.write.partitionBy("shard").mode("overwrite").parquet(path, compression=codec)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
