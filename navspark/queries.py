@@ -356,7 +356,7 @@ _RULES = "# comment\n*.py\n!src/small/**/red_*.py\n/src/standard*/\nsrc/**/hot_g
 
 @query(
     """SELECT path, CASE WHEN starts_with(path, 'src/standard') OR starts_with(path, 'src/promo/') THEN true
-  WHEN regexp_matches(base, '^[gh].*_ring\.rs$') THEN true WHEN starts_with(base, 'blue_') THEN false
+  WHEN regexp_matches(base, '^[gh].*_ring[.]rs$') THEN true WHEN starts_with(base, 'blue_') THEN false
   WHEN starts_with(path, 'src/') AND starts_with(base, 'hot_gear.') THEN true
   WHEN starts_with(path, 'src/small/') AND starts_with(base, 'red_') AND ends_with(base, '.py') THEN false
   ELSE ends_with(base, '.py') END AS ignored FROM (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM files) f"""
