@@ -16,6 +16,7 @@ from navspark.functions.textcols import body_span, identity_of, signature
 from navspark.operators import gram_index, learn, maintain, rank, recall
 from navspark.operators import score as SC
 from navspark.operators.learn import EventLog
+from navspark.operators.prune import prune
 from navspark.plans.freshness import BranchFiles, worktree_changed
 from navspark.plans.query import QuerySpec, parse_wait
 from navspark.plans.query import budget as default_budget
@@ -242,14 +243,15 @@ class NavEngine:
         """Hits with the identity of their repository."""
         return hits.join(self.store.read("repositories").select(F.col("id").alias("repository_id"), F.col("identity").alias("repo")), "repository_id")
 
-    def _rank(self, symbols: DataFrame, pairs: DataFrame, asked: DataFrame, k: int, boosted: bool = True) -> DataFrame:
-        rows = recall.fitting(SC.prepare_pairs(symbols, asked, pairs))
+    def _rank(self, symbols: DataFrame, pairs: DataFrame, asked: DataFrame, k: int, boosted: bool = True, pruned: bool = False) -> DataFrame:
+        rows = bare = recall.fitting(SC.prepare_pairs(symbols, asked, pairs)).withColumn("now", F.lit(self.now()))
         if boosted:
             boosts = SC.learned_boosts(self.events.picks(), asked, F.lit(self.now())).withColumnRenamed("learned", "learned_value")
             rows = rows.join(boosts, ["query_id", "repository_id", "file", "name"], "left")
         else:
             rows = rows.withColumn("learned_value", F.lit(None).cast("double"))
-        return SC.list_features(rank.top_k(SC.score_values(rows.withColumn("now", F.lit(self.now()))), k))
+        rows = prune(rows, k, bare) if pruned else rows
+        return SC.list_features(rank.top_k(SC.score_values(rows), k))
 
     def _sources(self, repositories: list[int] | None) -> tuple[DataFrame, DataFrame]:
         """Symbols and gram postings as they are stored."""
@@ -270,11 +272,20 @@ class NavEngine:
         return symbols, index.join(of_file, "file_id", "left_anti").unionByName(fresh.select(index.columns))
 
     def search_many(
-        self, queries: DataFrame, limit: int = 10, all_repos: bool = True, spec: QuerySpec | None = None, repositories: list[int] | None = None, sources: tuple[DataFrame, DataFrame] | None = None
+        self,
+        queries: DataFrame,
+        limit: int = 10,
+        all_repos: bool = True,
+        spec: QuerySpec | None = None,
+        repositories: list[int] | None = None,
+        sources: tuple[DataFrame, DataFrame] | None = None,
+        pruned: bool = False,
     ) -> DataFrame:
         """Hits of a whole table of queries (query_id, query and, if wanted, current_repo_id and changed_files).
 
-        With ``repositories`` only their folders of the index and of the symbols are read; without all_repos each query sees its current_repo_id only."""
+        With ``repositories`` only their folders of the index and of the symbols are read; without all_repos each query sees its current_repo_id only.
+        With ``pruned`` a first pass over the candidates finds a score that each query's best hits reach, and what cannot reach it is not matched:
+        the same hits, for large batches on large catalogs."""
         asked = queries
         if "current_repo_id" not in asked.columns:
             asked = asked.withColumn("current_repo_id", F.lit(None).cast("long"))
@@ -283,7 +294,7 @@ class NavEngine:
         asked, (symbols, index) = recall.recall_queries(asked), sources or self._sources(repositories)
         if spec:  # one query: its grams are a filter on the sorted postings
             index = index.filter(F.col("gram").isin(recall.grams_of(asked)))
-        hits = self._rank(symbols, recall.recall_many(index, asked, scoped=not all_repos), asked, spec.ranked if spec else limit)
+        hits = self._rank(symbols, recall.recall_many(index, asked, scoped=not all_repos), asked, spec.ranked if spec else limit, pruned=pruned)
         return self._finish(self._named(hits), spec, limit)
 
     def _finish(self, hits: DataFrame, spec: QuerySpec | None, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from navspark.functions import textcols as X
 from navspark.functions.matcher import match_column, positions_column
 from navspark.operators import gram_index, learn, maintain, rank, recall
 from navspark.operators import score as SC
+from navspark.operators.prune import prune
 from navspark.sources import files as files_source
 from navspark.sources.ignore import is_ignored, rules_of
 from navspark.store import CatalogStore
@@ -111,13 +112,14 @@ def _now():
     return F.lit(V.NOW)
 
 
-def _scored(spark, d):
+def _scored(spark, d, best: int | None = None):
     """The whole search: recall, boosts, score. Without files changed on a branch."""
     symbols, asked = _stored(spark, d), _queries(spark, d)
     boosts = SC.learned_boosts(_stats(spark, d), V.view(spark, d, V.QUERIES), _now()).withColumnRenamed("learned", "learned_value")
     asked = asked.withColumn("changed_files", F.array(F.lit("src/small/hot_gear.rb")))
-    pairs = recall.fitting(SC.prepare_pairs(symbols, asked, recall.recall_many(_index(spark, d), asked))).join(boosts, ["query_id", "repository_id", "file", "name"], "left")
-    return SC.score_values(pairs.withColumn("now", _now()))
+    bare = recall.fitting(SC.prepare_pairs(symbols, asked, recall.recall_many(_index(spark, d), asked))).withColumn("now", _now())
+    pairs = bare.join(boosts, ["query_id", "repository_id", "file", "name"], "left")
+    return SC.score_values(pairs if best is None else prune(pairs, best, bare))
 
 
 def _stats(spark, d):
@@ -762,7 +764,17 @@ _PLACE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, strlen(n
 @query()
 def search_many(spark, d):
     """The flagship: a batch of queries through recall, score, top 10, gates and confidence."""
-    hits = rank.attach_confidence(rank.scope_gate(rank.relevance_gate(SC.list_features(rank.top_k(_scored(spark, d), 10)))))
+    return _answers(_scored(spark, d))
+
+
+@query()
+def search_pruned(spark, d):
+    """The same answers, with candidates that cannot be among the ten best dropped before the matcher."""
+    return _answers(_scored(spark, d, 10))
+
+
+def _answers(scored):
+    hits = rank.attach_confidence(rank.scope_gate(rank.relevance_gate(SC.list_features(rank.top_k(scored, 10)))))
     features = F.array_join(F.transform("features", lambda s: s["name"]), ",").alias("features")
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "name", "kind", "file", "line", F.round("score", 6).alias("score"), "confidence", features)
 
@@ -784,6 +796,8 @@ SELECT query_id, rank, name, kind, file, line, round(score, 6) AS score,
 FROM rivals""",
 )
 
+ORACLES["search_pruned"] = ORACLES["search_many"]
+
 
 @query()
 def live_search(spark, d):
