@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.functions.textcols import body_span, identity_of, signature
-from navspark.operators import gram_index, learn, maintain, rank, recall
+from navspark.operators import gram_index, learn, maintain, rank, recall, render
 from navspark.operators import score as SC
 from navspark.operators.learn import EventLog
 from navspark.operators.prune import prune
@@ -22,7 +22,7 @@ from navspark.plans.query import QuerySpec, parse_wait
 from navspark.plans.query import budget as default_budget
 from navspark.schemas import EVENT_TYPES, SHOW_FROM, TABLES, struct
 from navspark.sources import files as SRC
-from navspark.store import PARTITIONED, CatalogStore
+from navspark.store import PARTITIONED, CatalogStore, default_path
 
 log = logging.getLogger("navspark")
 #: Events rolled up at once and kept after that.
@@ -41,6 +41,11 @@ class NavEngine:
         self.branch = BranchFiles(self.store, clock)
         self.profile: dict[str, float] = {}
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str | None = None, **kwargs) -> NavEngine:
+        """The engine over a store at a path, or where `store.default_path` says."""
+        return cls(spark, path or default_path(spark), **kwargs)
+
     def now(self) -> int:
         return int(self.clock())
 
@@ -369,6 +374,15 @@ class NavEngine:
         joined = joined.withColumn("body", body_span(F.col("text"), F.col("line"), F.col("end_line"))) if body else joined
         return joined.drop("text")
 
+    def text(self, hits: DataFrame, target: str, root: str | None = None, color: str | None = None, explain: bool = False) -> DataFrame:
+        """Hits with a column text: what a reader sees, best first. With a root it shows the lines of the definitions, with a color (such as 1;32) what matched."""
+        return render.add_text(self.with_source(hits, root) if root else hits, F.lit(target), color, explain).orderBy("query_id", "rank")
+
+    def write(self, hits: DataFrame, path: str, queries: DataFrame | None = None) -> None:
+        """Hits as files of JSON, one row a line; of a table of queries each row begins with its query."""
+        tagged = hits if queries is None else hits.join(queries.select("query_id", "query"), "query_id")
+        render.write_rows(tagged, path, [*([] if queries is None else ["query"]), *HIT[1:]])
+
     def show(self, target: str, root: str) -> DataFrame:
         """The body of the best hit if it is certain enough, else the list of hits; files that have changed are parsed again first."""
         hits = self.search(target, root, fresh=True)

@@ -24,6 +24,14 @@ def budget(name: str) -> float:
         return BUDGETS[name] / 1000
 
 
+def jobs(session: str | None, parallelism: int) -> int:
+    """In how many parts a tree is listed and parsed: the session's spark.navspark.jobs, else NAVSPARK_JOBS, else what the cluster runs at once; what is no positive number is passed over."""
+    for text in (session, os.environ.get("NAVSPARK_JOBS")):
+        if text and text.strip().isdecimal() and int(text) > 0:
+            return int(text)
+    return max(parallelism, 1)
+
+
 def canonical_kind(token: str) -> str:
     low = token.strip().lower()
     return KIND_ALIASES.get(low, low)

@@ -12,7 +12,7 @@ from navspark import schemas as S
 from navspark import views as V
 from navspark.functions import textcols as X
 from navspark.functions.matcher import match_column, positions_column
-from navspark.operators import gram_index, learn, maintain, rank, recall
+from navspark.operators import gram_index, learn, maintain, rank, recall, render
 from navspark.operators import score as SC
 from navspark.operators.prune import prune
 from navspark.sources import files as files_source
@@ -434,6 +434,26 @@ _recursive(
     " SELECT id, array_to_string(p, ',') AS places FROM shown WHERE len(p) > 0",
 )
 
+#: A text with its places marked, told letter by letter.
+_MARKED = "array_to_string(list_transform(range(length({t})), lambda i: concat(CASE WHEN list_contains({p}, i) AND NOT list_contains({p}, i - 1) THEN chr(27) || '[1m' ELSE '' END, substr({t}, i + 1, 1), CASE WHEN list_contains({p}, i) AND NOT list_contains({p}, i + 1) THEN chr(27) || '[0m' ELSE '' END)), '')"
+
+
+@query()
+def hit_marked(spark, d):
+    """The text of every symbol with the places of a query in its name and file name marked."""
+    return render.add_text(_syms(spark, d), F.lit("RedWidget"), "1").select("id", "text")
+
+
+_recursive(
+    "hit_marked",
+    _MATCH.replace("{source}", _ONE_LEAF.format("RedWidget"))
+    + ", shown AS (SELECT a.t, list_filter(a.places, lambda x: list_contains(a.places, x - 1) OR list_contains(a.places, x + 1) OR list_contains(h.begins, x)) AS p"
+    " FROM aligned a JOIN (SELECT t, list(i) FILTER (b = 1) AS begins FROM ch GROUP BY t) h ON h.t = a.t),"
+    " placed AS (SELECT s.*, coalesce(n.p, []) AS np, list_transform(coalesce(f.p, []), lambda x: x + length(s.file) - length(regexp_extract(s.file, '[^/]*$'))) AS fp"
+    " FROM syms s JOIN stems st ON st.id = s.id LEFT JOIN shown n ON n.t = s.name LEFT JOIN shown f ON f.t = st.stem)"
+    f" SELECT id, concat({_MARKED.format(t='file', p='fp')}, ':', line, '  ', kind, ' ', {_MARKED.format(t='name', p='np')}, CASE WHEN parent IS NULL THEN '' ELSE concat(' · ', parent) END) AS text FROM placed",
+)
+
 
 # ---- events
 
@@ -728,6 +748,29 @@ def hit_json(spark, d):
     return _static_hits(spark, d).select("query_id", rank.hit_json(["name", "kind", "language", "file", "line", "end_line", "parent", "visibility", "features"]).alias("json"))
 
 
+@query(
+    _STATIC + f"""SELECT f.query_id, f.id, concat('confidence ', printf('%.2f', c.confidence), ' · score ', f.score::BIGINT, ' = ', array_to_string(list_filter([
+    CASE WHEN is_exact THEN 'exact 1000' ELSE concat('prefix ', 700 - least(length(name) - length(leaf), 100)) END, CASE WHEN name = leaf AND lower(leaf) <> leaf THEN 'case 150' END,
+    CASE WHEN visibility IN ('private', 'protected') THEN 'private -15' END, CASE WHEN kind IN ('class', 'struct', 'trait') THEN 'kind 15' WHEN kind IN ('module', 'enum') THEN 'kind 12' END,
+    CASE WHEN repository_id = current_repo_id THEN 'current_repo 200' END], lambda x: x IS NOT NULL), ' + ')) AS text FROM feats f JOIN ({_CONFIDENCE}) c USING (query_id, id)"""
+)
+def hit_explain(spark, d):
+    order = {n: k for k, n in enumerate(("exact", "prefix", "case", "private", "kind", "current_repo"))}
+    place = lambda s: F.create_map(*(F.lit(x) for pair in order.items() for x in pair))[s["name"]]
+    listed = F.array_sort("features", lambda a, b: place(a) - place(b))
+    return rank.attach_confidence(_static_hits(spark, d)).withColumn("features", listed).select("query_id", "id", render.explanation().alias("text"))
+
+
+@query(
+    _STATIC + """SELECT query_id, count(*) AS hits, concat('[', string_agg(concat(' {', chr(10), '  "name" : "', name, '",', chr(10), '  "file" : "', file, '",', chr(10), '  "line" : ', line,
+    CASE WHEN parent IS NULL THEN '' ELSE concat(',', chr(10), '  "parent" : "', parent, '"') END, chr(10), '}'), ',' ORDER BY rank), ' ]') AS json FROM ranked WHERE rank <= 10 GROUP BY query_id"""
+)
+def hit_page(spark, d):
+    """Each query's page as one array of JSON."""
+    page = rank.top_k(_static_hits(spark, d), 10)
+    return render.page_json(page, ["name", "file", "line", "parent"]).join(page.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")), "query_id")
+
+
 @query(
     "SELECT query_id, hits, CASE WHEN query_id % 5 = 0 THEN 'interrupted' WHEN query_id % 2 = 0 THEN 'warming' ELSE 'no_match' END AS status,"
     " CASE WHEN hits > 0 THEN 0 WHEN query_id % 5 <> 0 AND query_id % 2 = 1 THEN 1 ELSE 2 END AS code FROM (SELECT q.query_id, count(r.id) AS hits FROM qs q LEFT JOIN recalled r USING (query_id) GROUP BY ALL) t"

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navspark.functions.textcols import content_hash, language_of, shares_gram
+from navspark.plans.query import jobs
 from navspark.sources.extract import extract
 from navspark.sources.tree import NAME, SourceTree, file_mtime
 
@@ -39,7 +40,7 @@ def list_files(spark: SparkSession, root: str, under: list[str] = (), use_git: b
     """(path, ordinal, mtime): the source files of a checkout, as git tracks them or, outside a work tree or for parts of it, as they lie there."""
     spark.dataSource.register(SourceTree)
     by_git = use_git and not under and git(root, "rev-parse", "--is-inside-work-tree") is not None
-    options = {"root": os.path.abspath(root), "under": json.dumps(list(under)), "git": str(by_git).lower(), "parts": str(spark.sparkContext.defaultParallelism)}
+    options = {"root": os.path.abspath(root), "under": json.dumps(list(under)), "git": str(by_git).lower(), "parts": str(jobs(spark.conf.get("spark.navspark.jobs", None), spark.sparkContext.defaultParallelism))}
     listed = spark.read.format(NAME).options(**options).load()
     return listed.select("path", F.col("path").alias("ordinal"), "mtime")
 

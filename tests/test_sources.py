@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from navspark.engine import NavEngine
+from navspark.plans.query import jobs
 from navspark.sources.files import list_files, read_files
 from navspark.sources.ignore import fits_last, is_ignored, rule_of, rules_of
 from navspark.sources.tree import Share, TreeReader, tracked
@@ -108,3 +109,17 @@ def test_rules_of_nested_folders(spark, tree):
         f.write("!*\n/deep\n")
     assert "deep/a/b/c/d/e.py" not in listed(spark, tree) and "pages/[id].tsx" in listed(spark, tree)
     assert rule_of("x/y", "a.b").pattern.startswith("^a\\.b/") and rule_of("#") is None
+
+
+def test_in_how_many_parts_a_tree_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("NAVSPARK_JOBS", raising=False)
+    assert [jobs(t, 6) for t in (None, "", "0", "-2", "many", "3")] == [6, 6, 6, 6, 6, 3] and jobs(None, 0) == 1
+    monkeypatch.setenv("NAVSPARK_JOBS", "5")
+    assert jobs(None, 6) == 5 and jobs("2", 6) == 2
+    for k in range(6):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}/a.py").write_text("x = 1\n")
+    spark.conf.set("spark.navspark.jobs", "3")
+    listed = list_files(spark, str(tmp_path))
+    assert listed.rdd.getNumPartitions() == 3 and sorted(r.path for r in listed.collect()) == [f"d{k}/a.py" for k in range(6)]
+    spark.conf.unset("spark.navspark.jobs")
