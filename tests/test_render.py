@@ -98,3 +98,6 @@ def test_text_and_files_of_a_search(spark, tmp_path):
     assert first[1] == "    class \x1b[1mLampPost\x1b[0m" and first[2].startswith("    confidence 1.00 · score ")
     engine.write(found, f"file://{tmp_path}/hits")
     assert json.loads(spark.read.text(f"file://{tmp_path}/hits").first().value)["name"] == "LampPost"
+    asked = spark.createDataFrame([(1, "lamppost"), (2, "lght")], "query_id long, query string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(engine.search_many(asked, pruned=True)) == rows(engine.search_many(asked)) != []
