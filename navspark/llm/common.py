@@ -10,6 +10,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as character class and as the set for trim functions.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -22,6 +23,8 @@ LARGEST_ID = (1 << 63) - 1
 FILTER_BITS = 1 << 25
 
 _owned: list[list[str]] = []
+#: Scratch paths that a table of the catalog stands for.
+_tables: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +71,27 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return read.select(df.columns) if by else read
 
 
+def write_bucketed(df: DataFrame, name: str, by: list[str], buckets: int) -> str:
+    """Writes scratch data bucketed and sorted by its keys; gives the path. `read_bucketed` reads it so that a join on the keys moves no row of it."""
+    path = scratch(df.sparkSession, name)
+    _tables[path] = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(_tables[path])
+    return path
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.table(_tables[path])
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Forgets the table of a path of `write_bucketed`, whose files stay."""
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path through Hadoop's file system, whatever store it is in."""
+    drop_table(spark, path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -121,6 +143,13 @@ def binary_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    """A TypeError for ids that are no integers; number such documents first."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids have to be integers; {id_col} is {kind.simpleString()}")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that clash with none of the DataFrame's own, whatever their case."""
     taken = {c.lower() for c in df.columns}

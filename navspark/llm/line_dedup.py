@@ -1,24 +1,39 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
-An index of line keys seen so far is kept as sorted runs, in levels. A batch of documents is joined
-to all runs, the keys that no run holds (the anti side of that join) become a new run of level 0,
-and a level that holds ``fanout`` runs is merged into one run of the next. Only built-in Spark functions are used.
+An index of line keys seen so far is kept as sorted runs, in levels. Runs are bucketed by key, all into the same number of
+buckets. The keys of a batch are merge-joined to one run after the other, for which no row of a run is moved; those that no
+run holds (the anti side of these joins) become a new run of level 0, and a level that holds ``fanout`` runs is merged into one
+run of the next, bucket by bucket. Only built-in Spark functions are used.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navspark.llm.common import LARGEST_ID, SPACE_CHARS, ascii_lower, drop_path, fresh, hash128, scratch
+from navspark.llm.common import (
+    LARGEST_ID,
+    SPACE_CHARS,
+    ascii_lower,
+    drop_path,
+    drop_table,
+    fresh,
+    hash128,
+    integer_ids,
+    read_bucketed,
+    scratch,
+    write_bucketed,
+)
 
 MIN_CHARS = 10
 #: Batches, of ascending ids, that one call cuts its input into; runs of a level before they are merged.
 BATCHES = 4
 FANOUT = 3
-RUN_SCHEMA = "k1 long, k2 long, first long"
+KEY = ["k1", "k2"]
+PROBE_SCHEMA = "k1 long, k2 long, low long, high long, first long"
 
 
 def line_key(line: Column) -> Column:
@@ -28,41 +43,67 @@ def line_key(line: Column) -> Column:
 
 @dataclass
 class LineRuns:
-    """The runs of an index: (k1, k2) is the 128-bit hash of a line key, ``first`` the smallest id that holds it."""
+    """The runs of an index: (k1, k2) is the 128-bit hash of a line key, ``first`` the smallest id that holds it. A key is in one run only.
+
+    There are as many buckets as the session has shuffle partitions when the index is made, so that a batch's keys
+    come out of their own grouping where the runs' buckets are.
+    """
 
     spark: SparkSession
     fanout: int = FANOUT
     levels: list[list[str]] = field(default_factory=list)
     compactions: int = 0
+    buckets: int = 0
 
-    def read(self) -> DataFrame | None:
-        """All runs as one table; a key is in one run only."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else None
+    def __post_init__(self):
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(self) -> list[DataFrame]:
+        return [read_bucketed(self.spark, path) for level in self.levels for path in level]
 
-    def _write(self, keys: DataFrame) -> str:
-        path = scratch(self.spark, "line-run")
-        keys.select("k1", "k2", "first").sortWithinPartitions("k1", "k2").write.parquet(path)
-        return path
+    def read(self) -> DataFrame | None:
+        """All runs as one table."""
+        every = self.runs()
+        return reduce(DataFrame.unionByName, every) if every else None
+
+    def probe(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (k1, k2 and others) with ``first`` of the run that holds them, null if none does."""
+        every = self.runs()
+        for number, run in enumerate(every):
+            keys = keys.join(run.withColumnRenamed("first", f"first{number}").hint("merge"), KEY, "left")
+        names = [f"first{n}" for n in range(len(every))]
+        return keys.withColumn("first", F.coalesce(*names, F.lit(None).cast("long"))).drop(*names)
 
     def add(self, keys: DataFrame) -> None:
-        """Adds new keys as a sorted run of level 0 and merges full levels upwards."""
+        """Adds new keys as a sorted run of level 0 and merges full levels upwards. Bucketed keys stay where they are."""
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(keys))
+        self.levels[0].append(write_bucketed(keys.select(*KEY, "first"), "line-run", KEY, self.buckets))
         at = 0
         while at < len(self.levels) and len(self.levels[at]) >= self.fanout:
             full = self.levels[at]
-            merged = self.spark.read.schema(RUN_SCHEMA).parquet(*full).repartition("k1", "k2")
+            merged = reduce(_merge, (read_bucketed(self.spark, path) for path in full))
             if at + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[at + 1].append(self._write(merged))
+            self.levels[at + 1].append(write_bucketed(merged, "line-run", KEY, self.buckets))
             self.levels[at] = []
             self.compactions += 1
             for path in full:
                 drop_path(self.spark, path)
             at += 1
 
+    def drop(self) -> None:
+        """Deletes all runs."""
+        for path in (p for level in self.levels for p in level):
+            drop_path(self.spark, path)
+        self.levels = []
+
+
+def _merge(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs as one: a merge join of buckets, both sorted, that moves no row of either."""
+    both = one.hint("merge").join(other.withColumnRenamed("first", "second"), KEY, "full")
+    return both.select(*KEY, F.coalesce("first", "second").alias("first"))
+
 
 def _bounds(docs: DataFrame, id_col: str, batches: int) -> list[int]:
     """Ids at which the batches end; reads the id column alone."""
@@ -91,15 +132,11 @@ def repeated_lines(docs: DataFrame, runs: LineRuns, id_col: str, text_col: str,
     for number in range(len(bounds) + 1):
         part = lines.filter(F.col("batch") == number)
         keys = part.groupBy("k1", "k2").agg(F.min("did").alias("low"), F.max("did").alias("high"))
-        held = runs.read()
-        if held is None:
-            probed = keys.withColumn("first", F.lit(None).cast("long"))
-        else:
-            probed = keys.join(held, ["k1", "k2"], "left")
-        path = scratch(spark, "line-probe")
-        probed.write.parquet(path)
-        probed = spark.read.schema("k1 long, k2 long, low long, high long, first long").parquet(path)
-        runs.add(probed.filter("first IS NULL").select("k1", "k2", F.col("low").alias("first")))
+        path = write_bucketed(runs.probe(keys), "line-probe", KEY, runs.buckets)
+        runs.add(read_bucketed(spark, path).filter("first IS NULL").select(*KEY, F.col("low").alias("first")))
+        drop_table(spark, path)
+        # read without its buckets, so that the hottest line's rows below can be split over several tasks
+        probed = spark.read.schema(PROBE_SCHEMA).parquet(path)
         keep = F.least("low", "first")
         repeats = probed.filter(F.col("high") > keep).select("k1", "k2", keep.alias("keep"))
         drops.append(part.join(repeats, ["k1", "k2"]).filter("did > keep").select("did", "hash", "pos"))
@@ -131,13 +168,16 @@ def dedup_lines(
     document stays only in the document with the smallest id, there as often as it occurs. With ``runs``
     of earlier calls, their documents count as coming first: pass batches in ascending order of id.
 
-    Defined cases: a null text is one empty line and comes back as empty; a null id is larger than every
+    Defined cases: ids are integers, a TypeError tells of others; a null text is one empty line and comes back as empty; a null id is larger than every
     other; rows that repeat an id are the same document, so they don't take lines from each other; an
     empty table gives no rows; columns of other names pass through, and n_lines or n_dropped of the
     input get a leading underscore in front of the new ones.
     """
-    runs = runs or LineRuns(docs.sparkSession)
-    drops = repeated_lines(docs, runs, id_col, text_col, min_chars, batches)
+    integer_ids(docs, id_col)
+    index = runs or LineRuns(docs.sparkSession)
+    drops = repeated_lines(docs, index, id_col, text_col, min_chars, batches)
+    if runs is None:
+        index.drop()  # what is read later are the batches' lines and probes
     did, row_hash, drop, all_lines = fresh(docs, "did_", "hash_", "drop_", "lines_")
     n_lines, n_dropped = fresh(docs, "n_lines", "n_dropped")
     drops = drops.select(F.col("_did").alias(did), F.col("_hash").alias(row_hash), F.col("drop").alias(drop))

@@ -24,15 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from navspark.llm import perfect_hash
-from navspark.llm.common import LARGEST_ID, materialize, release, small_batches
+from navspark.llm.common import LARGEST_ID, integer_ids, materialize, release, small_batches
 from navspark.llm.tokens import encoder
 
 #: Documents of a shard at least, where that keeps all cores busy, and at most; documents and bytes of ids from which a block is full.
 SHARD_DOCS, LARGE_SHARD_DOCS = 8192, 65536
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 21
+#: Characters of a text that tell which shard it goes to among those of equal ids; ranges are found from a sample of these, not of whole texts.
+HEAD_CHARS = 32
 #: Keys that one row of a lookup asks a block for; more are dealt to several rows.
 ASKED_KEYS = 65536
 SECTIONS = ("head", "keys", "places", "disp", "slots", "ids")
@@ -69,8 +70,7 @@ def write_shard(tokenizer_path: str, end_id: int):
             flat, sizes = enc.encode_column(batch.column("text"))
             raw, ends = memoryview(flat).cast("B"), (np.cumsum(sizes) * width).tolist()
             for key, none, size, last in zip(batch.column("key").to_pylist(), batch.column("missing").to_pylist(), sizes.tolist(), ends, strict=True):
-                full = len(keys) >= BLOCK_DOCS or len(held) >= BLOCK_BYTES
-                if full and key != keys[-1]:  # rows that repeat an id share a block
+                if len(keys) >= BLOCK_DOCS or len(held) >= BLOCK_BYTES:  # rows that repeat an id may go on in the next block
                     yield make_block(shard, block, keys, counts, bytes(held), width, missing)
                     keys, counts, held, missing, block = [], [], bytearray(), 0, block + 1
                 keys.append(key)
@@ -85,19 +85,12 @@ def write_shard(tokenizer_path: str, end_id: int):
     return run
 
 
-def integer_ids(docs: DataFrame, id_col: str) -> None:
-    """Keys are 64-bit integers; for others number the documents first."""
-    kind = docs.schema[id_col].dataType
-    if not isinstance(kind, T.IntegralType):
-        raise TypeError(f"the token store's keys are integers; {id_col} is {kind.simpleString()}")
-
-
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_docs: int | None = None) -> None:
     """Encodes whole texts, appends ``end_id`` to each and writes the store at ``path``, in ascending order of id.
 
     Ids are integers; a TypeError tells of others. Ranges of ids are dealt to shards of ``shard_docs`` documents or, unless that is given, of
     `SHARD_DOCS` to `LARGE_SHARD_DOCS`. Null texts count as empty; a null id comes after all others; rows that repeat an id
-    are all stored, in order of their text; an empty table gives an empty store; other columns are ignored.
+    are all stored, in order of their text, over as many blocks and shards as they need (only equal texts of equal ids are one task's); an empty table gives an empty store; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     integer_ids(docs, id_col)
@@ -107,7 +100,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     count = docs.count()
     busy = min(-(-count // SHARD_DOCS), 4 * docs.sparkSession.sparkContext.defaultParallelism)
     shards = -(-count // shard_docs) if shard_docs else max(busy, -(-count // LARGE_SHARD_DOCS))
-    dealt = slim.repartitionByRange(max(1, shards), "key").sortWithinPartitions("key", "missing", "text")
+    dealt = slim.repartitionByRange(max(1, shards), "key", "missing", F.substring("text", 1, HEAD_CHARS)).sortWithinPartitions("key", "missing", "text")
     dealt.mapInArrow(write_shard(tokenizer_path, end_id), STORE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
@@ -214,11 +207,14 @@ def _routed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _route(store: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key, missing, shard, block): the block that each key has to be in if it is there at all.
+    """(key, missing, shard, block): the blocks that each key has to be in if it is there at all.
 
-    Blocks and keys are sorted together by ranges; a range is told the last block before it by a table of one row per range.
+    A key that a block begins or ends with may be in several blocks and is joined to all of these; others are in one block only. Blocks and keys are sorted together by ranges; a range is told the last block before it by a table of one row per range.
     """
     blocks = store.select(F.col("first").alias("at"), F.lit(False).alias("asked"), F.lit(False).alias("missing"), "last", "shard", "block")
+    ends = store.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("key"), "shard", "block")
+    several = asked.join(ends, "key")
+    asked = asked.join(ends, "key", "left_anti")
     keys = asked.select(F.col("key").alias("at"), F.lit(True).alias("asked"), "missing", *(F.lit(None).cast(t).alias(c) for c, t in (("last", "long"), ("shard", "int"), ("block", "int"))))
     sorted_ = blocks.unionByName(keys).repartitionByRange("at").sortWithinPartitions("at", "asked")
     routed = materialize(sorted_.mapInArrow(_carry_blocks, _ROUTED), "lookup-route")
@@ -227,7 +223,7 @@ def _route(store: DataFrame, asked: DataFrame) -> DataFrame:
     before = routed.filter("asked IS NULL").select("part", last.alias("before"))
     place = F.when(F.col("block").isNotNull(), F.struct("last", "shard", "block")).otherwise(F.col("before"))
     found = routed.filter("asked").join(F.broadcast(before), "part").select("key", "missing", place.alias("p"))
-    return found.filter("key <= p.last").select("key", "missing", "p.shard", "p.block")
+    return found.filter("key <= p.last").select("key", "missing", "p.shard", "p.block").unionByName(several.select("key", "missing", "shard", "block"))
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:

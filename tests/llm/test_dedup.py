@@ -6,10 +6,11 @@ import re
 
 import pytest
 from brute import near_duplicates as brute_near
+from pyspark.sql import functions as F
 
 from navspark.llm.components import components
 from navspark.llm.exact_dedup import exact_dedup
-from navspark.llm.line_dedup import LineRuns, dedup_lines
+from navspark.llm.line_dedup import LineRuns, _merge, dedup_lines
 from navspark.llm.near_dedup import drop_near_duplicates, near_duplicates
 from navspark.llm.shingle_dedup import drop_similar
 from navspark.llm.url_filter import filter_urls, parse_rule
@@ -80,6 +81,21 @@ def test_line_runs_carry_over_and_compact(spark):
     assert runs.compactions >= 3 and runs.read().count() == 6 and [len(x) for x in runs.levels] == [1, 0, 1]
 
 
+def test_line_runs_stay_where_they_are(spark):
+    runs = LineRuns(spark, fanout=3)
+    for n in range(2):
+        dedup_lines(spark.createDataFrame([(n, f"line number {n} alone\nthe line they share")], "doc_id long, text string"), runs, batches=1).count()
+    assert len(runs.runs()) == 2
+    keys = spark.range(50).select(F.xxhash64("id").alias("k1"), F.xxhash64(F.lit(7), "id").alias("k2"), "id").groupBy("k1", "k2").agg(F.min("id").alias("low"))
+    plan = runs.probe(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2  # the one is the keys' own grouping
+    merged = _merge(*runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merged and "SortMergeJoin" in merged
+    runs.drop()
+    with pytest.raises(TypeError):
+        dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def near_rows():
     random.seed(11)
     word = lambda: random.choice("abcdefghij") + random.choice("klmnop") + str(random.randint(0, 60))

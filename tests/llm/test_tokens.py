@@ -108,6 +108,20 @@ def test_lookup_finds_ids_and_nothing_else(spark):
     assert got == sorted((k, ids) for (k, _), ids in zip(texts, direct(BYTE, [t for _, t in texts]), strict=True))
 
 
+def test_one_key_over_many_blocks_and_shards(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 5 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 4000).alias("text"))
+    rows = rows.unionByName(spark.range(3000).select(F.lit(35).alias("doc_id"), F.concat(F.lit("more "), F.col("id")).alias("text")))
+    path = scratch(spark, "t")
+    write_store(rows, path, BYTE, 2, shard_docs=20_000)
+    blocks = spark.read.schema(STORE_SCHEMA).parquet(path).select("shard", "block", "first", "last").collect()
+    hot = [b for b in blocks if b.first == b.last == (1 << 63) - 1]
+    assert len(hot) > 60 and len({b.shard for b in hot}) > 2 and max(b.block for b in blocks) < 40
+    read = read_store(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("start").alias("starts")).filter("n > 1").collect()
+    assert sorted((r.doc_id or -1, r.n, r.starts) for r in read) == [(-1, 80_000, 80_000), (35, 3001, 3001)]
+    found = lookup(spark, path, spark.createDataFrame([(35,), (40,), (41,), (None,)], "doc_id long")).groupBy("doc_id").count().collect()
+    assert sorted((r.doc_id or -1, r["count"]) for r in found) == [(-1, 80_000), (35, 3001), (40, 1)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     path = scratch(spark, "t")
