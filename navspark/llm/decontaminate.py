@@ -31,20 +31,33 @@ MIN_WORDS, MIN_LITERAL = 13, 0.5
 LEAST_BITS, MOST_BITS = 20, 27
 #: Bytes of text that are cut into words at once.
 SLICE_BYTES = 400_000
-#: Rows that the items to check of one text are dealt to.
-SHARES = 16
+#: Items that one text is checked against at once; more are dealt to several rows.
+SHARE_ITEMS = 64
 
-#: Words that name units of measurement or money, and words for numbers.
+#: Words that name units of measurement or money, and words for numbers, in English, German, French and Spanish. Articles that
+#: are numbers as well (ein, un, una) are left out.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
     "mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons cup cups "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
-    "kmh mph celsius fahrenheit degrees degree percent % dollar dollars cent cents euro euros usd eur gbp".split()
+    "kmh mph celsius fahrenheit degrees degree percent % dollar dollars cent cents euro euros usd eur gbp "
+    "gramm kilogramm pfund tonne tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad prozent "
+    "mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes seconde secondes heure heures jour jours semaine semaines mois ans année années degré degrés "
+    "metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados".split()
 )
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice "
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+    "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante mille "
+    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+    "veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve "
+    "treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos mil millones".split()
 )
+#: Numbers of several words: with hyphens (twenty-one, vingt-et-un), and German ones in one word (zweiundzwanzig, dreihundert).
+_ONE = f"(?:{'|'.join(sorted(NUMBER_WORDS))})"
+_SEVERAL = f"^(?:{_ONE}(?:-(?:et-)?(?:un|{_ONE}))+|(?:ein|{_ONE})(?:hundert|tausend|und{_ONE})+)$"
 _NUMBER = r"[$€£+-]?\d[\d.,:/]*"
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”‘’«»…–—¿¡"
 NUM, UNIT, NAME = 1, 2, 3
@@ -87,7 +100,7 @@ def canonical(raw: pa.Array) -> Canon:
     """Names are told by their place: see `templates`."""
     bare = pc.utf8_trim(raw, characters=_MARKS)
     lower = pc.utf8_lower(bare)
-    number = _flags(pc.match_substring_regex(lower, f"^{_NUMBER}(?:st|nd|rd|th|%)?$")) | _flags(pc.is_in(lower, _NUMBERS))
+    number = _flags(pc.match_substring_regex(lower, f"^{_NUMBER}(?:st|nd|rd|th|%)?$")) | _flags(pc.is_in(lower, _NUMBERS)) | _flags(pc.match_substring_regex(lower, _SEVERAL))
     unit = _flags(pc.is_in(lower, _UNITS)) & ~number
     measure = np.flatnonzero(_flags(pc.match_substring_regex(lower, f"^{_NUMBER}[a-z%]+$")) & ~number & ~unit)
     number[measure[_flags(pc.is_in(pc.replace_substring_regex(lower.take(pa.array(measure)), f"^{_NUMBER}", ""), _UNITS))]] = True
@@ -167,7 +180,7 @@ def _of_form(code: np.ndarray, word: np.ndarray, inside: np.ndarray, least: int)
 def windows(t: Template, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, places) of all windows: of WINDOW words in each form, and of the sizes ``short`` of values.
 
-    Placeholder windows with fewer than two literal words are left out: a match with changed slots is literal in half of its words at
+    Placeholder windows with fewer than two words that are no slots are left out: a match with changed slots has half of its words unchanged at
     least, so it has another window; one without changed slots has windows of values, of which only those of mere marks go.
     """
     found = []
@@ -325,7 +338,8 @@ def match_item(text: Template, item: Template, diagonals: list[int]) -> tuple[in
         values, asked = text.values(begin + at), item.values(begin - diagonal + at)
         kinds = np.where(item_kind > 0, item_kind, kind)[at].tolist()
         slots = [(k, a, v) if k else None for k, a, v in zip(kinds, asked, values, strict=True)]
-        literal = (equal & ((item.kind[there] == 0) | (text.kind[here] == 0)))[at].tolist()
+        # a name that is the same in both tells as much as a word; in German every noun looks like one
+        literal = (equal & ((item_kind == 0) | (item_kind == NAME)))[at].tolist()
         good = _longest(slots, literal, whole)
         if good and (best is None or good[0] > best[1]):
             best = whole, good[0], begin + int(at[good[1]]), good[2]
@@ -368,10 +382,10 @@ def _find(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     texts = materialize(hits.drop("id").dropDuplicates(["k1", "k2"]), "window-texts")
     at = texts.select("k1", "k2", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("k1", "k2", F.col("w.hashes").alias("hash"), F.col("w.places").alias("at"))
     pairs = at.join(table, "hash").groupBy("k1", "k2", "number").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
-    asked = pairs.join(items.select("number", F.col("text").alias("item_text")), "number")
-    asked = asked.groupBy("k1", "k2", F.pmod(F.xxhash64("number"), F.lit(SHARES)).alias("share")).agg(
-        F.collect_list(F.struct("number", F.col("item_text").alias("text"), "diagonals")).alias("asked")
-    )
+    pairs = materialize(pairs, "window-pairs")
+    shares = pairs.groupBy("k1", "k2").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE_ITEMS)).cast("int").alias("shares"))
+    asked = pairs.join(shares, ["k1", "k2"]).withColumn("share", F.pmod(F.xxhash64("number"), F.col("shares"))).join(items.select("number", F.col("text").alias("item_text")), "number")
+    asked = asked.groupBy("k1", "k2", "share").agg(F.collect_list(F.struct("number", F.col("item_text").alias("text"), "diagonals")).alias("asked"))
     found = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(_check, _FOUND)
     return hits.select("id", "k1", "k2"), materialize(found, "contaminated"), items.select("number", "item")
 

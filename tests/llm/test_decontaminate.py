@@ -3,8 +3,9 @@
 import random
 
 import pyarrow as pa
+import pytest
 
-from navspark.llm.decontaminate import match_item, templates
+from navspark.llm.decontaminate import contaminated, match_item, templates
 
 FILLER = "quick brown stories about distant harbours and lazy rivers under some pale moon "
 
@@ -46,6 +47,31 @@ def test_runs_of_one_diagonal_are_added_up():
     assert match(" ".join(words), " ".join([*words[:9], "one", "other", *words[10:]])) == []
 
 
+@pytest.mark.parametrize(
+    ("item", "old", "new"),
+    [
+        ("Der Bauer verkauft zwölf Körbe mit Äpfeln auf dem Markt und kauft danach eine Kuh für den Hof seiner Schwester", "zwölf", "zwanzig"),
+        ("Der Bauer verkauft zwölf Körbe mit Äpfeln auf dem Markt und kauft danach eine Kuh für den Hof seiner Schwester", "zwölf", "zweiunddreißig"),
+        ("Le fermier vend douze paniers de pommes au marché et achète ensuite une vache pour la ferme de sa sœur", "douze", "quatre-vingt-dix"),
+        ("El granjero vende doce cestas de manzanas en el mercado y luego compra una vaca para la granja de su hermana", "doce", "veintiuno"),
+        ("The farmer sells twelve baskets of apples at the market and then buys a cow for the farm of his sister", "twelve", "twenty-one"),
+        ("Der Zug braucht drei Stunden von der alten Brücke bis zum Bahnhof der Stadt und hält dort am Abend lange", "Stunden", "Tage"),
+    ],
+)
+def test_numbers_and_units_in_four_languages(item, old, new):
+    (found,) = match(item, FILLER + item.replace(old, new))
+    assert found == (len(item.split()), 13, 1)
+
+
+def test_many_items_that_share_a_window(spark):
+    shared = "which of the following is true about the"
+    items = [(k, f"{shared} " + " ".join(f"w{k}x{j}" for j in range(9))) for k in range(5000)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(0, f"{FILLER}{shared} weather in spring"), (1, FILLER + items[4321][1] + " indeed"), (2, FILLER), (3, None)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    assert [(r.doc_id, r.item_id, r.changed_slots) for r in found.collect()] == [(1, 4321, 0)]
+
+
 def test_copies_of_numbers():
     item = "What number comes next in 1, 2, 4, 8, 16, 32, 64, 128?"
     assert match(item, FILLER + item) == [(13, 13, 0)]
