@@ -27,9 +27,8 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - size + 1)
 
 
-def simhash(text: bytes, size: int) -> int:
-    """The fingerprint as a signed 64-bit number. Bit k is set if it is set in over half of the hashes."""
-    hashes = shingle_hashes(text, size)
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes as a signed 64-bit number. Bit k is set if it is set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         part = hashes[at : at + _BLOCK]
@@ -38,6 +37,11 @@ def simhash(text: bytes, size: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: bytes, size: int) -> int:
+    """The fingerprint of a text's shingles."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprint_batches(size: int):
     """For ``mapInArrow``: replaces the column ``text`` of a batch by ``fp``."""
 

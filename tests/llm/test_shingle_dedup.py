@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from brute import find
 
 import corpus_pipeline
+from navspark.llm import shingle_dedup
 from navspark.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -63,3 +65,69 @@ def test_whole_table_against_all_pairs(spark):
     rows = table(spark, SF, "documents")
     docs = {r.doc_id: r.text for r in rows.collect()}
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()} == leaders(docs)
+
+
+def test_fingerprints_and_their_index_give_the_first_candidates(spark, monkeypatch):
+    """Near dedup links SimHash fingerprints by the pigeonring index before anything else is compared."""
+    asked, known = [], shingle_dedup.link_codes
+    monkeypatch.setattr(shingle_dedup, "link_codes", lambda codes, distance: asked.append((codes.count(), distance)) or known(codes, distance))
+    random.seed(7)
+    base = [f"w{random.randint(0, 9999)}" for _ in range(300)]
+    docs = {0: " ".join(base), 1: " ".join(base[:-1]), 2: " ".join(reversed(base)), 3: None}
+    assert stays(spark, docs) == leaders(docs) == {0, 2, 3} and asked == [(4, 8)]
+    sets = [shingle_dedup.shingle_set((t or "").encode(), 5) for t in docs.values()]
+    codes = [(shingle_dedup.set_code(s), shingle_dedup.majority(s)) for s in sets]
+    pairs = shingle_dedup.fingerprint_pairs(spark.createDataFrame([*codes, (5, codes[2][1])], "code long, fp long"), 8).collect()
+    assert {(r.u, r.v) for r in pairs} == {tuple(sorted((codes[0][0], codes[1][0]))), tuple(sorted((5, codes[2][0])))}
+
+
+def just_under(n):
+    """Texts that share most shingles with each other, few of them enough."""
+    random.seed(9)
+    base = [f"c{k}" for k in range(100)]
+    docs = {}
+    for d in range(n):
+        copy = list(base)
+        for k in range(random.choice([2, 3, 4])):
+            copy[random.randrange(100)] = f"e{d}x{k}"
+        docs[d] = " ".join(copy)
+    return docs
+
+
+def test_a_group_about_the_bound_makes_no_list_of_pairs(spark, monkeypatch):
+    docs, made, known = just_under(240), {}, shingle_dedup.materialize
+
+    def counted(df, name, *rest):
+        out = known(df, name, *rest)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "materialize", counted)
+    assert stays(spark, docs) == leaders(docs)
+    assert max(made.values()) <= 25 * len(docs), made
+
+
+def test_large_buckets_are_compared_in_full(spark):
+    docs = just_under(120)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in shingle_dedup.drop_similar(rows, bucket=8).collect()} == leaders(docs)
+
+
+def test_links_of_a_bucket_join_what_pairs_join():
+    random.seed(3)
+    for _ in range(300):
+        sets = [np.array(sorted(random.sample(range(14), random.randint(1, 12))), np.uint64) for _ in range(random.randint(2, 12))]
+        labels, sides = (np.array([random.randint(0, 9) for _ in sets]) for _ in range(2))
+        sides %= random.choice([1, 2])
+        out = shingle_dedup.links_among(sets, labels, sides, 0.6)
+        across = sides.min() != sides.max()
+        pairs = [(i, j) for j in range(len(sets)) for i in range(j) if (not across or sides[i] != sides[j]) and shingle_dedup.similar(sets[i], sets[j], 0.6)]
+        assert all(p in pairs for p in out)
+        roots = []
+        for links in (pairs, out):
+            parent = {("n", k): ("n", k) for k in range(len(sets))} | {("l", int(x)): ("l", int(x)) for x in labels}
+            for a, b in [(("n", i), ("n", j)) for i, j in links] + [(("n", k), ("l", int(x))) for k, x in enumerate(labels)]:
+                a, b = find(parent, a), find(parent, b)
+                parent[max(a, b)] = min(a, b)
+            roots.append([find(parent, ("n", k)) for k in range(len(sets))])
+        assert roots[0] == roots[1]
